@@ -1,0 +1,6 @@
+"""Intentionally empty: every input of this library is a bounded table.
+
+The as-of ceiling, the capped carry-forward and the coverage gap, the notions
+closest to event time, are batch operators (see ``operators.splits``,
+``operators.fill`` and ``operators.explore``).
+"""
