@@ -3,9 +3,15 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from weeklane.llm.bpe_count import token_counts
 from weeklane.llm.common import table
 from weeklane.llm.minhash import near_copies
+from weeklane.llm.lattice_lm import lattice_scores
 from weeklane.llm.mixing import mixed_words
+from weeklane.llm.secret_scan import secret_spans, span_text
+from weeklane.llm.toxicity import toxicity
 from weeklane.llm.url_cascade import judged
 from weeklane.llm.winnowing import contamination
 
@@ -27,6 +33,11 @@ def op3_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_words(table(spark, sf_dir, "documents")).select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", span_text().alias("spans"), F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"))
+
+
 RULES = "VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block') AS t(host, path, verdict)"
 
 
@@ -34,8 +45,25 @@ def op6_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM {RULES}"))
 
 
+def op7_bpe_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def remainder(by: int):
+    return F.crc32(F.col("doc_id").cast("string")) % by
+
+
+def op9_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(4) != 2)
+    return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(table(spark, sf_dir, "documents"), remainder(7) == 2, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash, op2_winnowing, op3_fair_queueing, op6_bloom_cascade)}
+    return {f.__name__: f for f in (op1_minhash, op2_winnowing, op3_fair_queueing, op4_secret_scan, op6_bloom_cascade, op7_bpe_count, op9_ftrl_toxicity, op10_lattice_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
