@@ -10,6 +10,7 @@ from weeklane.llm.common import table
 from weeklane.llm.minhash import near_copies
 from weeklane.llm.lattice_lm import lattice_scores
 from weeklane.llm.mixing import mixed_words
+from weeklane.llm.repeats import repeats
 from weeklane.llm.secret_scan import secret_spans, span_text
 from weeklane.llm.toxicity import toxicity
 from weeklane.llm.url_cascade import judged
@@ -49,6 +50,10 @@ def op7_bpe_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def remainder(by: int):
     return F.crc32(F.col("doc_id").cast("string")) % by
 
@@ -63,7 +68,7 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash, op2_winnowing, op3_fair_queueing, op4_secret_scan, op6_bloom_cascade, op7_bpe_count, op9_ftrl_toxicity, op10_lattice_lm)}
+    return {f.__name__: f for f in (op1_minhash, op2_winnowing, op3_fair_queueing, op4_secret_scan, op6_bloom_cascade, op7_bpe_count, op8_column_bwt, op9_ftrl_toxicity, op10_lattice_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
