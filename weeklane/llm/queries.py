@@ -10,6 +10,7 @@ from weeklane.llm.common import table
 from weeklane.llm.minhash import near_copies
 from weeklane.llm.lattice_lm import lattice_scores
 from weeklane.llm.mixing import mixed_words
+from weeklane.llm.nn_descent import nearest
 from weeklane.llm.repeats import repeats
 from weeklane.llm.secret_scan import secret_spans, span_text
 from weeklane.llm.toxicity import toxicity
@@ -39,6 +40,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", span_text().alias("spans"), F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"))
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 RULES = "VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block') AS t(host, path, verdict)"
 
 
@@ -68,7 +73,7 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash, op2_winnowing, op3_fair_queueing, op4_secret_scan, op6_bloom_cascade, op7_bpe_count, op8_column_bwt, op9_ftrl_toxicity, op10_lattice_lm)}
+    return {f.__name__: f for f in (op1_minhash, op2_winnowing, op3_fair_queueing, op4_secret_scan, op5_nn_descent, op6_bloom_cascade, op7_bpe_count, op8_column_bwt, op9_ftrl_toxicity, op10_lattice_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
