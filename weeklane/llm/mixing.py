@@ -20,9 +20,10 @@ def word_count(c):
     return F.size(F.regexp_extract_all(c, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))).cast("long")
 
 
-def queues(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """Per row: doc, source, size (words; a null text has none) and its shuffled place's hash."""
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+def queues(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", key_col: str | None = None) -> DataFrame:
+    """Per row: doc, source, size (words; a null text has none) and its shuffled place's hash, of
+    key_col (the id if none is given)."""
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key_col or id_col).cast("string"), F.lit(""))))
     size = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(word_count(F.col(text_col))).cast("long")
     return docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), size.alias("size"), key.alias("u"))
 

@@ -14,7 +14,7 @@ from collections import Counter
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weeklane.llm.common import cut, text_of
@@ -51,61 +51,52 @@ def scan(text: str, entropy: float) -> list[tuple]:
     return [(*s[:4], xxhash.xxh3_64_intdigest(s[4]) - (1 << 63)) for s in sorted(spans)]
 
 
-def scanned(docs: DataFrame, entropy: float, texts: bool) -> DataFrame:
+def scanned(docs: DataFrame, entropy: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "found")}
-            strings = batch.column("text").to_pylist()
-            for t in strings:
+            for t in batch.column("text").to_pylist():
                 spans = scan(t, entropy)
                 for k, name in enumerate(KINDS[:3]):
                     out[f"n_{name}"].append(sum(s[1] == k for s in spans))
                 out["base_sha256"].append(hashlib.sha256(",".join(f"{KINDS[s[1]]}:{s[0]}:{s[2]}" for s in spans if s[1] < 3).encode()).hexdigest())
                 out["found"].append([dict(zip(("start", "kind", "end", "low", "value"), s, strict=True)) for s in spans])
-            kept = pa.array([t if texts and f else None for t, f in zip(strings, out["found"], strict=True)], pa.string())
             found = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("low", pa.int32()), ("value", pa.int64())]))
             kinds = [pa.int64()] * 3 + [pa.string(), found]
-            cols = [batch.column(c) for c in ("row", "doc", "owner")] + [pa.array(out[k], t) for k, t in zip(out, kinds, strict=True)] + [kept]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "doc", "owner", *out, "text"])
+            cols = [batch.column(c) for c in ("row", "doc", "owner")] + [pa.array(out[k], t) for k, t in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc", "owner", *out])
 
     doc = dict(docs.dtypes)["doc"]
-    return docs.select("row", "doc", "owner", "text").mapInArrow(run, f"row long, doc {doc}, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found {FOUND}, text string")
+    return docs.select("row", "doc", "owner", "text").mapInArrow(run, f"row long, doc {doc}, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found {FOUND}")
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", entropy: float = 3.5, owners: int = 1, repositories: int = 3, texts: bool = False) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", entropy: float = 3.5, owners: int = 1, repositories: int = 3) -> DataFrame:
     """Per input row: id, n_assign, n_access, n_hex, base_sha256, spans (array of start, kind,
-    end, low, live, by start, then kind) and redacted (with texts: the text with each span's value
-    replaced by [secret]; null where there is no span).
+    end, low, live, by start, then kind; low is where the secret itself starts).
 
     live: at most ``owners`` owners and ``repositories`` documents hold the value. Of kind owned,
     only live spans are returned. A null text is empty, a null owner is an owner of its own, and
     repeated rows are documents of their own.
     """
     own = docs.select(F.col(id_col).alias("doc"), F.col(owner_col).cast("string").alias("owner"), text_of(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    seen = cut(scanned(own, entropy, texts), "secrets")
+    seen = cut(scanned(own, entropy), "secrets")
     each = seen.where(F.size("found") > 0).select("row", "owner", F.inline("found"))
     held = each.select("value", "owner", "row").distinct().groupBy("value", "owner").agg(F.count("*").alias("docs")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("docs").alias("docs"))
     judged = each.join(held, "value").withColumn("live", (F.col("owners") <= owners) & (F.col("docs") <= repositories)).where("live or kind < 3")
     spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "low", "live"))).alias("spans"))
-    out = seen.select("row", "doc", "n_assign", "n_access", "n_hex", "base_sha256", "text").join(spans, "row", "left")
-    if texts:
-        out = redact(out)
-    else:
-        out = out.drop("text")
+    out = seen.select("row", "doc", "n_assign", "n_access", "n_hex", "base_sha256").join(spans, "row", "left")
     return out.withColumnRenamed("doc", id_col).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int,low:int,live:boolean>>"))).drop("row")
 
 
-def redact(found: DataFrame) -> DataFrame:
-    """Adds redacted, from text and spans."""
-    values = F.transform("spans", lambda s: F.struct(s["low"].alias("low"), s["end"].alias("end")))
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with the secret of each span replaced by [secret]; overlapping ones once."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def step(done, s):
-        more = F.when(s["low"] >= done["at"], F.concat(done["text"], F.substring(F.col("text"), done["at"] + 1, s["low"] - done["at"]), F.lit("[secret]"))).otherwise(done["text"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), more.alias("text"))
+        more = F.concat(done["text"], F.substring(text, done["at"] + 1, s["low"] - done["at"]), F.lit("[secret]"))
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(s["low"] >= done["at"], more).otherwise(done["text"]).alias("text"))
 
-    text = F.aggregate(values, start, step, lambda d: F.concat(d["text"], F.substring(F.col("text"), d["at"] + 1, F.length("text"))))
-    return found.withColumn("redacted", F.when(F.size("spans") > 0, text)).drop("text")
+    return F.aggregate(spans, start, step, lambda d: F.concat(d["text"], F.substring(text, d["at"] + 1, F.length(text))))
 
 
 def span_text(spans: str = "spans"):

@@ -4,7 +4,7 @@ Features are hashed words, pairs of neighbours and pairs with one word between,
 in a text. The learning rate is kept per coordinate, and L1 makes most weights exactly zero, so
 that the weights that go to the executors are a short sparse list. Training uses a bounded sample
 of the labelled rows (``sample`` rows expected, chosen by a hash of the id), dealt by that hash to
-``shards`` tasks. Each shard learns alone; a weight counts if at least half of the shards give it
+one task for each 4,000 rows, ``shards`` at most. Each shard learns alone; a weight counts if at least half of the shards give it
 one, and is their mean. Scoring reads every whole text.
 """
 
@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weeklane.llm.common import cut, small, text_of
 from weeklane.llm.minhash import MIX, mixed
@@ -54,7 +55,9 @@ def learn(rows: list, alpha: float, beta: float, l1: float, l2: float, epochs: i
 def fitted(docs: DataFrame, labels: DataFrame, sample: int, shards: int, alpha: float, beta: float, l1: float, l2: float, epochs: int) -> dict:
     """Weights by place; 0 is the bias. docs: doc, text. labels: doc, label."""
     labels = cut(labels.where("doc is not null and label is not null").groupBy("doc").agg(F.max("label").alias("label")), "labels")
-    rate = min(1.0, sample / max(labels.count(), 1))
+    known = labels.count()
+    rate = min(1.0, sample / max(known, 1))
+    shards = max(1, min(shards, round(rate * known / 4_000)))
     order = F.xxhash64("doc", F.lit("toxicity"))
     chosen = labels.where(F.pmod(order, F.lit(1_000_000)) < int(rate * 1_000_000))
     rows = docs.join(small(chosen, 2 * sample), "doc").withColumn("order", order)
@@ -75,8 +78,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int, shards: int, alpha:
     return {r["at"]: r["w"] / ran for r in mean.collect()}  # sparse by L1; at most 2**BITS + 1 rows
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 24_000, shards: int = 6, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, epochs: int = 5, columns: list | None = None) -> DataFrame:
-    """Adds score (0 to 1) to the id column, or to all of ``columns``, one row per input row.
+def toxicity(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 24_000, shards: int = 6, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0, epochs: int = 5, columns: list | None = None, score_col: str = "score") -> DataFrame:
+    """Adds the score (0 to 1) to the id column, or to all of ``columns``, one row per input row.
 
     training: condition over the id column; only labels that meet it are learned from. A null text
     is empty; texts without words get the bias alone. Repeated labels of an id count once, as toxic
@@ -86,7 +89,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id
     weights = fitted(docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text")), known, sample, shards, alpha, beta, l1, l2, epochs)
     sparse = np.array(sorted(weights), np.int64), np.array([weights[k] for k in sorted(weights)], np.float64)
     shared = docs.sparkSession.sparkContext.broadcast(sparse)
-    own = docs.select(*(columns or [id_col]), text_of(text_col).alias("_text"))
+    names = columns or [id_col]
+    own = docs.select(*names, F.col(text_col).alias("_text_to_score"))
 
     def run(batches):
         at, w = shared.value
@@ -95,11 +99,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id
         bias = float(w[0]) if len(at) and at[0] == 0 else 0.0
         for batch in batches:
             scores = []
-            for text in batch.column("_text").cast(pa.large_binary()).to_pylist():
-                f = features(text)
+            for text in batch.column(len(names)).cast(pa.large_binary()).to_pylist():
+                f = features(text or b"")
                 f = np.unique(f[table[f] != 0])
                 scores.append(1 / (1 + np.exp(-np.clip(bias + float(table[f].sum()), -30, 30))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*names, score_col])
 
-    schema = own.drop("_text").schema.add("score", "double")
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(run, T.StructType([*own.schema.fields[:-1], T.StructField(score_col, T.DoubleType())]))
