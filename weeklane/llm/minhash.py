@@ -6,15 +6,16 @@ its key. So 2 * side * rows minhashes serve side**2 tables of 2 * rows minhashes
 side**2 * 2 * rows. A pair of similarity s meets with probability (1 - (1 - s**rows)**side)**2:
 with side=10 and rows=3, 0.9985 at s=0.80, 0.9993 at 0.82, 0.9998 at 0.85 and over 0.99999 at 0.90.
 
-Candidates are confirmed on the full shingle sets. Documents with equal sets are one node. In each
-bucket the nodes are first tied to the bucket's centre, and then only pairs from different
-components are looked at, so that a large group of near copies does not make all its pairs.
+Candidates are confirmed on the full shingle sets. Documents with equal sets are one node. Nodes
+are first tied to a centre of their buckets. Then only buckets that still hold more than one
+component are looked at, and of their pairs only those that an exact filter can't rule out, so that
+a large group of near copies does not make all its pairs.
 """
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weeklane.llm.common import components, cut, small, text_of
@@ -85,36 +86,80 @@ def signatures(docs: DataFrame, shingle: int, side: int, rows: int) -> DataFrame
     return docs.mapInArrow(run, "row long, doc long, h long, n long, s1 long, s2 long, a array<long>, b array<long>")
 
 
-def full_sets(docs: DataFrame, need: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of the needed nodes, from whole texts."""
+def full_sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(node, n, shingles) of the nodes in ids (row), from whole texts."""
 
     def run(batches):
         for batch in batches:
             sets = [signed(shingle_set(t, shingle)) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            size = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), size, pa.array(sets, pa.list_(pa.int64()))], ["node", "n", "shingles"])
 
-    found = docs.join(small(need, 500_000), "h").select("node", "text")
-    return found.dropDuplicates(["node"]).mapInArrow(run, "node long, shingles array<long>")
+    need = cut(nodes.join(ids, "row").select(F.col("row").alias("node"), "h"), "need")
+    found = docs.join(small(need, 500_000), "h").select("node", "text").dropDuplicates(["node"])
+    return cut(found.mapInArrow(run, "node long, n long, shingles array<long>"), "sets")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of distinct nodes whose sets' Jaccard similarity is at least percent / 100."""
-    size = nodes.select(F.col("row"), F.col("n"))
-    pairs = (
-        pairs.join(size.select(F.col("row").alias("u"), F.col("n").alias("nu")), "u")
-        .join(size.select(F.col("row").alias("v"), F.col("n").alias("nv")), "v")
-        .where(F.lit(100) * F.least("nu", "nv") >= F.lit(percent) * F.greatest("nu", "nv"))  # no pair beyond it can reach the limit
-    )
-    pairs = cut(pairs.select("u", "v", "nu", "nv"), "pairs")
-    ids = pairs.select(F.col("u").alias("row")).union(pairs.select(F.col("v").alias("row"))).distinct()
-    need = cut(nodes.join(ids, "row").select(F.col("row").alias("node"), "h"), "need")
-    sets = cut(full_sets(docs, need, shingle), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sets' Jaccard similarity is at least percent / 100."""
+    x = sets.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("shingles").alias("y"))
     inter = F.size(F.array_intersect("x", "y"))
-    return cut(both.where(F.lit(100) * inter >= F.lit(percent) * (F.col("nu") + F.col("nv") - inter)).select("u", "v"), "links")
+    near = F.lit(100) * F.least("nu", "nv") >= F.lit(percent) * F.greatest("nu", "nv")  # no pair beyond it can reach the limit
+    return cut(pairs.join(x, "u").join(y, "v").where(near).where(F.lit(100) * inter >= F.lit(percent) * (F.col("nu") + F.col("nv") - inter)).select("u", "v"), "links")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, side: int = 10, rows: int = 3) -> DataFrame:
+def star_pairs(member: DataFrame) -> DataFrame:
+    """(u, v): each node with the centre of one of its buckets.
+
+    The centre is the node whose own buckets hold most nodes: of a family of near copies it is one
+    that is close to the others. member: key, row, c (nodes of the bucket).
+    """
+    central = member.groupBy("row").agg(F.sum("c").alias("reach"))
+    order = -F.col("reach") * (1 << 20) + F.pmod(F.xxhash64("row"), F.lit(1 << 20))
+    central = cut(central.select("row", order.alias("order")), "central")
+    ordered = member.select("key", "row").join(central, "row")
+    centre = ordered.groupBy("key").agg(F.min("order").alias("first"))
+    best = ordered.join(centre, "key").where("order <> first").groupBy("row").agg(F.min("first").alias("first"))
+    return best.join(central.select(F.col("order").alias("first"), F.col("row").alias("v")), "first").select(F.col("row").alias("u"), "v").where("u <> v")
+
+
+def open_pairs(rest: DataFrame, sets: DataFrame, percent: int, rare: int) -> DataFrame:
+    """Pairs of different components that may reach the limit, by the prefix filter, which is exact.
+
+    Shingles are put in the order of how many nodes hold them. Two sets that reach the limit share a
+    shingle among the first n - ceil(percent * n / 100) + 1 of both. If their first shared one is
+    held by at most ``rare`` nodes, the pair meets on it. Otherwise all that they share is common,
+    and they can share no more than either has of common shingles; so a node with too few of them
+    for the smallest partner in its bucket is out, and only the others meet in their buckets.
+    rest: key, row, comp, of the buckets that hold more than one component.
+    """
+    comp = rest.select("row", "comp").distinct()
+    token = sets.select(F.col("node").alias("row"), "n", F.explode("shingles").alias("token"))
+    held = token.groupBy("token").agg(F.count("*").alias("df"))
+    token = cut(token.join(held, "token"), "tokens")
+    place = F.row_number().over(Window.partitionBy("row").orderBy("df", "token"))
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    first = token.withColumn("place", place).where((F.col("place") <= reach) & F.col("df").between(2, rare)).join(comp, "row").select("row", "n", "token", "comp")
+    a = first.select("token", F.col("row").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"))
+    b = first.select("token", F.col("row").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"))
+    sized = F.lit(100) * F.least("nu", "nv") >= F.lit(percent) * F.greatest("nu", "nv")
+    by_rare = a.join(b, "token").where((F.col("cu") < F.col("cv")) & sized).select("u", "v")
+
+    common = token.groupBy("row", "n").agg(F.count_if(F.col("df") > rare).alias("o")).where(F.col("n") - F.col("o") < reach)
+    left = rest.join(common, "row").withColumn("least", F.min("n").over(Window.partitionBy("key")))
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    left = left.where((100 + percent) * F.col("o") >= percent * (F.col("n") + partner))
+    still = left.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    left = cut(left.join(still, "key").select("key", "row", "comp", "n", "o"), "left")
+    a = left.select("key", F.col("row").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"), F.col("o").alias("ou"))
+    b = left.select("key", F.col("row").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"), F.col("o").alias("ov"))
+    enough = (100 + percent) * F.least("ou", "ov") >= percent * (F.col("nu") + F.col("nv"))
+    by_bucket = a.join(b, "key").where((F.col("cu") < F.col("cv")) & sized & enough).select("u", "v")
+    return cut(by_rare.union(by_bucket).distinct(), "pairs")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, side: int = 10, rows: int = 3, rare: int = 50) -> DataFrame:
     """docs' ids with n_shingles, component_id and keeper, one row per input row.
 
     component_id is the smallest id among the documents reachable over links; keeper is true for
@@ -131,31 +176,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = sig.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
 
     keys = nodes.select("row", F.posexplode("a").alias("i", "ka"), "b").select("row", "i", "ka", F.posexplode("b").alias("j", "kb")).select("row", F.xxhash64("i", "j", "ka", "kb").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     member = cut(keys.join(shared, "key"), "buckets")
 
-    comp = nodes.select(F.col("row"), F.col("row").alias("comp"))
-    links = None
-    for turn in range(3):
-        labelled = member.join(comp, "row") if turn else member.withColumn("comp", F.col("row"))
-        labelled = cut(labelled.withColumn("order", F.xxhash64("row", F.lit(turn))), "labelled")
-        open_ = labelled.groupBy("key").agg(F.min("order").alias("first"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        if turn < 2:  # each node against the centre of one of its buckets that holds another component
-            centre = labelled.join(open_.select("key", F.col("first").alias("order")), ["key", "order"]).select("key", F.col("row").alias("v"), F.col("comp").alias("cv"), F.col("order").alias("first")).distinct()
-            near = labelled.join(centre, "key").where("comp <> cv")
-            best = near.groupBy("row").agg(F.min("first").alias("first"))
-            who = centre.select("first", "v").distinct()
-            pairs = best.join(who, "first").select(F.col("row").alias("u"), "v")
-        else:  # then every pair of two components that still share a bucket
-            rest = cut(labelled.join(open_.select("key"), "key").select("key", "row", "comp"), "rest")
-            pairs = rest.select("key", F.col("row").alias("u"), F.col("comp").alias("cu")).join(rest.select("key", F.col("row").alias("v"), F.col("comp").alias("cv")), "key").where("cu < cv").select("u", "v").distinct()
-        pairs = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
-        if pairs.isEmpty():
-            break
-        found = confirmed(pairs, own, nodes, shingle, percent)
-        links = found if links is None else links.union(found)
-        grown = components(links)
-        comp = nodes.select("row").join(grown.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("comp", "row").alias("comp"))
+    pairs = cut(star_pairs(member).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    links = confirmed(pairs, full_sets(own, nodes, ids_in(pairs), shingle), percent)
+    comp = labelled(nodes, components(links))
+    tied = member.select("key", "row").join(comp, "row")
+    mixed_ = tied.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    rest = cut(tied.join(mixed_, "key"), "rest")
+    sets = full_sets(own, nodes, rest.select("row").distinct(), shingle)
+    more = confirmed(open_pairs(rest, sets, percent, rare), sets, percent)
+    if not more.isEmpty():
+        comp = labelled(nodes, components(links.union(more)))
 
     placed = sig.join(classes, ["s1", "s2", "n"], "left").join(comp.withColumnRenamed("row", "node"), "node", "left")
     placed = cut(placed.select("row", "doc", F.col("n").alias("n_shingles"), F.coalesce("comp", "row").alias("comp")), "placed")
@@ -165,3 +198,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         placed.join(least, "comp").join(first, "comp")
         .select(F.col("doc").alias(id_col), "n_shingles", "component_id", (F.col("row") == F.col("first")).alias("keeper"))
     )
+
+
+def ids_in(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("row")).union(pairs.select(F.col("v").alias("row"))).distinct()
+
+
+def labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, comp) of all nodes; a node without links is its own component."""
+    return nodes.select("row").join(found.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("comp", "row").alias("comp"))
