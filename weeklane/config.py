@@ -59,6 +59,7 @@ COUNT_NODES = {
     "tot_division_except_dhaka_metro_ew_new_cases": ("NON_DHA_METRO", "All Except Dhaka Metro"),
     "country_wide_total_ew_new_cases": ("NATIONAL", "Bangladesh Total"),
 }
+# Nodes that are kept.
 KEPT_NODES = ("BAR", "CHA", "DHA_DIV", "DHA_METRO", "KHU", "MYM", "RAJ", "RAN", "SYL")
 
 # Node ids of the truth table and their count headers.
@@ -88,6 +89,7 @@ COVARIATE_FILES = {
     "sylhet_division": ("SYL", "Sylhet"),
 }
 
+# Parent, child, id and name of the rest.
 REPAIRED_NODES = ("DHA_DIV", "DHA_METRO", "DHA_DIV_OUT_METRO", "Dhaka Division Outside Metro")
 
 
@@ -107,6 +109,7 @@ class Fold:
     group: str = "development"
 
 
+# The defaults.
 @dataclass(frozen=True)
 class FeatureSpec:
     case_lags: tuple[int, ...] = (1, 2, 3, 4, 8, 13, 26, 52)
@@ -125,6 +128,7 @@ class FeatureSpec:
     summed_covariates: tuple[str, ...] = ("rain",)
 
 
+# The defaults.
 @dataclass(frozen=True)
 class Guardrail:
     models: tuple[str, ...] = (
@@ -145,6 +149,7 @@ class Guardrail:
     sparse_multiplier: float = 0.75
 
 
+# The defaults.
 @dataclass(frozen=True)
 class Training:
     seed: int = 42
@@ -165,11 +170,10 @@ class Training:
     forest_trees: int = 300
     forest_depth: int = 6
     forest_min_leaf: int = 8
-    max_onehot_series: int = 2048
-    hashed_series_buckets: int = 1024
     guardrail: Guardrail = field(default_factory=Guardrail)
 
 
+# The defaults.
 @dataclass(frozen=True)
 class Stack:
     base_models: tuple[str, ...] = (
@@ -192,6 +196,7 @@ class Track:
     stack: Stack | None = None
 
 
+# The two tracks.
 OPERATIONAL = Track(
     "operational",
     (1, 2, 3, 4),

@@ -2,9 +2,10 @@
 
 ``percentile`` keeps every distinct value of a group in one task. That is fine
 for a series (bounded by the calendar) but not for a group such as "all rows of
-a fold". ``grouped_quantiles`` reads rough split points from a mergeable sketch,
-counts rows between them, and ranks only the few slices that hold a wanted
-position, so no task ever sees a whole group. The result is exact.
+a fold". ``grouped_quantiles`` counts equal values first, sums the counts over
+slices of the value range whose number follows the group's distinct values, and
+ranks only the few slices that hold a wanted position, so no task ever sees a
+whole group. The result is exact.
 """
 
 from __future__ import annotations
@@ -12,40 +13,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PER_SLICE = 50_000  # distinct values that a slice holds, roughly
+MOST_SPLITS = 10_000  # split points of a group; a sketch of them stays below a few MB
 
-def bounded(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` if ``rows``, a proven bound on its size, is small; else leave it to AQE."""
-    return F.broadcast(df) if rows <= limit else df
 
-
-def grouped_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: Column | str,
-    probs: dict[str, float],
-    group_bound: int | None = None,
-    slices: int = 64,
-) -> DataFrame:
-    """One row per group with a double column per entry of ``probs``.
-
-    ``group_bound`` is a proven bound on the number of groups (say folds x
-    horizons); with it the small tables are broadcast.
-    """
-    bound = group_bound if group_bound is not None else 10**12
+def grouped_quantiles(df: DataFrame, keys: list[str], value: Column | str, probs: dict[str, float]) -> DataFrame:
+    """One row per group with a double column per entry of ``probs``."""
     v = F.col(value) if isinstance(value, str) else value
     rows = df.select(*keys, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     if not keys:
         rows = rows.withColumn("_all", F.lit(1))
-        bound = 1
     by = keys or ["_all"]
-    steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    splits = rows.groupBy(*by).agg(F.percentile_approx("_v", steps, F.lit(20 * slices)).alias("_s"))
     values = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    sliced = (
-        values.join(bounded(splits, bound), by)
-        .withColumn("_b", F.size(F.filter("_s", lambda s: s < F.col("_v"))))
-        .drop("_s")
-    )
+    size = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_d"))
+    most = size.agg(F.max("_d").alias("d")).first()["d"] or 0
+    slices = max(1, min(MOST_SPLITS, -(-most // PER_SLICE)))
+    if slices == 1:
+        sliced = values.withColumn("_b", F.lit(0))
+    else:
+        steps = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+        splits = values.groupBy(*by).agg(F.percentile_approx("_v", steps, F.lit(20 * slices)).alias("_s"))
+        sliced = values.join(splits, by).withColumn("_b", F.size(F.filter("_s", lambda s: s < F.col("_v")))).drop("_s")
     per_slice = sliced.groupBy(*by, "_b").agg(F.sum("_n").alias("_m"))
     upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -58,19 +46,14 @@ def grouped_quantiles(
     )
     first = F.col("_before")
     last = first + F.col("_m") - 1
-    wanted = None
+    wanted = F.lit(False)
     for p in probs.values():
         pos = F.lit(float(p)) * (F.col("_total") - 1)
         for at in (F.floor(pos), F.ceil(pos)):
-            hit = (first <= at) & (last >= at)
-            wanted = hit if wanted is None else wanted | hit
+            wanted = wanted | ((first <= at) & (last >= at))
     needed = placed.filter(wanted).drop("_m")
-    running = (
-        Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = sliced.join(bounded(needed, bound * 2 * max(len(probs), 1)), [*by, "_b"]).withColumn(
-        "_end", F.col("_before") + F.sum("_n").over(running) - 1
-    )
+    running = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = sliced.join(needed, [*by, "_b"]).withColumn("_end", F.col("_before") + F.sum("_n").over(running) - 1)
     start = F.col("_end") - F.col("_n") + 1
     picks, outs = [], []
     for name, p in probs.items():

@@ -95,7 +95,5 @@ def safe_corr(x: Column, y: Column) -> Column:
 def adjusted_skew(c: Column) -> Column:
     """Bias-adjusted skewness; null for fewer than three values or a constant."""
     n = F.count(c).cast("double")
-    spread = F.stddev_pop(c)
-    third = F.avg(F.pow(c, 3)) - 3 * F.avg(c) * F.avg(F.pow(c, 2)) + 2 * F.pow(F.avg(c), 3)
-    g1 = F.try_divide(third, F.pow(spread, 3))
-    return F.when(n >= 3, F.try_divide(g1 * F.sqrt(n * (n - 1)), n - 2))
+    g1 = F.when((n >= 3) & (F.stddev_pop(c) > 0), F.skewness(c))
+    return F.try_divide(g1 * F.sqrt(n * (n - 1)), n - 2)

@@ -12,25 +12,30 @@ from weeklane.operators.panel import dedupe
 BOARD_ORDER = ["MAE_macro", "RMSE_macro", "model"]
 
 
+def _in_order() -> list[Column]:
+    """Board order with missing errors last."""
+    return [F.col(c).asc_nulls_last() for c in BOARD_ORDER]
+
+
 def _val(df: DataFrame, group: str | None) -> DataFrame:
     out = df.filter(F.col("role") == "val")
     return out if group is None else out.filter(F.col("split_group") == group)
 
 
 def leaderboard(overall_macro: DataFrame, group: str) -> DataFrame:
-    return _val(overall_macro, group).orderBy("track", *BOARD_ORDER)
+    return _val(overall_macro, group).orderBy("track", *_in_order())
 
 
 def leaderboard_by_horizon(by_fold_horizon: DataFrame, group: str) -> DataFrame:
     means = _val(by_fold_horizon, group).groupBy("track", "model", "horizon")
     return means.agg(F.avg("MAE_macro").alias("MAE_macro"), F.avg("RMSE_macro").alias("RMSE_macro")).orderBy(
-        "track", "horizon", *BOARD_ORDER
+        "track", "horizon", *_in_order()
     )
 
 
 def ranked(board: DataFrame, by: str = "track") -> DataFrame:
     """Rank from 1 in board order; a board has one row per model."""
-    w = Window.partitionBy(by).orderBy(*BOARD_ORDER)
+    w = Window.partitionBy(by).orderBy(*_in_order())
     return board.withColumn("rank", F.row_number().over(w))
 
 
@@ -72,12 +77,13 @@ def coerce_metric_keys(df: DataFrame, text: str = "index") -> DataFrame:
     """Role and horizon from texts such as ``val`` or ``('val', 7)``."""
     s = F.trim(F.col(text))
     role = F.regexp_extract(s, r"(train|val)", 1)
-    horizon = F.regexp_extract(s, r"(\d+)\D*$", 1).try_cast("int")
+    horizon = F.regexp_extract(s, r"(\d+(?:\.\d+)?)\D*$", 1).try_cast("double").cast("int")
     return df.withColumns({"role": F.when(role != "", role), "horizon": F.when(role != "", horizon)}).drop(text)
 
 
 def metric_summary(rows: DataFrame) -> DataFrame:
-    kept = rows.filter(F.col("role").isin("train", "val") & F.col("horizon").isNotNull())
+    """Means per (source, role, horizon) and, where the horizon is null, per (source, role)."""
+    kept = rows.filter(F.col("role").isin("train", "val"))
     return kept.groupBy("source", "role", "horizon").agg(
         F.round(F.avg("MAE"), 3).alias("MAE"), F.round(F.avg("RMSE"), 3).alias("RMSE")
     )
@@ -130,10 +136,10 @@ def evidence_fallback(overall_macro: DataFrame, track: str, order: tuple[str, ..
 
 
 def promotion_policy(ranking: DataFrame) -> DataFrame:
-    """One row: the holdout winner leads; without a holdout it is persistence."""
+    """One row: the holdout winner leads; without a holdout it is persistence. The texts are fixed values."""
     best = ranking.agg(
         F.min("ranking_source").alias("ranking_source"),
-        F.min_by("model", F.struct(*BOARD_ORDER)).alias("_m"),
+        F.min_by("model", F.struct(*[x for c in BOARD_ORDER for x in (F.col(c).isNull(), F.col(c))])).alias("_m"),
     )
     held = F.coalesce(F.col("ranking_source") == "holdout", F.lit(False))
     return best.select(

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weeklane.functions.scalars import safe_corr
+
 
 def nb_dispersion(df: DataFrame, keys: list[str], y: str = "y_true") -> DataFrame:
     """Moment estimate of the NB2 dispersion: at least 1e-6, and 1 where the mean is not positive."""
@@ -51,7 +51,8 @@ def quasi_separation(df: DataFrame, features: list[str], y: str = "y_true") -> D
     )
     pos = (F.col(y) > 0).cast("long")
     long = df.select(F.col(y), F.inline(entries)).filter(F.col("x").isNotNull())
-    levels = long.groupBy("feature", "x").agg(F.sum(pos).alias("pos"))
+    few = long.groupBy("feature").agg(F.approx_count_distinct("x").alias("n")).filter(F.col("n") <= 10)  # levels that may be five
+    levels = long.join(few.select("feature"), "feature", "left_semi").groupBy("feature", "x").agg(F.sum(pos).alias("pos"))
     stats = levels.groupBy("feature").agg(
         F.count(F.lit(1)).alias("levels"),
         F.coalesce(F.sum(F.when(F.col("x") == 0, F.col("pos"))), F.lit(0)).alias("pos_at_zero"),
@@ -61,18 +62,19 @@ def quasi_separation(df: DataFrame, features: list[str], y: str = "y_true") -> D
     return stats.filter((F.col("levels") > 1) & (F.col("levels") <= 5) & (((a == 0) & (b > 0)) | ((b == 0) & (a > 0))))
 
 
-def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
-    filled = df.select(*[F.col(f).cast("double").alias(f) for f in features]).na.drop("any")
-    return VectorAssembler(inputCols=features, outputCol="_v").transform(filled).select("_v")
-
-
 def correlation_matrix(df: DataFrame, features: list[str]) -> np.ndarray:
-    """Features x features on the driver, from a distributed sum of outer products."""
-    return Correlation.corr(_vectors(df, features), "_v").head()[0].toArray()
-
-
-def high_corr_pairs(df: DataFrame, features: list[str], threshold: float = 0.995, top: int = 12) -> DataFrame:
-    """The strongest pairs above the threshold; constant columns do not take part."""
+    """Features x features on the driver (bounded by the schema), each pair over the rows that have both."""
+    base = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
+    row = base.agg(*[safe_corr(F.col(features[i]), F.col(features[j])).alias(f"r{i}_{j}") for i, j in pairs]).first()
+    m = np.full((len(features), len(features)), np.nan)
+    for i, j in pairs:
+        m[i, j] = m[j, i] = np.nan if row[f"r{i}_{j}"] is None else row[f"r{i}_{j}"]
+    return m
+
+
+def high_corr_pairs(df: DataFrame, features: list[str], threshold: float = 0.995, top: int | None = None) -> DataFrame:
+    """All pairs above the threshold (or the ``top`` strongest); constant columns do not take part."""
     m = correlation_matrix(df, features)
     rows = []
     for i in range(len(features)):

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weeklane.config import GEO, VALUE, WEEK
-from weeklane.functions.scalars import adjusted_skew, safe_corr, safe_div, whole_weeks
+from weeklane.functions.scalars import adjusted_skew, clip, safe_corr, safe_div, whole_weeks
 from weeklane.functions.windows import average_rank, by_day, rolling, series
 from weeklane.operators.panel import dedupe
 
@@ -86,7 +84,7 @@ def annual_peaks(panel: DataFrame) -> DataFrame:
         panel.groupBy(GEO, year)
         .agg(
             F.sum(VALUE).cast("double").alias("annual_total_cases"),
-            F.min_by(WEEK, F.struct(-F.col(VALUE), F.col(WEEK))).alias("peak_week_start"),
+            F.min_by(F.when(F.col(VALUE).isNotNull(), F.col(WEEK)), F.struct(F.col(VALUE).isNull(), -F.col(VALUE), F.col(WEEK))).alias("peak_week_start"),
             F.max(VALUE).cast("double").alias("peak_cases"),
         )
         .withColumn("peak_share_of_year", safe_div(F.col("peak_cases"), F.col("annual_total_cases")))
@@ -100,7 +98,7 @@ def week_profile(panel: DataFrame) -> DataFrame:
 def seasonality_index(panel: DataFrame) -> DataFrame:
     """ISO week with the highest mean (the first on ties) and that mean over the mean profile."""
     return week_profile(panel).groupBy(GEO).agg(
-        F.min_by("week", F.struct(-F.col("mean_cases"), F.col("week"))).alias("peak_week_of_year"),
+        F.min_by("week", F.struct(F.col("mean_cases").isNull(), -F.col("mean_cases"), F.col("week"))).alias("peak_week_of_year"),
         safe_div(F.max("mean_cases"), F.avg("mean_cases")).alias("seasonality_index"),
     )
 
@@ -203,71 +201,18 @@ def lead_lag_best(table: DataFrame) -> DataFrame:
     return dedupe(rows, [GEO, "covariate"], ["_o", "lag_weeks"]).drop("_o")
 
 
-def cross_series_spearman(panel: DataFrame, series_per_block: int = 256) -> DataFrame:
-    """Rank correlation between series (rows with geo_a <= geo_b), pairwise complete.
+def pair_spearman(panel: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rank correlation of the series of each row (geo_a, geo_b) of ``pairs``, over their common weeks.
 
-    The matrix is computed in blocks: each series, one bounded vector, is sent to
-    the block pairs it belongs to and a task multiplies two blocks of ranks. No
-    weekly row is ever paired with another one, and no task holds more than two blocks.
+    The pairs are a table, for example the nodes of one parent; all series against all others is
+    not offered, its output alone grows with the square of the series.
     """
-    vectors = (
-        panel.filter(F.col(VALUE).isNotNull())
-        .groupBy(GEO)
-        .agg(F.sort_array(F.collect_list(F.struct(WEEK, F.col(VALUE).cast("double").alias("v")))).alias("_p"))
-        .select(GEO, F.transform("_p", lambda p: F.unix_date(p[WEEK])).alias("days"), F.transform("_p", lambda p: p["v"]).alias("vals"))
-    )
-    n_series = panel.agg(F.approx_count_distinct(GEO).alias("n")).first()["n"]
-    blocks = max(1, -(-int(n_series) // series_per_block))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_k")
-    placed = vectors.withColumn("_b", F.pmod(F.xxhash64(GEO), F.lit(blocks)).cast("int")).select("*", other)
-    placed = placed.withColumns({"_i": F.least("_b", "_k"), "_j": F.greatest("_b", "_k")}).drop("_k")
-
-    def block(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["_b"] == key[0]], pdf[pdf["_b"] == key[1]]
-        if left.empty or right.empty:
-            return pd.DataFrame({"geo_a": [], "geo_b": [], "spearman": []})
-        days = np.unique(np.concatenate([np.asarray(d) for d in pdf["days"]]))
-        a, b = _matrix(left, days), _matrix(right, days)
-        corr = _rank_corr(a, b)
-        ga, gb = left[GEO].to_numpy(), right[GEO].to_numpy()
-        ii, jj = np.meshgrid(np.arange(len(ga)), np.arange(len(gb)), indexing="ij")
-        x, y, r = ga[ii.ravel()], gb[jj.ravel()], corr.ravel()
-        low, high = np.where(x <= y, x, y), np.where(x <= y, y, x)
-        keep = (x <= y) if key[0] == key[1] else np.ones(len(r), bool)
-        return pd.DataFrame({"geo_a": low[keep], "geo_b": high[keep], "spearman": r[keep]})
-
-    out = placed.groupBy("_i", "_j").applyInPandas(block, "geo_a string, geo_b string, spearman double")
-    return out.withColumn("spearman", F.when(~F.isnan("spearman"), F.col("spearman")))
-
-
-def _matrix(rows: pd.DataFrame, days: np.ndarray) -> np.ndarray:
-    m = np.full((len(rows), len(days)), np.nan)
-    for i, (d, v) in enumerate(zip(rows["days"], rows["vals"])):
-        m[i, np.searchsorted(days, np.asarray(d))] = np.asarray(v, float)
-    return m
-
-
-def _unit_ranks(m: np.ndarray) -> np.ndarray:
-    r = pd.DataFrame(m).rank(axis=1).to_numpy()
-    r = r - r.mean(axis=1, keepdims=True)
-    norm = np.sqrt((r * r).sum(axis=1, keepdims=True))
-    return np.where(norm > 0, r / np.where(norm > 0, norm, 1.0), np.nan)
-
-
-def _rank_corr(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    gaps_a, gaps_b = np.isnan(a).any(axis=1), np.isnan(b).any(axis=1)
-    out = np.full((len(a), len(b)), np.nan)
-    fa, fb = np.flatnonzero(~gaps_a), np.flatnonzero(~gaps_b)
-    if len(fa) and len(fb):
-        out[np.ix_(fa, fb)] = _unit_ranks(a[fa]) @ _unit_ranks(b[fb]).T
-    for i in range(len(a)):
-        for j in range(len(b)):
-            if gaps_a[i] or gaps_b[j]:
-                both = ~np.isnan(a[i]) & ~np.isnan(b[j])
-                if both.sum() > 1:
-                    pair = _unit_ranks(np.vstack([a[i][both], b[j][both]]))
-                    out[i, j] = float(pair[0] @ pair[1])
-    return out
+    y = panel.filter(F.col(VALUE).isNotNull()).select(GEO, WEEK, F.col(VALUE).cast("double").alias("v"))
+    a = pairs.select("geo_a", "geo_b").distinct().join(y.select(F.col(GEO).alias("geo_a"), WEEK, F.col("v").alias("_x")), "geo_a")
+    rows = a.join(y.select(F.col(GEO).alias("geo_b"), WEEK, F.col("v").alias("_y")), ["geo_b", WEEK])
+    keys = ["geo_a", "geo_b"]
+    ranked = rows.withColumn("_rx", average_rank("_x", keys)).withColumn("_ry", average_rank("_y", keys))
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"), safe_corr(F.col("_rx"), F.col("_ry")).alias("spearman"))
 
 
 def seasonal_diff(dense: DataFrame, season: int = 52) -> DataFrame:
@@ -307,15 +252,13 @@ def acf_table(dense: DataFrame, max_lag: int = 60) -> DataFrame:
     y = F.col(VALUE).cast("double")
     base = rows.select(GEO, WEEK, (y - F.avg(y).over(whole)).alias("_e"))
     w = series()
-    prods = [
-        F.struct(F.lit(k).alias("lag"), (F.col("_e") * F.lag("_e", k).over(w)).alias("p"))
+    prods = base.select(GEO, "_e", *[(F.col("_e") * F.lag("_e", k).over(w)).alias(f"_p{k}") for k in range(1, max_lag + 1)])
+    whole_sq = F.sum(F.col("_e") * F.col("_e"))
+    rows = [
+        F.struct(F.lit(k).alias("lag"), F.try_divide(F.sum(f"_p{k}"), whole_sq).alias("acf"), F.count(f"_p{k}").alias("n_pairs"))
         for k in range(1, max_lag + 1)
     ]
-    long = base.select(GEO, (F.col("_e") * F.col("_e")).alias("_q"), F.array(*prods).alias("_a"))
-    long = long.select(GEO, "_q", F.inline("_a"))
-    out = long.groupBy(GEO, "lag").agg(
-        F.try_divide(F.sum("p"), F.sum("_q")).alias("acf"), F.count("p").alias("n_pairs")
-    )
+    out = prods.groupBy(GEO).agg(F.array(*rows).alias("_a")).select(GEO, F.inline("_a"))
     return out.filter(F.col("n_pairs") > 0)
 
 
@@ -356,11 +299,11 @@ def seasonal_strength(dense: DataFrame, season: int = 52) -> DataFrame:
     means = F.avg("_m").over(Window.partitionBy(GEO))
     first = F.row_number().over(Window.partitionBy(GEO, "_pos").orderBy(WEEK)) == 1
     base = base.withColumn("_m", F.when(first, F.col("_s"))).withColumn("_season", F.col("_s") - means)
-    base = base.withColumn("_r", F.col("_d") - F.col("_season")).filter(F.col("_r").isNotNull())
+    base = base.withColumn("_r", F.col("_d") - F.col("_season"))
 
     def strength(part: str) -> Column:
         ratio = safe_div(F.var_samp("_r"), F.var_samp(F.col("_r") + F.col(part)))
-        return F.greatest(F.lit(0.0), F.lit(1.0) - ratio)
+        return clip(F.lit(1.0) - ratio, 0.0)  # null for a series shorter than a cycle
 
     return base.groupBy(GEO).agg(
         strength("_season").alias("seasonal_strength"), strength("_trend").alias("trend_strength")

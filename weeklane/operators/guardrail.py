@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weeklane.config import GEO, VALUE, Guardrail
-from weeklane.functions.quantiles import bounded, grouped_quantiles
+from weeklane.functions.quantiles import grouped_quantiles
 from weeklane.functions.scalars import clip
 from weeklane.operators.regimes import low_origin
 
@@ -24,7 +24,7 @@ class GuardrailStats:
 
 
 def low_origin_stats(
-    train: DataFrame, cfg: Guardrail = Guardrail(), by: tuple[str, ...] = BY, settings: int = 1000
+    train: DataFrame, cfg: Guardrail = Guardrail(), by: tuple[str, ...] = BY
 ) -> GuardrailStats:
     """Chance of a positive target and high quantiles of target and rise, from low-origin training rows.
 
@@ -33,7 +33,7 @@ def low_origin_stats(
     calendar); those of a whole setting are computed in slices.
     """
     low = low_origin(train.columns, cfg)
-    rise = F.greatest(F.col("y_true") - F.col(VALUE).cast("double"), F.lit(0.0))
+    rise = clip(F.col("y_true") - F.col(VALUE).cast("double"), 0.0)
     rows = train.select(
         *by, GEO, F.col("y_true").cast("double").alias("_y"), rise.alias("_d"), low.alias("_low"),
         (F.coalesce(F.col(VALUE), F.lit(1)) <= 0).alias("_zero"),
@@ -63,20 +63,26 @@ def low_origin_stats(
         F.sum("pos_low").alias("tp_low"),
     )
     has_low = F.col("t_low") > 0
-    used = rows.join(bounded(totals.select(*by, "t_low"), settings), list(by)).filter(is_low | ~has_low)
-    caps = grouped_quantiles(used, list(by), "_y", {"global_y_cap": cfg.cap_quantile}, settings).join(
-        grouped_quantiles(used, list(by), "_d", {"global_delta_cap": cfg.cap_quantile}, settings), list(by)
+    # the setting's quantiles in one pass: target and rise as values of two kinds, all and low rows as two more
+    kinds = F.array(
+        F.struct(F.lit("y_all").alias("kind"), F.col("_y").alias("x")),
+        F.struct(F.lit("d_all").alias("kind"), F.col("_d").alias("x")),
+        F.struct(F.when(is_low, "y_low").alias("kind"), F.col("_y").alias("x")),
+        F.struct(F.when(is_low, "d_low").alias("kind"), F.col("_d").alias("x")),
     )
+    values = rows.select(*by, F.inline(kinds)).filter(F.col("kind").isNotNull())
+    q_all = grouped_quantiles(values, [*by, "kind"], "x", {"cap": cfg.cap_quantile})
+    caps = q_all.groupBy(*by).agg(*[F.max(F.when(F.col("kind") == k, F.col("cap"))).alias(f"_{k}") for k in ("y_all", "d_all", "y_low", "d_low")])
+    cap = {n: F.when(has_low, F.col(f"_{k}_low")).otherwise(F.col(f"_{k}_all")) for n, k in (("global_y_cap", "y"), ("global_delta_cap", "d"))}
     overall = totals.join(caps, list(by)).select(
         *by,
         F.when(has_low, F.col("t_low")).otherwise(F.col("t_all")).alias("global_rows"),
         (F.when(has_low, F.col("tp_low") / F.col("t_low")).otherwise(F.col("tp_all") / F.col("t_all"))).alias(
             "global_p_nonzero"
         ),
-        "global_y_cap",
-        "global_delta_cap",
+        *[c.alias(n) for n, c in cap.items()],
     )
-    flagged = cells.join(bounded(totals.select(*by, "t_low"), settings), list(by))
+    flagged = cells.withColumn("t_low", F.sum("n_low").over(Window.partitionBy(*by)))
     per_series = flagged.select(
         *by,
         GEO,
@@ -97,7 +103,6 @@ def apply_guardrail(
     models: list[str],
     cfg: Guardrail = Guardrail(),
     by: tuple[str, ...] = BY,
-    settings: int = 1000,
 ) -> DataFrame:
     """Shrink and cap the given prediction columns on low-origin rows that rise above the origin.
 
@@ -105,7 +110,7 @@ def apply_guardrail(
     training rows are left as they are.
     """
     rows = score.join(stats.per_series, [*by, GEO], "left").join(
-        bounded(stats.overall, settings), list(by), "left"
+        stats.overall, list(by), "left"
     )
     own = F.coalesce(F.col("n_rows") >= cfg.min_group_rows, F.lit(False))
     sparse = F.coalesce(F.col("zero_share") >= cfg.sparse_zero_share, F.lit(False))
@@ -130,10 +135,10 @@ def apply_guardrail(
     return out.withColumns(new).select(*keep)
 
 
-def guardrail_notes(guarded: DataFrame, model: str, by: tuple[str, ...] = BY) -> DataFrame:
+def guardrail_notes(guarded: DataFrame, model: str, cfg: Guardrail = Guardrail(), by: tuple[str, ...] = BY) -> DataFrame:
     """Per setting: rows changed, low-origin rows, mean shrink."""
-    low = low_origin(guarded.columns)
-    shrink = F.greatest(F.col(f"{model}__raw") - F.col(model), F.lit(0.0))
+    low = low_origin(guarded.columns, cfg)
+    shrink = clip(F.col(f"{model}__raw") - F.col(model), 0.0)
     return guarded.groupBy(*by).agg(
         F.count_if(F.col(f"{model}__guarded")).alias("guardrail_rows"),
         F.count_if(low).alias("guardrail_low_origin_rows"),
@@ -142,7 +147,7 @@ def guardrail_notes(guarded: DataFrame, model: str, by: tuple[str, ...] = BY) ->
 
 
 def instability(
-    scored: DataFrame, model_keys: list[str], y_pred: str = "y_pred", settings: int = 10_000
+    scored: DataFrame, model_keys: list[str], y_pred: str = "y_pred"
 ) -> DataFrame:
     """Per (model, setting): is a prediction not finite, or far above the training maximum?
 
@@ -157,7 +162,7 @@ def instability(
         F.max(finite).alias("pred_max"),
         F.greatest(F.max(F.when(F.col("role") == "train", F.col("y_true"))), F.lit(1.0)).alias("train_max"),
     )
-    p99 = grouped_quantiles(scored, model_keys, finite, {"pred_p99": 0.99}, settings)
+    p99 = grouped_quantiles(scored, model_keys, finite, {"pred_p99": 0.99})
     out = base.join(p99, model_keys, "left")
     boom = (F.col("pred_max") > F.col("train_max") * 25.0) | (F.col("pred_p99") > F.col("train_max") * 10.0)
     reason = F.when(F.col("non_finite"), "non_finite_predictions").when(boom, "prediction_explosion")

@@ -62,7 +62,8 @@ def closure(panel: DataFrame, h: Hierarchy) -> DataFrame:
 
 def hierarchy_summary(panel: DataFrame, h: Hierarchy) -> DataFrame:
     """One row on the repair. The distinct id count is taken before the one-row sums meet it."""
-    sums = _parent_child(panel, h).agg(
+    weekly = _parent_child(panel, h)
+    sums = weekly.agg(
         F.count(F.lit(1)).alias("weeks"),
         F.count_if(F.col("raw_residual") < 0).alias("negative_raw_residual_weeks"),
         F.max(F.abs(F.col("raw_residual") - F.col("residual_cases"))).cast("double").alias("max_abs_closure_error"),
@@ -118,10 +119,13 @@ def bottom_up(
     return df.unionByName(summed, allowMissingColumns=True)
 
 
-def consistency(wide: DataFrame, checks: dict[str, tuple[str, list[str]]]) -> DataFrame:
-    """Rows (check, max_abs_diff) of whole-minus-parts over a wide count table."""
+def consistency(wide: DataFrame, checks: dict[str, tuple[str, list[str]]], complete: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (check, max_abs_diff) of whole-minus-parts over a wide count table.
+
+    A missing part counts as 0, but for the checks named in ``complete``, which skip such rows.
+    """
     diffs = [
-        F.max(F.abs(F.col(whole) - sum(F.coalesce(F.col(p), F.lit(0)) for p in parts))).cast("double").alias(name)
+        F.max(F.abs(F.col(whole) - sum(F.col(p) if name in complete else F.coalesce(F.col(p), F.lit(0)) for p in parts))).cast("double").alias(name)
         for name, (whole, parts) in checks.items()
     ]
     return wide.agg(*diffs).unpivot([], list(checks), "check", "max_abs_diff")

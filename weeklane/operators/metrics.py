@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,6 @@ MACRO = {
     "by_geo_horizon": ["track", "split_group", "model", "role", GEO, "horizon"],
     "overall": ["track", "split_group", "model", "role"],
 }
-_SUMS = ("n_rows", "s_y", "s_pred", "s_err", "s_abs", "s_sq", "s_origin")
 
 
 def score(df: DataFrame) -> DataFrame:
@@ -37,11 +38,14 @@ def error_cells(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count(e).alias("n_err"),
+        F.count("y_true").alias("n_y"),
         F.sum("y_true").alias("s_y"),
+        F.count("y_pred").alias("n_pred"),
         F.sum("y_pred").alias("s_pred"),
         F.sum(e).alias("s_err"),
         F.sum(F.abs(e)).alias("s_abs"),
         F.sum(e * e).alias("s_sq"),
+        F.count(origin).alias("n_origin"),
         F.sum(origin.cast("double")).alias("s_origin"),
     )
 
@@ -50,10 +54,10 @@ def _metrics(with_origin: bool) -> list[Column]:
     n, m = F.sum("n_rows"), F.sum("n_err")
     cols = [n.alias("n_rows")]
     if with_origin:
-        cols.append((F.sum("s_origin") / n).alias("mean_origin"))
+        cols.append(F.try_divide(F.sum("s_origin"), F.sum("n_origin")).alias("mean_origin"))
     return cols + [
-        (F.sum("s_y") / n).alias("mean_y"),
-        (F.sum("s_pred") / n).alias("mean_pred"),
+        F.try_divide(F.sum("s_y"), F.sum("n_y")).alias("mean_y"),
+        F.try_divide(F.sum("s_pred"), F.sum("n_pred")).alias("mean_pred"),
         F.try_divide(F.sum("s_err"), m).alias("bias"),
         F.try_divide(F.sum("s_abs"), m).alias("MAE"),
         F.sqrt(F.try_divide(F.sum("s_sq"), m)).alias("RMSE"),
@@ -142,7 +146,7 @@ def _with_bucket(df: DataFrame, value: str, parts: int) -> DataFrame:
     Edges are exact and found without gathering the column in one task.
     """
     probs = {f"q{i}": i / parts for i in range(parts + 1)}
-    edges = grouped_quantiles(df, [], value, probs)
+    edges = grouped_quantiles(df.select(value), [], value, probs)
     arr = edges.select(F.array_distinct(F.array(*probs)).alias("e")).scalar()
     below = F.size(F.filter("_e", lambda x: x < F.col(value)))
     return (
@@ -177,7 +181,10 @@ def window_metrics(pred: DataFrame, truth: DataFrame, windows: dict[str, tuple],
         ]
     )
     week = monday_by_weekday(TARGET_WEEK)
-    rows = pred.withColumn(TARGET_WEEK, week).select("*", F.inline(spans))
+    low = min((a for a, _ in windows.values()), default=dt.date.max)
+    high = max((b for _, b in windows.values()), default=dt.date.min)
+    near = pred.filter(F.col(TARGET_WEEK).between(F.lit(low), F.lit(high) + F.expr("interval 6 days")))
+    rows = near.drop("y_true").withColumn(TARGET_WEEK, week).select("*", F.inline(spans))
     rows = rows.filter(F.col(TARGET_WEEK).between(F.col("a"), F.col("b")))
     e = F.col("y_true") - F.col("y_pred")
     return (

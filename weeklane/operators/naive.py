@@ -37,9 +37,11 @@ def tail_mean(panel: DataFrame, n: int = 4, value: str = VALUE) -> DataFrame:
 
 
 def seasonal_naive_tail(splits: DataFrame, panel: DataFrame, days: int = 364, n: int = 4) -> DataFrame:
-    """Last year's value if it lies at or before the origin, else the tail mean, else 0; never negative."""
+    """Last year's value if it lies at or before the origin, else the mean of the last n values up to
+    the origin (on a panel with holes: up to the last week there is), else 0; never negative."""
     clipped = panel.withColumn(VALUE, clip(F.col(VALUE), 0))
-    tails = tail_mean(clipped, n).select(GEO, WEEK, "tail_mean")
+    asked = splits.select(GEO, WEEK).distinct().join(clipped.select(GEO, WEEK), [GEO, WEEK], "left_anti")
+    tails = tail_mean(clipped.select(GEO, WEEK, VALUE).unionByName(asked.withColumn(VALUE, F.lit(None))), n).select(GEO, WEEK, "tail_mean")
     past = clipped.select(GEO, F.col(WEEK).alias("_ref"), F.col(VALUE).cast("double").alias("_past"))
     truth = panel.select(GEO, F.col(WEEK).alias(TARGET_WEEK), F.col(VALUE).cast("double").alias("y_true"))
     usable = F.when(F.col("_ref") <= F.col(WEEK), F.col("_past"))
@@ -66,6 +68,7 @@ def naive_columns(supervised: DataFrame) -> DataFrame:
     )
 
 
+# How a naive forecast is marked.
 NAIVE_STATUS = {
     "persistence": "naive_current_cases",
     "seasonal_naive_52": "naive_same_week_last_year",
@@ -81,7 +84,7 @@ def to_long(wide: DataFrame, models: list[str], keep: list[str], status: dict[st
         *[
             F.struct(
                 F.lit(m).alias("model"),
-                F.greatest(F.col(m).cast("double"), F.lit(0.0)).alias("y_pred"),
+                clip(F.col(m).cast("double"), 0.0).alias("y_pred"),
                 F.lit(label.get(m, "trained")).alias("fit_status"),
             )
             for m in models

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weeklane.config import GEO, NAME, VALUE, WEEK
@@ -11,17 +11,25 @@ from weeklane.functions.windows import series
 
 
 def dedupe(df: DataFrame, keys: list[str], order: list[str], keep: str = "first") -> DataFrame:
-    """One row per key: the first (or last) in ``order``.
+    """One row per key: the first (or last) in ``order``; nulls are never preferred.
 
     An aggregation, not a window: copies of a key are folded before the shuffle,
-    so a key that holds a third of the table is no hot spot.
+    so a key that holds a third of the table is no hot spot. Where keys are
+    known to have few copies, ``first_in_series`` sorts the shuffled rows only.
     """
     rest = [c for c in df.columns if c not in keys]
-    pick = F.min_by if keep == "first" else F.max_by
-    chosen = pick(F.struct(*rest), F.struct(*order)).alias("_row")
+    pick, absent = (F.min_by, Column.isNull) if keep == "first" else (F.max_by, Column.isNotNull)
+    parts = [x for c in order for x in (absent(F.col(c)), F.col(c))]
+    chosen = pick(F.struct(*rest), F.struct(*parts)).alias("_row")
     return df.groupBy(*keys).agg(chosen).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def first_in_series(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """As ``dedupe``, by a window: for keys whose copies are few, as those of a panel's series."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1).drop("_k")
+
+
 def build_panel(counts: DataFrame, covariates: DataFrame, tie_break: list[str] | None = None) -> DataFrame:
     """Counts with covariates where there are any, Monday anchored, one row per key."""
     joined = counts.join(covariates, [GEO, NAME, WEEK], "left").withColumn(WEEK, monday(WEEK))
@@ -39,9 +47,13 @@ def densify(
     """Every Monday between the first and last week of the series (or of the table).
 
     Each row emits the weeks up to its successor, so one window over the series
-    does it and later windows over the same key reuse its partitioning. ``df``
-    must be unique on (key, time).
+    does it and later windows over the same key reuse its partitioning. Days are
+    anchored to their Monday first; of rows that share a week the first in the
+    order of the other columns stays.
     """
+    others = [c for c in df.columns if c not in (key, time)]
+    df = first_in_series(df.withColumn(time, monday(time)).filter(F.col(time).isNotNull()), [key, time], others or [time])
+    df = df.select(key, time, *others)
     w = series(key, time)
     start = F.col(time)
     stop = F.coalesce(F.date_sub(F.lead(time).over(w), 7), F.col(time))
@@ -80,10 +92,14 @@ def panel_qc(df: DataFrame, required: list[str] | None = None) -> DataFrame:
         "negative_values": F.sum("negative"),
         "duplicate_keys": F.sum(F.col("n") - 1),
     }
-    for geo in required or []:
-        checks[f"missing_{geo}"] = F.when(F.count_if(F.col(GEO) == geo) > 0, 0).otherwise(1)
     one = per_key.agg(*[F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in checks.items()])
-    return one.unpivot([], list(checks), "check", "n")
+    out = one.unpivot([], list(checks), "check", "n")
+    if not required:
+        return out
+    ids = df.sparkSession.createDataFrame([(g,) for g in required], f"{GEO} string")
+    absent = missing_members(df, ids).withColumn("n", F.lit(1).cast("long"))
+    every = ids.join(absent, GEO, "left").select(F.concat(F.lit("missing_"), GEO).alias("check"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return out.unionByName(every)
 
 
 def missing_members(df: DataFrame, required: DataFrame, key: str = GEO) -> DataFrame:

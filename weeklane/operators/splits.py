@@ -61,7 +61,10 @@ def split_counts(splits: DataFrame) -> DataFrame:
 
 
 def supervised_frame(features: DataFrame, splits: DataFrame, panel: DataFrame) -> DataFrame:
-    """Features at the origin and the value at the target week, for any split table."""
+    """Features at the origin and the value at the target week, for any split table.
+
+    For the folds of ``rolling_origin_splits`` use ``supervised_from_panel``: same rows, one shuffle.
+    """
     labels = panel.select(GEO, F.col(WEEK).alias(TARGET_WEEK), F.col(VALUE).cast("double").alias("y_true"))
     return (
         splits.join(features, [GEO, WEEK], "left")
@@ -111,13 +114,22 @@ def supervised_from_panel(
     )
 
 
-def full_training_pairs(features: DataFrame, panel: DataFrame, horizons: Sequence[int]) -> DataFrame:
-    """All origins x horizons whose target lies within the panel and has a value."""
-    last = panel.agg(F.max(WEEK).alias("w")).scalar()
-    pairs = features.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
-    pairs = pairs.withColumn(TARGET_WEEK, add_weeks(F.col(WEEK), F.col("horizon")))
-    labels = panel.select(GEO, F.col(WEEK).alias(TARGET_WEEK), F.col(VALUE).cast("double").alias("y_true"))
-    return pairs.filter(F.col(TARGET_WEEK) <= last).join(labels, [GEO, TARGET_WEEK], "inner")
+def training_pairs_from_panel(
+    panel: DataFrame, track: str, horizons: Sequence[int], spec: FeatureSpec = FeatureSpec(), with_covariates: bool = False
+) -> DataFrame:
+    """All origins x horizons whose target week has a value, in one shuffle by series."""
+    feats = all_features(panel, spec, with_covariates)
+    need = required_columns(feats, spec, with_covariates)
+    base = with_calendar_lookups(feats, horizons).na.drop("any", subset=need)
+    rows = base.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    truth = F.coalesce(*[F.when(F.col("horizon") == h, F.col(f"_y_{h}")) for h in horizons])
+    rows = rows.withColumns({TARGET_WEEK: add_weeks(F.col(WEEK), F.col("horizon")), "y_true": truth, "track": F.lit(track)})
+    return rows.drop(*[f"_{s}_{h}" for s in "ys" for h in horizons]).filter(F.col("y_true").isNotNull())
+
+
+def next_fold_id(fold_ids: Sequence[str]) -> str:
+    """One more than the largest fold id where all are numbers, else ``gap``."""
+    return str(max(map(int, fold_ids)) + 1) if fold_ids and all(f.isdigit() for f in fold_ids) else "gap"
 
 
 def latest_origin(features: DataFrame, horizons: Sequence[int]) -> DataFrame:

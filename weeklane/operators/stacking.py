@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weeklane.config import GEO, TARGET_WEEK, VALUE, WEEK, Stack
-from weeklane.functions.quantiles import bounded
+from weeklane.functions.scalars import clip
 
+# Fixed value: the rule as written to the weight table.
+WEIGHT_RULE = "leave_one_fold_out_inverse_mae"
 BLEND_KEYS = [GEO, WEEK, TARGET_WEEK, "horizon", "role", "fold_id"]
 
 
@@ -18,12 +20,14 @@ def pivot_models(long: DataFrame, models: list[str], ids: list[str], value: str
     return rows.groupBy(*ids).agg(*picks)
 
 
-def lofo_mae(long: DataFrame) -> DataFrame:
+def lofo_mae(long: DataFrame, models: list[str] | None = None) -> DataFrame:
     """Validation MAE per (fold, horizon, model) over the *other* development folds.
 
     Totals minus the own fold, on one row per fold, horizon and model. A fold
-    that leaves no other development rows falls back to all of them.
+    that leaves no other development rows falls back to all of them. ``models``:
+    the base models; rows of others are left out.
     """
+    long = long if models is None else long.filter(F.col("model").isin(models))
     dev = (F.col("role") == "val") & (F.col("split_group") == "development")
     e = F.abs(F.col("y_true") - F.col("y_pred"))
     cells = long.groupBy("track", "fold_id", "horizon", "model").agg(
@@ -70,7 +74,7 @@ def stack_weights(maes: DataFrame, cfg: Stack = Stack(), by: tuple[str, ...] = (
         "model",
         weight.alias("weight"),
         "source_mae",
-        F.lit("leave_one_fold_out_inverse_mae").alias("weight_rule"),
+        F.lit(WEIGHT_RULE).alias("weight_rule"),
         F.lit(float(cfg.persistence_floor)).alias("persistence_floor"),
         F.lit(float(cfg.inverse_mae_power)).alias("inverse_mae_power"),
     )
@@ -81,22 +85,23 @@ def conservative_stack(
     weights: DataFrame,
     models: list[str],
     by: tuple[str, ...] = ("fold_id", "horizon"),
-    settings: int = 1000,
     missing: Column | None = None,
 ) -> DataFrame:
-    """Weighted sum over model columns as ``conservative_stack``; a null forecast counts as the origin value.
+    """Weighted sum over at least two model columns as ``conservative_stack``.
 
-    ``settings`` bounds the rows of the weight table (folds x horizons).
+    A null forecast counts as the origin value; without an origin value the blend is null.
     """
+    if len(models) < 2:
+        raise ValueError("a stack needs two models at least")
     picks = [F.max(F.when(F.col("model") == m, F.col("weight"))).alias(f"_w_{m}") for m in models]
     table = weights.groupBy(*by).agg(*picks)
-    out = wide.join(bounded(table, settings), list(by), "left")
+    out = wide.join(table, list(by), "left")
     instead = F.col(VALUE).cast("double") if missing is None else missing
     blend: Column = F.lit(0.0)
     for m in models:
         y = F.when(~F.isnan(F.col(m)), F.col(m))
         blend = blend + F.coalesce(F.col(f"_w_{m}"), F.lit(0.0)) * F.coalesce(y, instead)
-    return out.withColumn("conservative_stack", F.greatest(blend, F.lit(0.0))).drop(*[f"_w_{m}" for m in models])
+    return out.withColumn("conservative_stack", clip(blend, 0.0)).drop(*[f"_w_{m}" for m in models])
 
 
 def level0_merge(a: DataFrame, b: DataFrame, name_a: str, name_b: str, keys: list[str] = BLEND_KEYS) -> DataFrame:
@@ -106,13 +111,13 @@ def level0_merge(a: DataFrame, b: DataFrame, name_a: str, name_b: str, keys: lis
 
 
 def inverse_rmse_stack(
-    merged: DataFrame, rmse: DataFrame, name_a: str, name_b: str, by: tuple[str, ...] = ("fold_id", "horizon"), settings: int = 1000
+    merged: DataFrame, rmse: DataFrame, name_a: str, name_b: str, by: tuple[str, ...] = ("fold_id", "horizon")
 ) -> DataFrame:
-    """Blend with weights 1/RMSE. ``rmse`` has columns rmse_a and rmse_b; a missing horizon uses the mean."""
+    """Blend with weights 1/RMSE; an unknown RMSE gives null. ``rmse`` has columns rmse_a and rmse_b; a missing horizon uses the mean."""
     means = rmse.groupBy(*by[:-1]).agg(F.avg("rmse_a").alias("_ma"), F.avg("rmse_b").alias("_mb"))
-    out = merged.join(bounded(rmse, settings), list(by), "left").join(bounded(means, settings), list(by[:-1]), "left")
-    wa = F.lit(1.0) / F.greatest(F.coalesce("rmse_a", "_ma"), F.lit(1e-9))
-    wb = F.lit(1.0) / F.greatest(F.coalesce("rmse_b", "_mb"), F.lit(1e-9))
+    out = merged.join(rmse, list(by), "left").join(means, list(by[:-1]), "left")
+    wa = F.lit(1.0) / clip(F.coalesce("rmse_a", "_ma"), 1e-9)
+    wb = F.lit(1.0) / clip(F.coalesce("rmse_b", "_mb"), 1e-9)
     pred = (wa * F.col(f"y_{name_a}") + wb * F.col(f"y_{name_b}")) / (wa + wb)
     return out.withColumn("y_pred", pred).drop("rmse_a", "rmse_b", "_ma", "_mb")
 
@@ -138,8 +143,8 @@ def blend_weight(
     return sums.select(*by, F.col("_n").alias("n_learn"), w.alias("weight"))
 
 
-def apply_blend(merged: DataFrame, weights: DataFrame, name_a: str, name_b: str, by: tuple[str, ...] = ("fold_id", "horizon"), settings: int = 1000) -> DataFrame:
-    out = merged.join(bounded(weights.select(*by, "weight"), settings), list(by), "left")
+def apply_blend(merged: DataFrame, weights: DataFrame, name_a: str, name_b: str, by: tuple[str, ...] = ("fold_id", "horizon")) -> DataFrame:
+    out = merged.join(weights.select(*by, "weight"), list(by), "left")
     w = F.col("weight")
     return out.withColumn("y_pred", w * F.col(f"y_{name_a}") + (1 - w) * F.col(f"y_{name_b}"))
 

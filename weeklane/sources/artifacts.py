@@ -10,8 +10,8 @@ from weeklane.sources.counts import read_text_csv
 
 
 def _fold_of(file_name: Column) -> Column:
-    fold = F.regexp_extract(file_name, r"_(F\d+)\.", 1)
-    return F.when(fold != "", fold).otherwise("F?")
+    fold = F.regexp_extract(file_name, r"_([^_.]+)\.[^.]*$", 1)
+    return F.when(fold != "", fold)
 
 
 def load_panel(spark: SparkSession, path: str) -> DataFrame:
@@ -19,21 +19,21 @@ def load_panel(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fold_union(spark: SparkSession, folder: str, model: str) -> DataFrame:
-    """``{model}_F*.parquet`` of a folder; the fold comes from the file name if no column says it."""
-    files = spark.read.option("pathGlobFilter", f"{model}_F*.parquet").parquet(folder)
+    """``{model}_*.parquet`` of a folder; the fold, any text, comes from the file name if no column says it."""
+    files = spark.read.option("pathGlobFilter", f"{model}_*.parquet").parquet(folder)
     if "fold_id" not in files.columns:
         files = files.select("*", _fold_of(F.col("_metadata.file_name")).alias("fold_id"))
     return files.withColumn("model", F.lit(model))
 
 
 def metric_union(spark: SparkSession, folder: str, models: list[str]) -> DataFrame:
-    """``metrics_{model}_F*.csv`` of a folder as (model, fold, role, horizon, MAE, RMSE)."""
-    wanted = "metrics_{" + ",".join(models) + "}_F*.csv"
+    """``metrics_{model}_*.csv`` of a folder as (model, fold, role, horizon, MAE, RMSE)."""
+    wanted = "metrics_{" + ",".join(models) + "}_*.csv"
     rows = read_text_csv(spark, f"{folder.rstrip('/')}/{wanted}")
     name = F.col("_metadata.file_name")
     return rows.select(
-        F.regexp_extract(name, r"^metrics_(.+)_F\d+\.csv$", 1).alias("model"),
-        F.regexp_extract(name, r"_(F\d+)\.csv$", 1).alias("fold"),
+        F.regexp_extract(name, r"^metrics_(.+)_[^_]+\.csv$", 1).alias("model"),
+        F.regexp_extract(name, r"_([^_]+)\.csv$", 1).alias("fold"),
         "role",
         number("horizon").cast("int").alias("horizon"),
         number("MAE").alias("MAE"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping
 from functools import reduce
 
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 
 from weeklane.config import COVARIATE_FILES, COVARIATE_HEADERS, COVARIATES, GEO, NAME, WEEK
 from weeklane.functions.scalars import monday, normalize_name, number, parse_day
-from weeklane.sources.counts import read_text_csv
 
 
 def _date_column(columns: list[str]) -> str | None:
@@ -51,17 +51,23 @@ def load_covariates(
 ) -> DataFrame:
     """All files of a folder. Files of one layout are read together; layouts are united by name.
 
-    Only the header line of each file comes to the driver, as file listings do.
+    Only the distinct header lines come to the driver. A file's header is its first line, whole;
+    lines are read as text and parsed by the header of their file.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    head = F.element_at(F.split(F.decode(F.substring("content", 1, 65536), "UTF-8"), "\r?\n"), 1)
-    layouts = files.groupBy(head.alias("h")).agg(F.collect_list("path").alias("paths")).collect()
+    lines = spark.read.option("pathGlobFilter", pattern).text(folder).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("_name"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")
+    )
+    heads = lines.filter(F.col("_start") == 0).groupBy("_file").agg(F.min_by("value", "_at").alias("_head"))
+    layouts = [r["_head"] for r in heads.select("_head").distinct().orderBy("_head").collect()]
     if not layouts:
         raise FileNotFoundError(f"no {pattern} in {folder}")
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    rows = lines.join(heads, "_file").filter(F.col("value") != F.col("_head"))
     parts = []
-    for row in layouts:
-        wide = read_text_csv(spark, sorted(row["paths"]))
-        parts.append(tidy_covariates(wide, stem, nodes))
+    for head in layouts:
+        names = [n.strip() for n in next(csv.reader([head.lstrip("\ufeff")]))]
+        schema = ", ".join(f"`{n.replace('`', '')}` string" for n in names)
+        own = rows.filter(F.col("_head") == head).select("_name", F.from_csv("value", F.lit(schema)).alias("_r"))
+        wide = own.select("_name", "_r.*")
+        parts.append(tidy_covariates(wide, F.regexp_replace(F.col("_name"), r"\.[^.]*$", ""), nodes))
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return out.select(GEO, NAME, WEEK, *[c for c in COVARIATES if c in out.columns])

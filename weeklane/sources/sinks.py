@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def save_predictions(predictions: DataFrame, path: str) -> None:
-    """One directory per (track, model), so that reading one model prunes the others."""
-    predictions.write.mode("overwrite").partitionBy("track", "model").parquet(path)
+    """One directory per (track, model), so that reading one model prunes the others.
+
+    Directories of other tracks and models stay.
+    """
+    writer = predictions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("track", "model").parquet(path)
 
 
 def save_tables(tables: dict[str, DataFrame], folder: str, skip: tuple[str, ...] = ("predictions_scored",)) -> None:
@@ -19,7 +23,10 @@ def save_tables(tables: dict[str, DataFrame], folder: str, skip: tuple[str, ...]
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
-    """Write a stage and go on from the written table: the lineage ends here and survives lost executors."""
+    """Write a stage and go on from the written table: the lineage ends here and survives lost executors.
+
+    ``path`` must be on storage that all executors share.
+    """
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
