@@ -63,15 +63,16 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int, shards: int, alpha:
     rows = docs.join(small(chosen, 2 * sample), "doc").withColumn("order", order)
 
     def run(batches):
-        rows = []
+        rows: dict[int, list] = {}
         for batch in batches:
-            for text, label in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("label").to_pylist(), strict=True):
-                rows.append((np.r_[0, np.unique(features(text))], label))
-        if rows:
-            at, w = learn(rows, alpha, beta, l1, l2, epochs)
+            for shard, text, label in zip(batch.column("shard").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("label").to_pylist(), strict=True):
+                rows.setdefault(shard, []).append((np.r_[0, np.unique(features(text))], label))
+        for own in rows.values():
+            at, w = learn(own, alpha, beta, l1, l2, epochs)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["at", "w"])
 
-    dealt = rows.repartition(shards, F.pmod(F.hash("order"), F.lit(shards))).sortWithinPartitions("order", "text").select("text", "label")
+    rows = rows.withColumn("shard", F.pmod("order", F.lit(shards)).cast("int"))
+    dealt = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "order", "text").select("shard", "text", "label")
     own = cut(dealt.mapInArrow(run, "at long, w double"), "weights")
     ran = own.where("at = 0").count()
     mean = own.groupBy("at").agg(F.count("*").alias("k"), F.sum("w").alias("w")).where(2 * F.col("k") >= ran)
