@@ -23,6 +23,7 @@ from weeklane.llm.common import cut, text_of
 from weeklane.llm.minhash import MIX
 
 LONGEST = 16  # bytes of a piece
+TOP = 18  # bits by which the pieces are looked up
 CELLS = 400_000  # bytes of the words that are looked at together
 BLOCK_WORDS, BLOCK_TOKENS = 300_000, 4_000_000  # a block of documents is closed beyond either
 
@@ -68,6 +69,8 @@ def piece_table(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Lattice:
     def __init__(self, hashes: np.ndarray, numbers: np.ndarray, logp: np.ndarray):
         self.hashes, self.numbers, self.logp = hashes, numbers, logp
+        top = (hashes >> np.uint64(64 - TOP)).astype(np.int64)
+        self.first = np.searchsorted(top, np.arange((1 << TOP) + 1))  # where hashes with these top bits start
         self.power = np.array([pow(int(MIX[0]), k, 1 << 64) for k in range(LONGEST + 1)], np.uint64)
 
     def chunks(self, words: list[bytes]):
@@ -86,8 +89,17 @@ class Lattice:
     def edges(self, h: np.ndarray, end: int, length: int) -> np.ndarray:
         """The piece that covers the bytes from end - length to end of each word, or -1."""
         key = h[:, end] - h[:, end - length] * self.power[length]
-        at = np.minimum(np.searchsorted(self.hashes, key), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == key, self.numbers[at], -1)
+        top = (key >> np.uint64(64 - TOP)).astype(np.int64)
+        at, stop = self.first[top], self.first[top + 1]
+        rows = np.flatnonzero(at < stop)
+        out = np.full(len(key), -1)
+        while len(rows):
+            same = self.hashes[at[rows]] == key[rows]
+            out[rows[same]] = self.numbers[at[rows[same]]]
+            rows = rows[~same]
+            at[rows] += 1
+            rows = rows[at[rows] < stop[rows]]
+        return out
 
     def forward(self, cells: np.ndarray) -> tuple[np.ndarray, list]:
         """Log of the sum over all paths to each place, and the edges (end, length, pieces)."""
