@@ -13,6 +13,8 @@ Word counts come from all training documents. A block of documents holds its dis
 only these go through the shuffles, and each document is scored against its block's words.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -151,7 +153,7 @@ def coded(docs: DataFrame) -> DataFrame:
             block = [name] * (n + 1)
             cols = [
                 pa.array(block), pa.array([r[0] for r in rows] + [None], kind), pa.array([r[1] for r in rows] + [None], pa.bool_()),
-                pa.array([r[2] for r in rows] + [None], pa.list_(pa.int32())), pa.array([None] * n + [list(known)], pa.list_(pa.binary())), pa.array([None] * n + [count[: len(known)]], pa.list_(pa.int64())),
+                pa.array([zlib.compress(r[2].tobytes(), 1) for r in rows] + [None], pa.binary()), pa.array([None] * n + [list(known)], pa.list_(pa.binary())), pa.array([None] * n + [count[: len(known)]], pa.list_(pa.int64())),
             ]
             return pa.RecordBatch.from_arrays(cols, ["block", "doc", "held", "tokens", "words", "counts"])
 
@@ -174,7 +176,7 @@ def coded(docs: DataFrame) -> DataFrame:
             yield close()
 
     kind = dict(docs.dtypes)["doc"]
-    return docs.mapInArrow(run, f"block string, doc {kind}, held boolean, tokens array<int>, words array<binary>, counts array<long>")
+    return docs.mapInArrow(run, f"block string, doc {kind}, held boolean, tokens binary, words array<binary>, counts array<long>")
 
 
 def fitted_pieces(vocab: DataFrame, path: str, rounds: int, prior: float):
@@ -242,8 +244,8 @@ def lattice_scores(docs: DataFrame, held, path: str, id_col: str = "doc_id", tex
         at = right["at"].to_numpy()
         c[at], p[at] = right["c"].to_numpy(), right["p"].to_numpy()
         base = np.log10((c + 1) / (n + v + 1))
-        lists = left["tokens"].combine_chunks()
-        flat, ends_at = lists.flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int64)
+        tokens = [np.frombuffer(zlib.decompress(t), np.int32) for t in left["tokens"].to_pylist()]
+        flat, ends_at = np.concatenate(tokens), np.r_[0, np.cumsum([len(t) for t in tokens])]
 
         count = np.diff(ends_at)
         return pa.table({
