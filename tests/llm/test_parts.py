@@ -32,7 +32,7 @@ def test_column_wise_matches(rows, size):
     assert (found == expected).all()
 
 
-@given(st.binary(min_size=0, max_size=300), st.integers(20, 60))
+@given(st.binary(min_size=0, max_size=400), st.integers(64, 120))
 @settings(max_examples=50, deadline=None)
 def test_every_string_holds_an_anchor(text, size):
     b = np.frombuffer(text, np.uint8)
@@ -44,9 +44,9 @@ def test_every_string_holds_an_anchor(text, size):
 def test_anchors_across_steps(monkeypatch):
     r = random.Random(1)
     b = np.array([r.randint(97, 100) for _ in range(5000)], np.uint8)
-    whole = repeats.anchors(b, 60)
+    whole = repeats.anchors(b, 90)
     monkeypatch.setattr(repeats, "STEP", 700)
-    parts = repeats.anchors(b, 60)
+    parts = repeats.anchors(b, 90)
     assert all((x == y).all() for x, y in zip(whole, parts, strict=True))
 
 

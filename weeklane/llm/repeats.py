@@ -26,18 +26,19 @@ from pyspark.sql import functions as F
 from weeklane.llm.common import cut, text_of
 from weeklane.llm.minhash import MIX, mixed, signed
 
-GRAM = 16
+GRAM = 64  # bytes of an anchor; short ones are shared by chance
+DOUBLED = (1, 2, 4, 8, 16, 32)
 ROUND = 8_000  # contexts in one construction, or one group of equal anchors
-HOT = 20_000  # a larger group is settled by counting its strings' hashes
+HOT = 50_000  # a larger group is settled by counting its strings' hashes
 STEP = 1 << 20  # bytes of a text that are hashed at once
 LISTED = 2_000_000  # places that may be broadcast; beyond, texts are joined by a shuffle
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
-    """Mixed hashes of all 16-byte strings of b."""
+    """Mixed hashes of all GRAM-byte strings of b."""
     x = b.astype(np.uint64) + np.uint64(1)
     x = mixed(x * MIX[0])
-    for k in (1, 2, 4, 8):
+    for k in DOUBLED:
         x = x[:-k] * MIX[k % 3] * np.uint64(2 * k + 1) + (x[k:] ^ (x[k:] >> np.uint64(31)))
     return mixed(x)
 
@@ -121,74 +122,80 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def anchored(texts: DataFrame, size: int) -> DataFrame:
-    """(row, at, low, high, anchor, around): each anchor, its context's bytes and their hash."""
+    """(h1, h2, n, at, anchor, around): a text's key and bytes, each anchor and its context's hash."""
 
     def run(batches):
         reach = size - GRAM
         for batch in batches:
-            out = {k: [np.zeros(0, np.int64)] for k in ("row", "at", "low", "high", "anchor")}
-            around = []
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
+            keys = [batch.column(c).to_numpy() for c in ("h1", "h2")]
+            which, ats, hashes, around, lengths = [], [], [], [], []
+            for i, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
                 at, h = anchors(np.frombuffer(text, np.uint8), size)
-                low, high = np.maximum(at - reach, 0), np.minimum(at + size, len(text))
-                for k, x in zip(out, (np.full(len(at), row), at, low, high, signed(h)), strict=True):
-                    out[k].append(x)
-                around += [xxhash.xxh3_64_intdigest(text[a:b], p) - (1 << 63) for a, b, p in zip(low.tolist(), high.tolist(), (at - low).tolist(), strict=True)]
-            cols = [pa.array(np.concatenate(x), t) for x, t in zip(out.values(), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(around, pa.int64())], [*out, "around"])
+                which.append(np.full(len(at), i))
+                ats.append(at)
+                hashes.append(h)
+                lengths.append(np.full(len(at), len(text)))
+                around += [xxhash.xxh3_64_intdigest(text[max(p - reach, 0) : p + size], min(p, reach)) - (1 << 63) for p in at.tolist()]
+            i = np.concatenate(which) if which else np.zeros(0, np.int64)
+            at, h, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ats, hashes, lengths))
+            cols = [pa.array(keys[0][i]), pa.array(keys[1][i]), pa.array(n, pa.int32()), pa.array(at, pa.int32()), pa.array(signed(h)), pa.array(around, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["h1", "h2", "n", "at", "anchor", "around"])
 
-    return texts.select("row", "text").mapInArrow(run, "row long, at int, low int, high int, anchor long, around long")
+    return texts.select("h1", "h2", "text").mapInArrow(run, "h1 long, h2 long, n int, at int, anchor long, around long")
 
 
 def with_lists(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """texts joined with (row, list); few list entries are broadcast, so that texts stay in place."""
+    """texts joined with (h1, h2, list); few list entries are broadcast, so that texts stay in place."""
     n = lists.select(F.sum(F.size("list")).alias("n")).first()["n"] or 0
-    return texts.join(F.broadcast(lists) if n <= LISTED else lists, "row", how)
+    return texts.join(F.broadcast(lists) if n <= LISTED else lists, ["h1", "h2"], how)
 
 
 def contexts(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(anchor, row, at, lead, context): the bytes, lead of them before the anchor."""
+    """(anchor, h1, h2, at, lead, context): the bytes, lead of them before the anchor."""
 
     def run(batches):
         reach = size - GRAM
         for batch in batches:
             rows = []
-            for row, text, places in zip(batch.column("row").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("list").to_pylist(), strict=True):
+            for h1, h2, text, places in zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("list").to_pylist(), strict=True):
                 for p in places:
                     low = max(0, p["at"] - reach)
-                    rows.append((p["anchor"], row, p["at"], p["at"] - low, text[low : p["at"] + size]))
+                    rows.append((p["anchor"], h1, h2, p["at"], p["at"] - low, text[low : p["at"] + size]))
                     if len(rows) >= 10_000:
                         yield batch_of(rows)
                         rows = []
             yield batch_of(rows)
 
     def batch_of(rows):
-        kinds = {"anchor": pa.int64(), "row": pa.int64(), "at": pa.int32(), "lead": pa.int32(), "context": pa.binary()}
+        kinds = {"anchor": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "at": pa.int32(), "lead": pa.int32(), "context": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
 
-    lists = cut(wanted.groupBy("row").agg(F.collect_list(F.struct("at", "anchor")).alias("list")), "wanted")
-    return with_lists(texts, lists, "inner").select("row", "text", "list").mapInArrow(run, "anchor long, row long, at int, lead int, context binary")
+    lists = cut(wanted.groupBy("h1", "h2").agg(F.collect_list(F.struct("at", "anchor")).alias("list")), "wanted")
+    found = with_lists(texts, lists, "inner").select("h1", "h2", "text", "list").mapInArrow(run, "anchor long, h1 long, h2 long, at int, lead int, context binary")
+    return found
 
 
 def column_wise(found: DataFrame, size: int) -> DataFrame:
-    """(row, low, high) of repeated strings, from the groups of equal anchors."""
+    """(h1, h2, low, high) of repeated strings, from the groups of equal anchors."""
 
     def spans(rows):
         reach, width = size - GRAM, 2 * size - GRAM
         cells = np.full((len(rows), width), 256, np.uint16)
-        low = np.array([reach - r[3] for r in rows])
-        high = np.array([reach - r[3] + len(r[4]) for r in rows])
+        low = np.array([reach - r[4] for r in rows])
+        high = np.array([reach - r[4] + len(r[5]) for r in rows])
         for i, r in enumerate(rows):
-            cells[i, low[i] : high[i]] = np.frombuffer(r[4], np.uint8)
+            cells[i, low[i] : high[i]] = np.frombuffer(r[5], np.uint8)
         cover = covered(cells, np.array([r[0] for r in rows]), low, high, size)
         some = np.flatnonzero(cover.any(axis=1))
-        out = [(rows[i][1], rows[i][2] - reach + a, rows[i][2] - reach + b) for i in some for a, b in runs(cover[i])]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["row", "low", "high"])
+        out = [(*rows[i][1:3], rows[i][3] - reach + a, rows[i][3] - reach + b) for i in some for a, b in runs(cover[i])]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["h1", "h2", "low", "high"])
 
     def run(batches):
         rows: list = []
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "row", "at", "lead", "context")), strict=True):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "h1", "h2", "at", "lead", "context")), strict=True):
+                if rows and rows[-1][:4] == r[:4]:
+                    continue  # another copy of the text
                 if len(rows) >= ROUND and rows[-1][0] != r[0]:
                     yield spans(rows)
                     rows = []
@@ -196,8 +203,8 @@ def column_wise(found: DataFrame, size: int) -> DataFrame:
         if rows:
             yield spans(rows)
 
-    dealt = found.repartition(F.col("anchor")).sortWithinPartitions("anchor", "row", "at")
-    return dealt.mapInArrow(run, "row long, low int, high int")
+    dealt = found.repartition(F.col("anchor")).sortWithinPartitions("anchor", "h1", "h2", "at")
+    return dealt.mapInArrow(run, "h1 long, h2 long, low int, high int")
 
 
 def by_counts(found: DataFrame, size: int) -> DataFrame:
@@ -205,15 +212,15 @@ def by_counts(found: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for anchor, row, at, lead, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "row", "at", "lead", "context")), strict=True):
-                n = len(text) - size + 1
+            for anchor, h1, h2, at, lead, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "h1", "h2", "at", "lead", "context")), strict=True):
+                n = max(0, len(text) - size + 1)
                 key = [xxhash.xxh3_64_intdigest(text[i : i + size], (anchor + i - lead) % (1 << 64)) - (1 << 63) for i in range(n)]
                 start = np.arange(at - lead, at - lead + n)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.full(n, row), pa.int64()), pa.array(start, pa.int32())], ["key", "row", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.full(n, h1)), pa.array(np.full(n, h2)), pa.array(start, pa.int32())], ["key", "h1", "h2", "low"])
 
-    each = found.mapInArrow(run, "key long, row long, low int")
+    each = found.dropDuplicates(["anchor", "h1", "h2", "at"]).mapInArrow(run, "key long, h1 long, h2 long, low int")
     twice = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return each.join(twice, "key").select("row", "low", (F.col("low") + size).alias("high"))
+    return each.join(twice, "key").select("h1", "h2", "low", (F.col("low") + size).alias("high"))
 
 
 def repeats(docs: DataFrame, size: int = 400, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
@@ -221,24 +228,30 @@ def repeats(docs: DataFrame, size: int = 400, id_col: str = "doc_id", text_col:
     bytes) and, with texts, kept (the remaining bytes).
 
     A byte goes if a string of size bytes over it starts anywhere else too. Matches don't cross
-    texts; a null text is empty; rows that repeat a text of at least size bytes lose all of it.
+    texts; a null text is empty; rows that repeat a text of at least size bytes lose all of it. size
+    must be at least GRAM.
     """
+    if size < GRAM:
+        raise ValueError(f"strings of at least {GRAM} bytes are needed")
     own = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text"))
-    own = cut(own.select(F.monotonically_increasing_id().alias("row"), "doc", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(size), "text").alias("h2"), F.octet_length("text").alias("n"), "text"), "texts")
-    same = cut(own.where(F.col("n") >= size).groupBy("h1", "h2").agg(F.min("row").alias("first"), F.count("*").alias("k")).where("k > 1"), "copies")
-    copies = cut(own.select("row", "h1", "h2", "n").join(same, ["h1", "h2"]).select("row", "n", (F.col("row") == F.col("first")).alias("stays")), "copies")
-
-    found = cut(anchored(own, size).join(copies.where("not stays").select("row"), "row", "left_anti"), "anchors")
-    kinds = cut(found.groupBy("anchor", "around").agg(F.count("*").alias("k"), F.min("row").alias("row"), F.min_by("at", "row").alias("at")), "contexts")
+    own = own.select("doc", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(size), "text").alias("h2"), F.octet_length("text").alias("n"), "text")  # equal texts have equal keys
+    copies = own.where(F.col("n") >= size).groupBy("h1", "h2", "n").agg(F.count("*").alias("k")).where("k > 1")
+
+    found = cut(anchored(own.where(F.col("n") >= size), size), "anchors")
+    shared = found.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    twice = cut(found.join(shared, "anchor").withColumn("place", F.xxhash64("h1", "h2", "at")), "repeated")
+    first = [F.min_by(c, "place").alias(c) for c in ("h1", "h2", "at")]
+    kinds = cut(twice.groupBy("anchor", "around").agg(*first, (F.min("place") != F.max("place")).alias("many")), "contexts")
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    open_ = cut(kinds.join(groups, "anchor").select("row", "at", "anchor", "kinds"), "open")
-    whole = found.join(kinds.where("k > 1").select("anchor", "around"), ["anchor", "around"]).select("row", "low", "high")
-    spans = whole.union(copies.select("row", F.lit(0).alias("low"), F.col("n").alias("high")))
+    open_ = cut(kinds.join(groups, "anchor").select("h1", "h2", "at", "anchor", "kinds"), "open")
+    low, high = F.greatest(F.col("at") - (size - GRAM), F.lit(0)), F.least(F.col("at") + size, F.col("n"))
+    whole = twice.join(kinds.where("many").select("anchor", "around"), ["anchor", "around"]).select("h1", "h2", low.alias("low"), high.alias("high")).distinct()
+    spans = whole.union(copies.select("h1", "h2", F.lit(0).alias("low"), F.col("n").alias("high")))
     spans = spans.union(column_wise(contexts(own, open_.where(F.col("kinds") <= HOT), size), size))
     hot = open_.where(F.col("kinds") > HOT)
     if not hot.isEmpty():
         spans = spans.union(by_counts(contexts(own, hot, size), size))
-    lists = cut(spans.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("list")), "spans")
+    lists = cut(spans.distinct().groupBy("h1", "h2").agg(F.collect_list(F.struct("low", "high")).alias("list")), "spans")
 
     def run(batches):
         for batch in batches:
