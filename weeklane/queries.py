@@ -11,8 +11,12 @@ from pyspark.sql import types as T
 
 from weeklane import fixtures as fx
 from weeklane import oracle as o
-from weeklane.config import GEO, TARGET_WEEK, VALUE, WEEK
+from weeklane.config import GEO, TARGET_WEEK, VALUE, WEEK, Training
 from weeklane.functions.scalars import monday, monday_by_weekday, normalize_name, number, origin_bucket, round6
+from weeklane.models import grouped, legacy as legacy_models, live, runner
+from weeklane.models.boosting import boost, leaf_limits
+from weeklane.models.design import fill_constant, prepared, preprocessor, zscore_apply, zscore_fit
+from weeklane.models.fits import TRAINED
 from weeklane.operators import boards, design, explore, features, fill, guardrail, hierarchy, metrics, naive, panel, regimes, splits, stacking, stationarity
 from weeklane.oracle import ERR, FULL, MACRO6, METRIC6, r6, sql
 
@@ -805,4 +809,119 @@ def _(spark, d):
     return design.corr_condition(design_rows(spark, d), ["cases_log1p", "cases_recent_sum_2", "cases_recent_sum_4", "one"])
 
 
+# ---- fitted models ----------------------------------------------------------------------------
+# Rounds, trees and folds are parameters; these queries take fewer than the defaults.
+
+SHORT = Training(gbm_rounds=10, residual_gbm_rounds=10, forest_trees=20)
+TRAIN = "role = 'train'"
+
+
+def one_setting(spark, d):
+    return fx.supervised(spark, d).filter("fold_id = 'D4' AND horizon = 1")
+
+
+def trained_query(name: str, model: str) -> None:
+    @query(name)
+    def _(spark, d):
+        rows = one_setting(spark, d)
+        columns = features.feature_columns(rows, False, ("last_year",))
+        design_ = preprocessor(rows.filter(TRAIN), columns)
+        known, ready = prepared(design_, rows.filter(TRAIN), columns), prepared(design_, rows.filter("role = 'val'"), columns)
+        return TRAINED[model](known, SHORT)(ready).select(*KEY, "horizon", "fold_id", "y_true", F.col(model).alias("y_pred"))
+
+
+for _name, _model in {"tweedie_glm": "ar_tweedie_global", "residual_elastic_net": "residual_elastic_net_global", "poisson_boosting": "panel_hist_gbm", "residual_boosting": "residual_hist_gbm", "residual_forest": "residual_random_forest"}.items():
+    trained_query(_name, _model)
+
+Z = ["cases_lag_1", "cases_rollmean_4", "cases_recent_std_4"]
+
+
+@query("zscore_apply", sql("SELECT s.geo_id, s.week_start_date, " + ", ".join(f"{r6(f'coalesce(greatest(-6, least(6, (s.{c} - t.m_{c}) / t.s_{c})), 0)')} AS z_{c}" for c in Z) + " FROM SU s, (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in Z) + " FROM SU WHERE fold_id = 'D4' AND horizon = 1 AND role = 'train') t WHERE fold_id = 'D4' AND horizon = 1 AND role = 'val'"))
+def _(spark, d):
+    rows = one_setting(spark, d)
+    return zscore_apply(rows.filter("role = 'val'"), zscore_fit(rows.filter(TRAIN), Z), "z_").select(*KEY, *[f"z_{c}" for c in Z])
+
+
+@query("fill_constant", sql("SELECT geo_id, week_start_date, " + ", ".join(f"{r6(f'coalesce({c}, 0)')} AS {c}" for c in fx.COVS) + " FROM GAP"))
+def _(spark, d):
+    return fill_constant(fx.gap_panel(spark, d), fx.COVS).select(*KEY, *fx.COVS)
+
+
+@query("fallback_mean", sql(f"SELECT geo_id, week_start_date, CAST(horizon AS BIGINT) AS horizon, fold_id, {r6('coalesce(avg(CASE WHEN role = $$train$$ THEN y_true END) OVER (PARTITION BY fold_id, horizon), 0)')} AS y_pred, 'fallback_mean' AS fit_status FROM SU"))
+def _(spark, d):
+    every = Training(min_train_rows=10**9)  # no setting has so many rows
+    out = runner.fitted(fx.supervised(spark, d), ["ar_tweedie_global"], [], every)
+    return out.select(*KEY, "horizon", "fold_id", F.col("ar_tweedie_global").alias("y_pred"), F.col("ar_tweedie_global__status").alias("fit_status"))
+
+
+@query("track_run")
+def _(spark, d):
+    return runner.run_track(fx.supervised(spark, d).filter("horizon = 1"), ["ar_tweedie_global", "residual_elastic_net_global"], SHORT)[0]
+
+
+LIVE_MAE = f"SELECT horizon, model, avg(MAE_macro) AS mae FROM ({BY_HORIZON}) GROUP BY 1, 2"
+FLOOR, POWER = fx.STACK.persistence_floor, fx.STACK.inverse_mae_power
+LIVE = f"""WITH_STEPS, L AS (SELECT FE.*, h AS horizon, CAST(FE.week_start_date + 7 * h AS DATE) AS target_week, p.cases AS last_year FROM FE CROSS JOIN (VALUES (1), (2), (3), (4)) v(h) LEFT JOIN P p ON p.geo_id = FE.geo_id AND p.week_start_date = FE.week_start_date + 7 * h - 364 WHERE FE.week_start_date = (SELECT max(week_start_date) FROM P)),
+B AS ({" UNION ALL ".join(f"SELECT geo_id, week_start_date, target_week, horizon, '{m}' AS model, greatest(CAST({x} AS DOUBLE), 0) AS y_pred, '{s}' AS fit_status FROM L" for m, (x, s) in o.NAIVE.items())}),
+R AS (SELECT model, row_number() OVER (ORDER BY {ORDER}) AS rank FROM MACRO WHERE level = 'overall' AND role = 'val' AND split_group = 'holdout')
+SELECT geo_id, week_start_date AS origin_week, target_week, CAST(horizon AS BIGINT) AS horizon, B.model, {r6('y_pred')} AS y_pred, fit_status, rank AS model_rank_from_backtest, CAST(rank = 1 AS BIGINT) AS is_primary_model FROM B JOIN R USING (model)
+UNION ALL SELECT 'COUNTRY_TOTAL', week_start_date, target_week, CAST(horizon AS BIGINT), B.model, {r6('sum(y_pred)')}, any_value(fit_status), any_value(rank), CAST(any_value(rank) = 1 AS BIGINT) FROM B JOIN R USING (model) GROUP BY 2, 3, horizon, 5"""
+
+
+def live_rows(spark, d):
+    ranking = boards.evidence_fallback(rounded(overall(spark, d)), "operational")
+    mae = boards.horizon_mae(fx.macro_level(spark, d, "by_fold_horizon"), "operational")
+    return live.live_forecast(fx.counts(spark, d), fx.HORIZONS, mae, ranking, boards.promotion_policy(ranking), fx.MODELS, stack=fx.STACK)
+
+
+@query("live_forecast", sql("SELECT 1 FROM FE, P, MACRO").rsplit(" SELECT 1 FROM ", 1)[0] + LIVE.replace("WITH_STEPS", ""))
+def _(spark, d):
+    return live_rows(spark, d).filter("model <> 'conservative_stack'").drop("geo_name")
+
+
+@query("live_stack")
+def _(spark, d):
+    return live_rows(spark, d).filter("model = 'conservative_stack'")
+
+
+@query("forecast_slices")
+def _(spark, d):
+    return boards.forecast_slices(live_rows(spark, d))
+
+
+REDUCED = ["cases_lag_1", "cases_lag_2", "cases_rollmean_4", "cases_log1p", "woy_sin", "woy_cos"]
+
+
+@query("poisson_ridge_live")
+def _(spark, d):
+    counts = fx.counts(spark, d)
+    pairs = splits.training_pairs_from_panel(counts, "operational", (1, 2))
+    return legacy_models.with_total(legacy_models.poisson_live(fx.feature_panel(spark, d), pairs, REDUCED, (1, 2)), by=("model", "origin_week"))
+
+
+@query("poisson_backtest")
+def _(spark, d):
+    return legacy_models.poisson_backtest(one_setting(spark, d), REDUCED, dt.date(2000, 1, 3))
+
+
+@query("grouped_nb_glm")
+def _(spark, d):
+    return grouped.grouped_glm(fx.supervised(spark, d).filter("fold_id IN ('D3', 'D4')"), REDUCED)
+
+
+@query("alpha_sweep")
+def _(spark, d):
+    return grouped.alpha_sweep(one_setting(spark, d), REDUCED, [0.005, 0.05])
+
+
+@query("tweedie_boosting")
+def _(spark, d):
+    rows = one_setting(spark, d)
+    design_ = preprocessor(rows.filter(TRAIN), REDUCED)
+    known, held = prepared(design_, rows.filter(TRAIN), REDUCED), prepared(design_, rows.filter("role = 'val'"), REDUCED)
+    depth, leaf = leaf_limits(known.count())
+    model = boost(known, "y_true", "tweedie", 10, 0.1, depth, leaf, power=1.3, val=held)
+    return model.transform(held).select(*KEY, "horizon", "y_true", F.col("_raw").alias("y_pred"))
+
+
 assert set(SQL) <= set(QUERIES) and FULL and MACRO6

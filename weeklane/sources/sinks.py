@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +41,13 @@ def save_sample(df: DataFrame, path: str, n: int = 200, order: tuple[str, ...] =
 def save_records(df: DataFrame, path: str) -> None:
     """Nested run records, one JSON object per line."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` under the shared folder that ``spark.checkpoint.dir`` names (a temporary one in local mode)."""
+    path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not df.sparkSession.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="weeklane-")
+    return materialize(df, f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}")
