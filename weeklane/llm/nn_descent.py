@@ -20,7 +20,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weeklane.llm.common import cut, small
+from weeklane.llm.common import cut
 
 SALTS = 16
 
@@ -162,42 +162,78 @@ def refined(graph: DataFrame, nodes: DataFrame, dim: int, k: int, reverse: int,
     return merged(graph.union(found), k)
 
 
+BEAM = "q long, half binary, nodes array<long>, sims array<float>, open array<boolean>"
+
+
 def searched(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, beam: int, opened: int) -> DataFrame:
-    """(q, node): each query node's beam. queries: q, half."""
+    """(q, node): each query node's beam. queries: q, half.
+
+    A round sends each query to the best unopened nodes of its beam, where their neighbours are
+    compared with it, and merges what is better than the beam's last back into the beam.
+    """
     flat = graph.select("node", F.explode("nbrs").alias("nbr")).join(nodes.select(F.col("node").alias("nbr"), "half"), "nbr")
     lists = cut(flat.groupBy("node").agg(F.collect_list(F.struct("nbr", "half")).alias("near")), "adjacency")  # k rows each
-    own = graph.join(queries.select(F.col("q").alias("node")), "node")
-    near = own.select(F.col("node").alias("q"), F.inline(F.arrays_zip(F.col("nbrs").alias("node"), F.col("sims").alias("sim"))), F.lit(True).alias("open"))
-    beams = cut(near.union(queries.select("q", F.col("q").alias("node"), F.lit(float("inf")).cast("float").alias("sim"), F.lit(False).alias("open"))), "beam")
-    best = Window.partitionBy("q").orderBy(F.desc("sim"), "node")
+
+    def best(ids, sims, is_open):
+        """Each node once (opened if any says so), nearest first, the beam's size at most."""
+        order = np.lexsort((is_open, ids))
+        ids, sims, is_open = ids[order], sims[order], is_open[order]
+        new = np.r_[True, ids[1:] != ids[:-1]]
+        ids, sims, is_open = ids[new], sims[new], is_open[new]
+        order = np.lexsort((ids, -sims))[:beam]
+        return ids[order], sims[order], is_open[order]
+
+    def pick(batches):
+        for batch in batches:
+            rows = []
+            for q, half, ids, sims, is_open in zip(*(batch.column(c).to_pylist() for c in ("q", "half", "nodes", "sims", "open")), strict=True):
+                low = sims[-1] if len(sims) >= beam else float("-inf")
+                rows += [(q, half, ids[i], low) for i in np.flatnonzero(is_open)[:opened].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.float32()))], ["q", "half", "node", "low"])
+
+    def score(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            near = batch.column("near")
+            of = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(near).to_numpy(zero_copy_only=False))
+            inner = near.flatten()
+            sim = np.einsum("ij,ij->i", halves(batch.column("half"), dim)[of], halves(inner.field("half"), dim)).astype(np.float32)
+            keep = np.flatnonzero(sim > batch.column("low").to_numpy()[of])
+            q, other, sim = batch.column("q").to_numpy()[of[keep]], inner.field("nbr").to_numpy()[keep], sim[keep]
+            names, found, sims = best_lists(q, other, sim, beam)
+            none = pa.nulls(len(names), pa.binary())
+            yield pa.RecordBatch.from_arrays([names, none, found, sims, pa.nulls(len(names), pa.list_(pa.bool_()))], ["q", "half", "nodes", "sims", "open"])
+
+    def merge(batches):
+        for t in groups(batches, "q", 2_000):
+            rows: dict[int, list] = {}
+            for q, half, ids, sims, is_open in zip(*(t[c].to_pylist() for c in ("q", "half", "nodes", "sims", "open")), strict=True):
+                own = rows.setdefault(q, [None, [], [], []])
+                flags = np.ones(len(ids), bool)
+                if half is not None:  # the beam itself; what was picked from it is open no more
+                    own[0], flags = half, np.array(is_open, bool)
+                    flags[np.flatnonzero(flags)[:opened]] = False
+                for k, x in ((1, np.array(ids, np.int64)), (2, np.array(sims, np.float32)), (3, flags)):
+                    own[k].append(x)
+            done = {q: (r[0], *best(*map(np.concatenate, r[1:]))) for q, r in rows.items()}
+            kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int64())] + [pa.array([r[k] for r in done.values()], kind) for k, kind in enumerate(kinds)], ["q", "half", "nodes", "sims", "open"])
+
+    at = queries.join(graph.withColumnRenamed("node", "q"), "q", "left")
+    near, sims = F.coalesce("nbrs", F.array().cast("array<long>")), F.coalesce("sims", F.array().cast("array<float>"))
+    first = F.array(F.lit(float("inf")).cast("float"))
+    beams = cut(at.select("q", "half", F.concat(F.array("q"), near).alias("nodes"), F.concat(first, sims).alias("sims"), F.concat(F.array(F.lit(False)), F.transform(near, lambda x: x.isNotNull())).alias("open")), "beam")
     while True:
-        ranked = beams.withColumn("turn", F.sum(F.col("open").cast("int")).over(best.rowsBetween(Window.unboundedPreceding, 0)))
-        low = Window.partitionBy("q")
-        ranked = ranked.withColumn("low", F.when(F.count("*").over(low) >= beam, F.min("sim").over(low)).otherwise(F.lit(float("-inf")).cast("float")))
-        pick = cut(ranked.where(F.col("open") & (F.col("turn") <= opened)).join(queries, "q").select("q", "node", "low", "half"), "opened")
-        if pick.isEmpty():
-            return beams.select("q", "node")
-
-        def run(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                near = batch.column("near")
-                size = pa.compute.list_value_length(near).to_numpy(zero_copy_only=False)
-                of = np.repeat(np.arange(batch.num_rows), size)
-                q = halves(batch.column("half"), dim)
-                inner = near.flatten()
-                sim = np.einsum("ij,ij->i", q[of], halves(inner.field("half"), dim)).astype(np.float32)
-                keep = np.flatnonzero(sim > batch.column("low").to_numpy()[of])
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column("q").to_numpy()[of[keep]]), pa.array(inner.field("nbr").to_numpy()[keep]), pa.array(sim[keep])], ["q", "node", "sim"])
-
-        new = lists.join(small(pick, 200_000), "node").select("q", "half", "low", "near").mapInArrow(run, "q long, node long, sim float")
-        closed = beams.join(pick.select("q", "node", F.lit(False).alias("was")), ["q", "node"], "left").select("q", "node", "sim", (F.col("open") & F.coalesce("was", F.lit(True))).alias("open"))
-        both = closed.union(new.select("q", "node", "sim", F.lit(True).alias("open"))).groupBy("q", "node").agg(F.max("sim").alias("sim"), F.min("open").alias("open"))
-        beams = cut(both.withColumn("k", F.row_number().over(best)).where(F.col("k") <= beam).drop("k"), "beam")
-
-
-def nearest(vectors: DataFrame, queries: Column, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 32, trees: int = 8, leaf: int = 2048, rounds: int = 2, reverse: int = 24, each: int = 6, beam: int = 140, opened: int = 30, seed: int = 7) -> DataFrame:
+        picked = cut(beams.mapInArrow(pick, "q long, half binary, node long, low float"), "opened")
+        count = picked.count()
+        if not count:
+            return beams.select("q", F.explode("nodes").alias("node"))
+        new = lists.join(F.broadcast(picked) if count <= 200_000 else picked, "node").select("q", "half", "low", "near").mapInArrow(score, BEAM)
+        beams = cut(beams.union(new).repartition("q").sortWithinPartitions("q").mapInArrow(merge, BEAM), "beam")
+
+
+def nearest(vectors: DataFrame, queries: Column, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 32, trees: int = 8, leaf: int = 2048, rounds: int = 2, reverse: int = 24, each: int = 6, beam: int = 140, opened: int = 45, seed: int = 7) -> DataFrame:
     """(query_id, rank, id, score): each query row's nearest other rows, largest inner product first,
     ties to the smaller id.
 
