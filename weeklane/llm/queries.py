@@ -11,6 +11,7 @@ from weeklane.llm.minhash import near_copies
 from weeklane.llm.lattice_lm import lattice_scores
 from weeklane.llm.mixing import mixed_words
 from weeklane.llm.nn_descent import nearest
+from weeklane.llm.oracle import SQL
 from weeklane.llm.repeats import repeats
 from weeklane.llm.secret_scan import secret_spans, span_text
 from weeklane.llm.toxicity import toxicity
@@ -77,4 +78,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
