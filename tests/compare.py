@@ -8,9 +8,9 @@ import duckdb
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def connect(sf_dir):
+def connect(sf_dir, tables=TABLES):
     con = duckdb.connect()
-    for t in TABLES:
+    for t in tables:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     con.execute("SET TimeZone = 'UTC'")
     return con
