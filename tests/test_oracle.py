@@ -18,6 +18,6 @@ def test_same_as_sql(spark, con, name):
     assert difference(spark, con, QUERIES[name], SQL[name], SF) is None
 
 
-@pytest.mark.parametrize("name", ["seasonal_strength", "adf_stat", "stationarity", "fit_notes", "grouped_nb_glm", "alpha_sweep", "forecast_slices"])
+@pytest.mark.parametrize("name", ["seasonal_strength", "adf_stat", "stationarity", "guardrail_notes", "grouped_nb_glm", "alpha_sweep", "forecast_slices"])
 def test_has_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0

@@ -103,12 +103,13 @@ def seasonality_index(panel: DataFrame) -> DataFrame:
     )
 
 
-def dataset_overview(counts: DataFrame, covariates: DataFrame, panel: DataFrame) -> DataFrame:
-    """One row of table sizes and spans; three scans that meet as one-row subqueries."""
+def dataset_overview(counts: DataFrame, covariates: DataFrame, panel: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """One row of table sizes and spans; scans that meet as one-row subqueries. ``raw``: the wide table."""
     w = covariates.agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.min(WEEK).alias("lo"), F.max(WEEK).alias("hi")).alias("s")
     ).scalar()
     n_panel = panel.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n_raw = [] if raw is None else [raw.agg(F.count(F.lit(1)).alias("n")).scalar().alias("n_case_rows_wide")]
     per_series = counts.groupBy(GEO).agg(F.count(F.lit(1)).alias("n"), F.min(WEEK).alias("lo"), F.max(WEEK).alias("hi"))
     one = per_series.agg(
         F.sum("n").alias("n_case_rows_long"),
@@ -122,6 +123,7 @@ def dataset_overview(counts: DataFrame, covariates: DataFrame, panel: DataFrame)
         w.getField("lo").alias("weather_date_min"),
         w.getField("hi").alias("weather_date_max"),
         n_panel.alias("n_panel_rows"),
+        *n_raw,
     ).withColumn("weather_gap_weeks_to_latest_cases", whole_weeks(F.col("case_date_max"), F.col("weather_date_max")))
 
 
@@ -325,5 +327,16 @@ def top_list(df: DataFrame, name: str, column: str, n: int = 3, ties: tuple[str,
     return top.select(F.lit(name).alias("list"), F.col(GEO).alias("item"), F.col(column).alias("value"))
 
 
+def top_lead_lags(best: DataFrame, n: int = 5) -> DataFrame:
+    """The strongest of the best lags, by absolute rank correlation."""
+    rows = best.filter(F.col("spearman_corr").isNotNull())
+    return rows.orderBy(F.round(F.abs("spearman_corr"), 12).desc(), GEO, "covariate").limit(n)
+
+
+def stationary_count(tests: DataFrame) -> DataFrame:
+    """Series per transform that pass both tests."""
+    return tests.groupBy("transform").agg(F.count_if("stationary_candidate").alias("n_stationary"), F.count(F.lit(1)).alias("n_series"))
+
+
 def best_baseline(macro: DataFrame) -> DataFrame:
     return dedupe(macro, ["horizon"], ["MAE_macro", "model"])

@@ -33,7 +33,7 @@ def first_in_series(df: DataFrame, keys: list[str], order: list[str]) -> DataFra
 def build_panel(counts: DataFrame, covariates: DataFrame, tie_break: list[str] | None = None) -> DataFrame:
     """Counts with covariates where there are any, Monday anchored, one row per key."""
     joined = counts.join(covariates, [GEO, NAME, WEEK], "left").withColumn(WEEK, monday(WEEK))
-    return dedupe(joined, [GEO, WEEK], tie_break or [VALUE, NAME])
+    return first_in_series(joined, [GEO, WEEK], tie_break or [VALUE, NAME])
 
 
 def densify(

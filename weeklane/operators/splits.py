@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weeklane.config import GEO, NAME, TARGET_WEEK, VALUE, WEEK, FeatureSpec, Fold
 from weeklane.functions.scalars import add_weeks, monday, monday_by_weekday
 from weeklane.functions.windows import by_day
-from weeklane.operators.features import all_features, required_columns
+from weeklane.operators.features import all_features, feature_columns, required_columns
 
 
 def _monday_of(day: dt.date) -> dt.date:
@@ -180,7 +180,8 @@ def reanchor(df: DataFrame, time: str = TARGET_WEEK) -> DataFrame:
 
 
 def track_summary(features: DataFrame, splits: DataFrame) -> DataFrame:
-    """One row per split group: feature rows, series, span, fold ids; ids of proxy series are counted."""
+    """One row per split group: feature rows and columns, series, span, fold ids, horizons; ids of
+    proxy series are counted."""
     proxy = F.col("covariate_is_proxy") == 1 if "covariate_is_proxy" in features.columns else F.lit(False)
     info = features.agg(
         F.struct(
@@ -191,10 +192,14 @@ def track_summary(features: DataFrame, splits: DataFrame) -> DataFrame:
             F.count_distinct(F.when(proxy, F.col(GEO))).alias("proxy_geographies"),
         ).alias("s")
     ).scalar()
-    folds = splits.groupBy("split_group", "fold_id").agg(F.count(F.lit(1)).alias("n"))
-    groups = folds.groupBy("split_group").agg(F.array_join(F.sort_array(F.collect_set("fold_id")), ",").alias("fold_ids"))
+    folds = splits.groupBy("split_group", "fold_id", "horizon").agg(F.count(F.lit(1)).alias("n"))
+    groups = folds.groupBy("split_group").agg(
+        F.array_join(F.sort_array(F.collect_set("fold_id")), ",").alias("fold_ids"),
+        F.array_join(F.transform(F.sort_array(F.collect_set("horizon")), lambda h: h.cast("string")), ",").alias("horizons"),
+        F.lit(len(feature_columns(features, False))).alias("feature_count"),
+    )
     names = ("rows", "geographies", "weeks_start", "weeks_end", "proxy_geographies")
-    return groups.select("split_group", "fold_ids", *[info.getField(n).alias(n) for n in names])
+    return groups.select("split_group", "fold_ids", "horizons", "feature_count", *[info.getField(n).alias(n) for n in names])
 
 
 IDENTITY = (

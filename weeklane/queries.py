@@ -300,6 +300,11 @@ def _(spark, d):
     return explore.pair_spearman(fx.counts(spark, d), spark.sql(f"SELECT * FROM VALUES {values} AS v(geo_a, geo_b)"))
 
 
+@query("top_lead_lags", sql(f"SELECT geo_id, covariate, lag_weeks, n_obs, {cols(['pearson_corr', 'spearman_corr'])} FROM (SELECT *, row_number() OVER (PARTITION BY geo_id, covariate ORDER BY round(abs(spearman_corr), 12) DESC NULLS LAST, lag_weeks) AS k FROM ({lead_lag_sql().replace('(g ORDER BY', '(PARTITION BY geo_id, covariate, lag_weeks ORDER BY').replace(' WINDOW g AS (PARTITION BY geo_id, covariate, lag_weeks)', '')})) WHERE k = 1 AND spearman_corr IS NOT NULL ORDER BY round(abs(spearman_corr), 12) DESC, geo_id, covariate LIMIT 5"))
+def _(spark, d):
+    return explore.top_lead_lags(explore.lead_lag_best(explore.lead_lag(fx.full_panel(spark, d), ["rain", "tmean"], 4)))
+
+
 @query("seasonal_strength")
 def _(spark, d):
     return explore.seasonal_strength(fx.counts(spark, d))
@@ -384,10 +389,10 @@ def _(spark, d):
     return splits.label_lookup(fx.fold_splits(spark, d), fx.counts(spark, d))
 
 
-@query("track_summary", sql('SELECT split_group, string_agg(fold_id, \',\' ORDER BY fold_id) AS fold_ids, CAST((SELECT count(*) FROM FP) AS BIGINT) AS "rows", (SELECT count(DISTINCT geo_id) FROM FP) AS geographies, (SELECT min(week_start_date) FROM FP) AS weeks_start, (SELECT max(week_start_date) FROM FP) AS weeks_end, CAST(0 AS BIGINT) AS proxy_geographies FROM (SELECT DISTINCT split_group, fold_id FROM SP) GROUP BY 1'))
+@query("track_summary", sql('SELECT split_group, string_agg(fold_id, \',\' ORDER BY fold_id) AS fold_ids, \'1,2,3,4\' AS horizons, CAST(32 AS BIGINT) AS feature_count, CAST((SELECT count(*) FROM FP) AS BIGINT) AS "rows", (SELECT count(DISTINCT geo_id) FROM FP) AS geographies, (SELECT min(week_start_date) FROM FP) AS weeks_start, (SELECT max(week_start_date) FROM FP) AS weeks_end, CAST(0 AS BIGINT) AS proxy_geographies FROM (SELECT DISTINCT split_group, fold_id FROM SP) GROUP BY 1'))
 def _(spark, d):
     out = splits.track_summary(fx.feature_panel(spark, d), fx.fold_splits(spark, d))
-    return out.select("split_group", "fold_ids", "rows", "geographies", "weeks_start", "weeks_end", "proxy_geographies")
+    return out.select("split_group", "fold_ids", "horizons", "feature_count", "rows", "geographies", "weeks_start", "weeks_end", "proxy_geographies")
 
 
 # ---- naive forecasts and errors ---------------------------------------------------------------
@@ -762,11 +767,17 @@ def _(spark, d):
     return guarded(spark, d).select(*KEY, "horizon", "fold_id", F.col("previous_mean_4__guarded").alias("guarded"), "previous_mean_4")
 
 
-@query("fit_notes")
+@query("guardrail_notes")
 def _(spark, d):
     return guardrail.guardrail_notes(guarded(spark, d), "previous_mean_4")
 
 
+@query("fit_notes", sql("SELECT fold_id, CAST(horizon AS BIGINT) AS horizon, 'ar_tweedie_global' AS model, count(*) FILTER (role = 'train') AS train_rows, count(*) AS score_rows, CAST(0 AS BIGINT) AS feature_count, 'fallback_mean' AS fit_strategy, CAST(NULL AS VARCHAR) AS instability_reason FROM SU GROUP BY 1, 2"))
+def _(spark, d):
+    every = Training(min_train_rows=10**9)  # no setting has so many rows
+    return runner.fit_notes(runner.fitted(fx.supervised(spark, d), ["ar_tweedie_global"], [], every), ["ar_tweedie_global"], 0)
+
+
 @query("instability_check", sql(f"SELECT model, fold_id, CAST(horizon AS BIGINT) AS horizon, false AS non_finite, {r6('max(y_pred)')} AS pred_max, {r6('greatest(max(y_true) FILTER (role = $$train$$), 1)')} AS train_max, {r6('quantile_cont(y_pred, 0.99)')} AS pred_p99, CASE WHEN max(y_pred) > greatest(max(y_true) FILTER (role = $$train$$), 1) * 25 OR quantile_cont(y_pred, 0.99) > greatest(max(y_true) FILTER (role = $$train$$), 1) * 10 THEN 'prediction_explosion' END AS reason FROM PRED GROUP BY 1, 2, 3"))
 def _(spark, d):
     return guardrail.instability(fx.predictions(spark, d), ["model", "fold_id", "horizon"])
