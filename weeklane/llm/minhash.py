@@ -131,7 +131,8 @@ def open_pairs(rest: DataFrame, sets: DataFrame, percent: int, rare: int) -> Dat
     shingle among the first n - ceil(percent * n / 100) + 1 of both. If their first shared one is
     held by at most ``rare`` nodes, the pair meets on it. Otherwise all that they share is common,
     and they can share no more than either has of common shingles; so a node with too few of them
-    for the smallest partner in its bucket is out, and only the others meet in their buckets.
+    for the smallest partner in its bucket is out. The others meet under the centre of their bucket,
+    if what each has of the centre's common shingles and of others leaves room for the limit.
     rest: key, row, comp, of the buckets that hold more than one component.
     """
     comp = rest.select("row", "comp").distinct()
@@ -151,12 +152,22 @@ def open_pairs(rest: DataFrame, sets: DataFrame, percent: int, rare: int) -> Dat
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
     left = left.where((100 + percent) * F.col("o") >= percent * (F.col("n") + partner))
     still = left.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    left = cut(left.join(still, "key").select("key", "row", "comp", "n", "o"), "left")
-    a = left.select("key", F.col("row").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"), F.col("o").alias("ou"))
-    b = left.select("key", F.col("row").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"), F.col("o").alias("ov"))
-    enough = (100 + percent) * F.least("ou", "ov") >= percent * (F.col("nu") + F.col("nv"))
-    by_bucket = a.join(b, "key").where((F.col("cu") < F.col("cv")) & sized & enough).select("u", "v")
-    return cut(by_rare.union(by_bucket).distinct(), "pairs")
+    left = cut(left.join(still, "key").select("key", "row", "comp", "n"), "left")
+
+    # a bucket's nodes against its centre: common shingles inside it (p) and outside it (q)
+    reach_ = left.groupBy("row").agg(F.count("*").alias("keys")).select("row", (-F.col("keys") * (1 << 20) + F.pmod(F.xxhash64("row"), F.lit(1 << 20))).alias("order"))
+    centre = left.select("key", "row").join(reach_, "row").groupBy("key").agg(F.min("order").alias("order")).join(reach_.withColumnRenamed("row", "c"), "order").select("key", "c")
+    placed = left.join(centre, "key").select("c", "row", "comp", "n").distinct()
+    shared = token.where(F.col("df") > rare).join(left.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.collect_list("token").alias("common"))
+    both = placed.join(shared, "row").join(shared.select(F.col("row").alias("c"), F.col("common").alias("core")), "c")
+    inside = F.size(F.array_intersect("common", "core"))
+    placed = cut(both.select("c", "row", "comp", "n", inside.alias("p"), (F.size("common") - inside).alias("q")), "placed")
+    a = placed.select("c", *[F.col(x).alias(f"{x}u") for x in ("n", "comp", "p", "q")], F.col("row").alias("u"))
+    b = placed.select("c", *[F.col(x).alias(f"{x}v") for x in ("n", "comp", "p", "q")], F.col("row").alias("v"))
+    sized = F.lit(100) * F.least("nu", "nv") >= F.lit(percent) * F.greatest("nu", "nv")
+    enough = (100 + percent) * (F.least("pu", "pv") + F.least("qu", "qv")) >= percent * (F.col("nu") + F.col("nv"))
+    by_centre = a.join(b, "c").where((F.col("compu") < F.col("compv")) & sized & enough).select("u", "v")
+    return cut(by_rare.union(by_centre).distinct(), "pairs")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, side: int = 10, rows: int = 3, rare: int = 50) -> DataFrame:
