@@ -5,6 +5,7 @@ again as the next stage's docs. All but the last return the columns of documents
 are kept or dropped: rows that repeat an id, or have none, are documents of their own.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,14 @@ REJECTED = 0.3  # toxicity from which a document goes
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "docs")
+    """docs with a number per row that every scan gives alike: of its file and its place there.
+
+    Rows that come from elsewhere than files are written first.
+    """
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(ROW))
+    except AnalysisException:
+        return numbered(cut(docs, "docs"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
