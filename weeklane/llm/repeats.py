@@ -31,7 +31,6 @@ DOUBLED = (1, 2, 4, 8, 16, 32)
 ROUND = 8_000  # contexts in one construction, or one group of equal anchors
 HOT = 50_000  # a larger group is settled by counting its strings' hashes
 STEP = 1 << 20  # bytes of a text that are hashed at once
-LISTED = 2_000_000  # places that may be broadcast; beyond, texts are joined by a shuffle
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -144,12 +143,6 @@ def anchored(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("h1", "h2", "text").mapInArrow(run, "h1 long, h2 long, n int, at int, anchor long, around long")
 
 
-def with_lists(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """texts joined with (h1, h2, list); few list entries are broadcast, so that texts stay in place."""
-    n = lists.select(F.sum(F.size("list")).alias("n")).first()["n"] or 0
-    return texts.join(F.broadcast(lists) if n <= LISTED else lists, ["h1", "h2"], how)
-
-
 def contexts(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(anchor, h1, h2, at, lead, context): the bytes, lead of them before the anchor."""
 
@@ -171,7 +164,7 @@ def contexts(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
 
     lists = cut(wanted.groupBy("h1", "h2").agg(F.collect_list(F.struct("at", "anchor")).alias("list")), "wanted")
-    found = with_lists(texts, lists, "inner").select("h1", "h2", "text", "list").mapInArrow(run, "anchor long, h1 long, h2 long, at int, lead int, context binary")
+    found = texts.join(lists, ["h1", "h2"]).select("h1", "h2", "text", "list").mapInArrow(run, "anchor long, h1 long, h2 long, at int, lead int, context binary")
     return found
 
 
@@ -267,5 +260,5 @@ def repeats(docs: DataFrame, size: int = 400, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(cols, ["doc", "n_bytes", *out])
 
     kind = dict(own.dtypes)["doc"]
-    done = with_lists(own, lists, "left").select("doc", "n", "text", "list").mapInArrow(run, f"doc {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low:int,high:int>>, kept binary")
+    done = own.join(lists, ["h1", "h2"], "left").select("doc", "n", "text", "list").mapInArrow(run, f"doc {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low:int,high:int>>, kept binary")
     return done.withColumnRenamed("doc", id_col) if texts else done.withColumnRenamed("doc", id_col).drop("kept")
