@@ -2,12 +2,13 @@
 
 Equal vectors are one node. Each vector gets one more component, so that all have the length of
 the longest: then the largest inner products of a query are its nearest points, and the graph is
-built for that distance. It starts from random-projection leaves of bounded size and is refined by
+built for that distance. The component is kept as what it lacks to that length, so that it is small
+for short vectors and distances between them don't drown beside a long one. The graph starts from random-projection leaves of bounded size and is refined by
 rounds of joins: the neighbours and some reverse neighbours of a node meet and are compared with
-one another. A query starts at its own node's list and greedily opens the best nodes of its beam,
-in rounds over all queries, until the best ``beam`` nodes are all opened. Graph and search compare
-half-precision vectors; the nodes of the final beams are scored in double precision on the
-original ones.
+one another. The search walks both, as short lists alone lead away from the long vectors. A query starts at its own node and the longest vectors and greedily opens the best nodes
+of its beam, in rounds over all queries, until the best ``beam`` nodes are all opened. Graph and
+search hold single-precision vectors and compare them in double precision; the nodes of the final
+beams are scored on the original ones.
 
 The index holds every row. Measured against brute force (README): recall over 0.9.
 """
@@ -52,9 +53,27 @@ def groups(batches, key: str, rows: int = 50_000):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def halves(column, dim: int) -> np.ndarray:
-    """Binary half-precision vectors as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
+def points(column, dim: int) -> np.ndarray:
+    """Binary single-precision vectors as a matrix of doubles."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim).astype(np.float64)
+
+
+def nearness(x: np.ndarray) -> np.ndarray:
+    """Minus the squared distances of the rows to one another; a row has none to itself."""
+    norm = (x * x).sum(1)
+    sim = 2 * (x @ x.T)
+    sim -= norm[:, None]
+    sim -= norm
+    np.fill_diagonal(sim, -np.inf)
+    return sim
+
+
+def lifted(x: np.ndarray, longest: float, scale: float) -> np.ndarray:
+    """The rows over the scale, with what their added component lacks to the longest's length."""
+    x, top = x / scale, longest / scale
+    norm = (x * x).sum(1)
+    lack = norm / (top + np.sqrt(np.maximum(0, top * top - norm)))
+    return np.concatenate([x, lack[:, None]], 1).astype(np.float32)
 
 
 def best_lists(node: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int):
@@ -69,10 +88,10 @@ def best_lists(node: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int):
     node, other, sim = node[rank < k], other[rank < k], sim[rank < k]
     names, start = np.unique(node, return_index=True)
     offsets = pa.array(np.r_[start, len(node)].astype(np.int32))
-    return pa.array(names), pa.ListArray.from_arrays(offsets, pa.array(other)), pa.ListArray.from_arrays(offsets, pa.array(sim.astype(np.float32)))
+    return pa.array(names), pa.ListArray.from_arrays(offsets, pa.array(other)), pa.ListArray.from_arrays(offsets, pa.array(sim.astype(np.float64)))
 
 
-LISTS = "node long, nbrs array<long>, sims array<float>"
+LISTS = "node long, nbrs array<long>, sims array<double>"
 
 
 def merged(lists: DataFrame, k: int) -> DataFrame:
@@ -94,19 +113,19 @@ def forest(nodes: DataFrame, dim: int, trees: int, leaf: int, k: int, seed: int)
 
     def project(batches):
         rng = np.random.default_rng(seed)
-        planes = rng.standard_normal((trees, dim, bits)).astype(np.float32)
+        planes = rng.standard_normal((trees, dim, bits))
+        planes[:, -1] = 0  # the added component has no middle at 0
         for batch in batches:
-            x = halves(batch.column("half"), dim)
+            x = points(batch.column("point"), dim)
             for t in range(trees):
                 p = x @ planes[t]
                 key = (p > 0) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(key), pa.array(p[:, 0].astype(np.float64)), batch.column("node"), batch.column("half")], ["tree", "key", "along", "node", "half"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(key), pa.array(p[:, 0].astype(np.float64)), batch.column("node"), batch.column("point")], ["tree", "key", "along", "node", "point"])
 
     def compare(batches):
         for table in leaves(batches):
-            x, node = halves(table["half"], dim), table["node"].to_numpy()
-            sim = x @ x.T
-            np.fill_diagonal(sim, -np.inf)
+            x, node = points(table["point"], dim), table["node"].to_numpy()
+            sim = nearness(x)
             m = min(k, len(node) - 1)
             if m < 1:
                 continue
@@ -124,31 +143,35 @@ def forest(nodes: DataFrame, dim: int, trees: int, leaf: int, k: int, seed: int)
                 for a, b in zip(edge[:-1], edge[1:], strict=True):
                     yield own.slice(a, b - a)
 
-    placed = nodes.select("node", "half").mapInArrow(project, "tree int, key long, along double, node long, half binary")
+    placed = nodes.select("node", "point").mapInArrow(project, "tree int, key long, along double, node long, point binary")
     sorted_ = placed.repartitionByRange("tree", "key", "along").sortWithinPartitions("tree", "key", "along", "node")
     return merged(sorted_.mapInArrow(compare, LISTS), k)
 
 
-def refined(graph: DataFrame, nodes: DataFrame, dim: int, k: int, reverse: int, each: int, seed: int) -> DataFrame:
-    """One round: whoever share a neighbour are compared; each node keeps its k best."""
+def both_ways(graph: DataFrame, reverse: int, seed: int) -> DataFrame:
+    """(node, nbr): each node's list, and some of the nodes whose lists hold it."""
     edges = graph.select("node", F.explode("nbrs").alias("nbr"))
     back = first_rows(edges, ["nbr"], [F.xxhash64("node", F.lit(seed)), F.col("node")], reverse, "node")
-    meet = edges.select(F.col("node").alias("at"), F.col("nbr").alias("node")).union(back.select(F.col("nbr").alias("at"), "node")).distinct()
-    worst = graph.select("node", F.when(F.size("sims") < k, F.lit(float("-inf")).cast("float")).otherwise(F.array_min("sims")).alias("worst"))
-    seen = meet.join(nodes.select("node", "half").join(worst, "node"), "node")
+    return edges.union(back.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct()
+
+
+def refined(graph: DataFrame, nodes: DataFrame, dim: int, k: int, reverse: int, each: int, seed: int) -> DataFrame:
+    """One round: whoever share a neighbour are compared; each node keeps its k best."""
+    meet = both_ways(graph, reverse, seed).select(F.col("node").alias("at"), F.col("nbr").alias("node"))
+    worst = graph.select("node", F.when(F.size("sims") < k, F.lit(float("-inf")).cast("double")).otherwise(F.array_min("sims")).alias("worst"))
+    seen = meet.join(nodes.select("node", "point").join(worst, "node"), "node")
 
     def run(batches):
         for t in groups(batches, "at", 20_000):
             at, node, worst = t["at"].to_numpy(), t["node"].to_numpy(), t["worst"].to_numpy()
-            x = halves(t["half"], dim)
+            x = points(t["point"], dim)
             start = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)]
             us, ws, ss = [], [], []
             for a, b in zip(start[:-1], start[1:], strict=True):
                 m = min(each, b - a - 1)
                 if m < 1:
                     continue
-                sim = x[a:b] @ x[a:b].T
-                np.fill_diagonal(sim, -np.inf)
+                sim = nearness(x[a:b])
                 best = np.argpartition(-sim, m - 1, axis=1)[:, :m]
                 sim = np.take_along_axis(sim, best, 1)
                 row, col = np.nonzero(sim > worst[a:b, None])
@@ -158,22 +181,20 @@ def refined(graph: DataFrame, nodes: DataFrame, dim: int, k: int, reverse: int,
             if us:
                 yield pa.RecordBatch.from_arrays(list(best_lists(np.concatenate(us), np.concatenate(ws), np.concatenate(ss), k)), ["node", "nbrs", "sims"])
 
-    found = seen.select("at", "node", "half", "worst").repartition("at").sortWithinPartitions("at").mapInArrow(run, LISTS)
+    found = seen.select("at", "node", "point", "worst").repartition("at").sortWithinPartitions("at").mapInArrow(run, LISTS)
     return merged(graph.union(found), k)
 
 
-BEAM = "q long, half binary, nodes array<long>, sims array<float>, open array<boolean>"
+BEAM = "q long, point binary, nodes array<long>, sims array<double>, open array<boolean>"
+ENTRIES = 32  # longest vectors, from which each query starts too
 
 
-def searched(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, beam: int, opened: int) -> DataFrame:
-    """(q, node): each query node's beam. queries: q, half.
+def searched(lists: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, beam: int, opened: int) -> DataFrame:
+    """(q, node): each query node's beam. lists: node, near (nbr, point); queries: q, point.
 
     A round sends each query to the best unopened nodes of its beam, where their neighbours are
     compared with it, and merges what is better than the beam's last back into the beam.
     """
-    flat = graph.select("node", F.explode("nbrs").alias("nbr")).join(nodes.select(F.col("node").alias("nbr"), "half"), "nbr")
-    lists = cut(flat.groupBy("node").agg(F.collect_list(F.struct("nbr", "half")).alias("near")), "adjacency")  # k rows each
-
     def best(ids, sims, is_open):
         """Each node once (opened if any says so), nearest first, the beam's size at most."""
         order = np.lexsort((is_open, ids))
@@ -186,50 +207,58 @@ def searched(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, b
     def pick(batches):
         for batch in batches:
             rows = []
-            for q, half, ids, sims, is_open in zip(*(batch.column(c).to_pylist() for c in ("q", "half", "nodes", "sims", "open")), strict=True):
+            for q, point, ids, sims, is_open in zip(*(batch.column(c).to_pylist() for c in ("q", "point", "nodes", "sims", "open")), strict=True):
                 low = sims[-1] if len(sims) >= beam else float("-inf")
-                rows += [(q, half, ids[i], low) for i in np.flatnonzero(is_open)[:opened].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.float32()))], ["q", "half", "node", "low"])
+                rows += [(q, point, ids[i], low) for i in np.flatnonzero(is_open)[:opened].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.float64()))], ["q", "point", "node", "low"])
 
     def score(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, 1_000) for b in batches for at in range(0, b.num_rows, 1_000)):
             near = batch.column("near")
             of = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(near).to_numpy(zero_copy_only=False))
             inner = near.flatten()
-            sim = np.einsum("ij,ij->i", halves(batch.column("half"), dim)[of], halves(inner.field("half"), dim)).astype(np.float32)
+            sim = np.einsum("ij,ij->i", points(batch.column("point"), dim)[of], points(inner.field("point"), dim))
             keep = np.flatnonzero(sim > batch.column("low").to_numpy()[of])
             q, other, sim = batch.column("q").to_numpy()[of[keep]], inner.field("nbr").to_numpy()[keep], sim[keep]
             names, found, sims = best_lists(q, other, sim, beam)
             none = pa.nulls(len(names), pa.binary())
-            yield pa.RecordBatch.from_arrays([names, none, found, sims, pa.nulls(len(names), pa.list_(pa.bool_()))], ["q", "half", "nodes", "sims", "open"])
+            yield pa.RecordBatch.from_arrays([names, none, found, sims, pa.nulls(len(names), pa.list_(pa.bool_()))], ["q", "point", "nodes", "sims", "open"])
 
     def merge(batches):
         for t in groups(batches, "q", 2_000):
             rows: dict[int, list] = {}
-            for q, half, ids, sims, is_open in zip(*(t[c].to_pylist() for c in ("q", "half", "nodes", "sims", "open")), strict=True):
+            for q, point, ids, sims, is_open in zip(*(t[c].to_pylist() for c in ("q", "point", "nodes", "sims", "open")), strict=True):
                 own = rows.setdefault(q, [None, [], [], []])
                 flags = np.ones(len(ids), bool)
-                if half is not None:  # the beam itself; what was picked from it is open no more
-                    own[0], flags = half, np.array(is_open, bool)
+                if point is not None:  # the beam itself; what was picked from it is open no more
+                    own[0], flags = point, np.array(is_open, bool)
                     flags[np.flatnonzero(flags)[:opened]] = False
-                for k, x in ((1, np.array(ids, np.int64)), (2, np.array(sims, np.float32)), (3, flags)):
+                for k, x in ((1, np.array(ids, np.int64)), (2, np.array(sims, np.float64)), (3, flags)):
                     own[k].append(x)
             done = {q: (r[0], *best(*map(np.concatenate, r[1:]))) for q, r in rows.items()}
-            kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int64())] + [pa.array([r[k] for r in done.values()], kind) for k, kind in enumerate(kinds)], ["q", "half", "nodes", "sims", "open"])
+            kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int64())] + [pa.array([r[k] for r in done.values()], kind) for k, kind in enumerate(kinds)], ["q", "point", "nodes", "sims", "open"])
 
-    at = queries.join(graph.withColumnRenamed("node", "q"), "q", "left")
-    near, sims = F.coalesce("nbrs", F.array().cast("array<long>")), F.coalesce("sims", F.array().cast("array<float>"))
-    first = F.array(F.lit(float("inf")).cast("float"))
-    beams = cut(at.select("q", "half", F.concat(F.array("q"), near).alias("nodes"), F.concat(first, sims).alias("sims"), F.concat(F.array(F.lit(False)), F.transform(near, lambda x: x.isNotNull())).alias("open")), "beam")
+    long = nodes.orderBy(F.desc("norm"), "node").limit(ENTRIES).select("node", "point").toArrow()
+    entries = (long["node"].to_numpy(), points(long["point"], dim))
+
+    def begin(batches):
+        for batch in batches:
+            rows = []
+            sims = points(batch.column("point"), dim) @ entries[1].T if batch.num_rows else []
+            for q, sim in zip(batch.column("q").to_pylist(), sims, strict=True):
+                other = entries[0] != q
+                rows.append(best(np.r_[q, entries[0][other]], np.r_[np.inf, sim[other]], np.ones(1 + other.sum(), bool)))
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("point")] + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["q", "point", "nodes", "sims", "open"])
+
+    beams = cut(queries.select("q", "point").mapInArrow(begin, BEAM), "beam")
     while True:
-        picked = cut(beams.mapInArrow(pick, "q long, half binary, node long, low float"), "opened")
+        picked = cut(beams.mapInArrow(pick, "q long, point binary, node long, low double"), "opened")
         count = picked.count()
         if not count:
             return beams.select("q", F.explode("nodes").alias("node"))
-        new = lists.join(F.broadcast(picked) if count <= 200_000 else picked, "node").select("q", "half", "low", "near").mapInArrow(score, BEAM)
+        new = lists.join(F.broadcast(picked) if count <= 200_000 else picked, "node").select("q", "point", "low", "near").mapInArrow(score, BEAM)
         beams = cut(beams.union(new).repartition("q").sortWithinPartitions("q").mapInArrow(merge, BEAM), "beam")
 
 
@@ -253,22 +282,25 @@ def nearest(vectors: DataFrame, queries: Column, top: int = 20, id_col: str = "v
     names = rows.groupBy("h1", "h2").agg(F.min("row").alias("node"))
     named = cut(rows.select("row", "id", "asks", "h1", "h2").join(names, ["h1", "h2"]).select("row", "id", "asks", "node"), "rows")
 
-    def half(batches):
+    scale = 2.0 ** math.ceil(math.log2(longest))  # a power of two: single-precision vectors stay as they are
+
+    def lift(batches):
         for batch in batches:
-            x = np.array(batch.column("v").flatten(), np.float64).reshape(-1, dim - 1) / longest
-            rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
-            full = np.concatenate([x, rest[:, None]], 1).astype(np.float16)
-            plain = np.concatenate([x, 0 * rest[:, None]], 1).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("v"), pa.array([r.tobytes() for r in full], pa.binary()), pa.array([r.tobytes() for r in plain], pa.binary())], ["node", "v", "half", "query"])
+            full = lifted(np.array(batch.column("v").flatten(), np.float64).reshape(-1, dim - 1), longest, scale)
+            plain = full.copy()
+            plain[:, -1] = 0
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("v"), batch.column("norm"), pa.array([r.tobytes() for r in full], pa.binary()), pa.array([r.tobytes() for r in plain], pa.binary())], ["node", "v", "norm", "point", "query"])
 
     first = rows.join(names.select(F.col("node").alias("row")), "row", "left_semi")
-    nodes = cut(first.select("row", "v").mapInArrow(half, "node long, v array<double>, half binary, query binary"), "nodes")
+    nodes = cut(first.select("row", "v", "norm").mapInArrow(lift, "node long, v array<double>, norm double, point binary, query binary"), "nodes")
     graph = cut(forest(nodes, dim, trees, leaf, k, seed), "graph")
     for turn in range(rounds):
         graph = cut(refined(graph, nodes, dim, k, reverse, each, seed + turn), "graph")
     asking = named.where("asks").select(F.col("node").alias("q")).distinct()
-    asked = cut(asking.join(nodes.select(F.col("node").alias("q"), F.col("query").alias("half")), "q"), "queries")
-    found = searched(graph, nodes, asked, dim, beam, opened)
+    asked = cut(asking.join(nodes.select(F.col("node").alias("q"), F.col("query").alias("point")), "q"), "queries")
+    flat = both_ways(graph, reverse, seed).join(nodes.select(F.col("node").alias("nbr"), "point"), "nbr")
+    lists = cut(flat.groupBy("node").agg(F.collect_list(F.struct("nbr", "point")).alias("near")), "adjacency")  # k + reverse rows each
+    found = searched(lists, nodes, asked, dim, beam, opened)
 
     pairs = found.join(nodes.select(F.col("node").alias("q"), F.col("v").alias("x")), "q").join(nodes.select("node", "v"), "node")
     score = F.aggregate(F.zip_with("x", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
