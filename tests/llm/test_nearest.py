@@ -29,3 +29,13 @@ def test_one_long_vector_leaves_the_others_apart(spark):
     x = vectors(1500, 16, 0.3)
     x[17] *= 1e6
     assert recall(spark, x, 30, leaf=128, k=16) >= 0.95
+
+
+def test_lists_are_joined_until_they_settle_and_the_beam_follows(spark):
+    x = vectors(2500, 24, 0)
+    assert recall(spark, x, 50, trees=2, leaf=64, k=12, beam=35, opened=12) >= 0.93
+
+
+def test_a_scan_answers_where_no_beam_does(spark):
+    x = vectors(1000, 8, 0.3)
+    assert recall(spark, x, 50, trees=1, leaf=16, k=2, beam=21, opened=4, most=20) == 1
