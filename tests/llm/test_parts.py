@@ -132,6 +132,14 @@ def test_generated_looks(text, n):
     assert sum(s[1] == 3 for s in secret_scan.scan(text, 3.5)) == n
 
 
+def test_an_owner_may_hold_a_credential_in_many_documents(spark):
+    key, public = "Xk29fLqP0zRt81mNbVc4Qw", "zQ9mT4rB7xW2kL8vN1pD6s"
+    rows = [(i, f"{i} {key}", "a") for i in range(9)] + [(9 + i, public, "ab"[i % 2]) for i in range(4)]
+    found = secret_scan.secret_spans(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()
+    spans = {r.doc_id: [(s.kind, s.live, s.docs) for s in r.spans] for r in found}
+    assert spans == {i: [(3, True, 9)] if i < 9 else [] for i in range(13)}
+
+
 def test_redaction(spark):
     from pyspark.sql import functions as F
 

@@ -2,9 +2,9 @@
 
 Patterns give spans of three kinds. Further candidates are long strings that look like generated
 credentials. Every candidate's value is hashed and counted over the corpus: the repositories
-(documents) and owners (sources) that hold it. Values that many owners or repositories hold are
-copied examples; a candidate whose value one owner alone holds is taken for a live credential and
-its span is added, kind ``owned``. Spans of the patterns stay whatever the count, marked by it.
+(documents) and owners (sources) that hold it. Values that many owners hold are copied examples; a
+candidate whose value one owner alone holds, in however many documents, is taken for a live
+credential and its span is added, kind ``owned``. Spans of the patterns stay whatever the count, marked by it.
 """
 
 import hashlib
@@ -70,11 +70,12 @@ def scanned(docs: DataFrame, entropy: float) -> DataFrame:
     return docs.select("row", "doc", "owner", "text").mapInArrow(run, f"row long, doc {doc}, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found {FOUND}")
 
 
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", entropy: float = 3.5, owners: int = 1, repositories: int = 3) -> DataFrame:
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", entropy: float = 3.5, owners: int = 1) -> DataFrame:
     """Per input row: id, n_assign, n_access, n_hex, base_sha256, spans (array of start, kind,
-    end, low, live, by start, then kind; low is where the secret itself starts).
+    end, low, live, docs, by start, then kind; low is where the secret itself starts, docs the documents
+    that hold the value).
 
-    live: at most ``owners`` owners and ``repositories`` documents hold the value. Of kind owned,
+    live: at most ``owners`` owners hold the value; copies within an owner don't make it public. Of kind owned,
     only live spans are returned. A null text is empty, a null owner is an owner of its own, and
     repeated rows are documents of their own.
     """
@@ -82,10 +83,10 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seen = cut(scanned(own, entropy), "secrets")
     each = seen.where(F.size("found") > 0).select("row", "owner", F.inline("found"))
     held = each.select("value", "owner", "row").distinct().groupBy("value", "owner").agg(F.count("*").alias("docs")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("docs").alias("docs"))
-    judged = each.join(held, "value").withColumn("live", (F.col("owners") <= owners) & (F.col("docs") <= repositories)).where("live or kind < 3")
-    spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "low", "live"))).alias("spans"))
+    judged = each.join(held, "value").withColumn("live", F.col("owners") <= owners).where("live or kind < 3")
+    spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "low", "live", "docs"))).alias("spans"))
     out = seen.select("row", "doc", "n_assign", "n_access", "n_hex", "base_sha256").join(spans, "row", "left")
-    return out.withColumnRenamed("doc", id_col).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int,low:int,live:boolean>>"))).drop("row")
+    return out.withColumnRenamed("doc", id_col).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,kind:int,end:int,low:int,live:boolean,docs:bigint>>"))).drop("row")
 
 
 def redacted(text: Column, spans: Column) -> Column:
