@@ -906,8 +906,8 @@ REDUCED = ["cases_lag_1", "cases_lag_2", "cases_rollmean_4", "cases_log1p", "woy
 @query("poisson_ridge_live")
 def _(spark, d):
     counts = fx.counts(spark, d)
-    pairs = splits.training_pairs_from_panel(counts, "operational", (1, 2))
-    return legacy_models.with_total(legacy_models.poisson_live(fx.feature_panel(spark, d), pairs, REDUCED, (1, 2)), by=("model", "origin_week"))
+    pairs = splits.training_pairs_from_panel(counts, "operational", fx.HORIZONS)
+    return legacy_models.with_total(legacy_models.poisson_live(fx.feature_panel(spark, d), pairs, REDUCED, fx.HORIZONS), by=("model", "origin_week"))
 
 
 @query("poisson_backtest")
@@ -917,7 +917,7 @@ def _(spark, d):
 
 @query("grouped_nb_glm")
 def _(spark, d):
-    return grouped.grouped_glm(fx.supervised(spark, d).filter("fold_id IN ('D3', 'D4')"), REDUCED)
+    return grouped.grouped_glm(fx.supervised(spark, d), REDUCED)
 
 
 @query("alpha_sweep")
