@@ -47,4 +47,31 @@ URLS = f"""WITH R AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN subst
 H AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM R)
 SELECT page_id, host, path, CASE {_rule} END AS rule, CASE {_verdict} ELSE 'allow' END AS verdict FROM H"""
 
-SQL = {"op1_minhash": NEAR, "op2_winnowing": HITS, "op3_fair_queueing": MIX, "op6_bloom_cascade": URLS}
+
+
+def sketches(name: str, table: str, text: str) -> str:
+    """name(k, s): 15 hexadecimal digits of the MD5 of each text's five-word shingles, those below an eighth, or the smallest."""
+    low = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    shingle = "concat_ws(' ', w, " + ", ".join(f"lead(w, {i}) OVER o" for i in range(1, 5)) + ")"
+    return f"""{name} AS (SELECT k, list_sort(coalesce(list(DISTINCT h) FILTER (h < '2'), [min(h)])) AS s FROM
+(SELECT k, i, n, substr(md5({shingle}), 1, 15) AS h FROM (SELECT k, unnest(w) AS w, generate_subscripts(w, 1) AS i, len(w) AS n FROM (SELECT k, regexp_extract_all({low}, {BLANK_WORDS}) AS w FROM {table})) WINDOW o AS (PARTITION BY k ORDER BY i))
+WHERE i <= greatest(n - 4, 1) GROUP BY k)"""
+
+
+SKETCH = f"""WITH D AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(coalesce(text, ''))) AS k, count(*) OVER () AS m FROM documents),
+{sketches('A', 'D', 't')},
+E AS MATERIALIZED (SELECT x.doc_id, x.n, x.k, y.k AS after, left(x.t, x.n - x.n // 3) || left(y.t, x.n // 3) AS e FROM D x JOIN D y ON y.k = x.k % x.m + 1),
+{sketches('B', 'E', 'e')},
+G AS (SELECT doc_id, n, e, coalesce(A.s, []) AS a, coalesce(B.s, []) AS b, coalesce(C.s, []) AS c FROM E LEFT JOIN A ON A.k = E.k LEFT JOIN B ON B.k = E.k LEFT JOIN A C ON C.k = E.after)
+SELECT doc_id, n AS n_chars, sha256(e) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+CASE WHEN a = b THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS near_edited, CASE WHEN a = c THEN 1.0 ELSE len(list_intersect(a, c)) / len(list_distinct(list_concat(a, c))) END AS near_next,
+CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0.0 END AS contained_edited, CASE WHEN len(a) > 0 THEN len(list_intersect(a, c)) / len(a) ELSE 0.0 END AS contained_next FROM G"""
+
+HARD = """WITH V AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+X AS MATERIALIZED (SELECT r, vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM V WHERE len(embedding) = (SELECT len(embedding) FROM V GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1) AND len(embedding) > 0),
+S AS MATERIALIZED (SELECT a.r, a.vec_id AS anchor_id, b.r AS o, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS s FROM X a JOIN X b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+P AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY s DESC, vec_id NULLS LAST, o) AS k FROM S WHERE same) WHERE k <= 5),
+N AS (SELECT P.anchor_id, P.vec_id AS positive_id, S.vec_id AS negative_id, P.s AS positive_score, S.s AS negative_score, row_number() OVER (PARTITION BY P.r, P.k ORDER BY S.s DESC, S.vec_id NULLS LAST, S.o) AS rank FROM P JOIN S ON S.r = P.r AND NOT S.same AND 50 * P.s <= 100 * S.s AND 100 * S.s <= 95 * P.s)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM N WHERE rank <= 3"""
+
+SQL = {"op1_minhash": NEAR, "op2_winnowing": HITS, "op3_fair_queueing": MIX, "op6_bloom_cascade": URLS, "op12_scaled_sketch": SKETCH, "op13_bond_negatives": HARD}

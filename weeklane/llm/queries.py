@@ -7,6 +7,8 @@ import public_tokenizers
 
 from weeklane.llm.bpe_count import token_counts
 from weeklane.llm.common import table
+from weeklane.llm.fingerprints import edited, fingerprinted
+from weeklane.llm.hard_negatives import mined
 from weeklane.llm.minhash import near_copies
 from weeklane.llm.lattice_lm import lattice_scores
 from weeklane.llm.mixing import mixed_words
@@ -16,6 +18,7 @@ from weeklane.llm.repeats import repeats
 from weeklane.llm.secret_scan import secret_spans, span_text
 from weeklane.llm.toxicity import toxicity
 from weeklane.llm.url_cascade import judged
+from weeklane.llm.whitening import whiten
 from weeklane.llm.winnowing import contamination
 
 
@@ -73,8 +76,32 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(table(spark, sf_dir, "documents"), remainder(7) == 2, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_polar_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model, error = whiten(table(spark, sf_dir, "embeddings"))
+    explained = F.array(*[F.lit(x).cast("double") for x in model.explained]) if model else F.array().cast("array<double>")
+    one = rows.select("vec_id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return one.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
+def op12_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited(table(spark, sf_dir, "documents"))
+
+
+def op13_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash, op2_winnowing, op3_fair_queueing, op4_secret_scan, op5_nn_descent, op6_bloom_cascade, op7_bpe_count, op8_column_bwt, op9_ftrl_toxicity, op10_lattice_lm)}
+    every = (
+        op1_minhash, op2_winnowing, op3_fair_queueing, op4_secret_scan, op5_nn_descent, op6_bloom_cascade, op7_bpe_count, op8_column_bwt,
+        op9_ftrl_toxicity, op10_lattice_lm, op11_polar_whitening, op12_scaled_sketch, op13_bond_negatives,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
