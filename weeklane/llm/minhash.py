@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from weeklane.llm.common import components, cut, small, text_of
 
+WORDS = 4  # of the bitmap of what a node lacks
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -124,6 +125,12 @@ def star_pairs(member: DataFrame) -> DataFrame:
     return best.join(central.select(F.col("order").alias("first"), F.col("row").alias("v")), "first").select(F.col("row").alias("u"), "v").where("u <> v")
 
 
+def bitmap(tokens: str, word: int):
+    """A 64-bit word of a bitmap of WORDS words in which each of the hashes has a place."""
+    place = f"pmod(t, {64 * WORDS})"
+    return F.expr(f"aggregate(filter({tokens}, t -> {place} div 64 = {word}), 0L, (b, t) -> b | shiftleft(1L, CAST({place} % 64 AS INT)))")
+
+
 def open_pairs(rest: DataFrame, sets: DataFrame, percent: int, rare: int) -> DataFrame:
     """Pairs of different components that may reach the limit, by the prefix filter, which is exact.
 
@@ -132,7 +139,10 @@ def open_pairs(rest: DataFrame, sets: DataFrame, percent: int, rare: int) -> Dat
     held by at most ``rare`` nodes, the pair meets on it. Otherwise all that they share is common,
     and they can share no more than either has of common shingles; so a node with too few of them
     for the smallest partner in its bucket is out. The others meet under the centre of their bucket,
-    if what each has of the centre's common shingles and of others leaves room for the limit.
+    if the limit can be reached: of the centre's common shingles two nodes share all but those that
+    either lacks, and those that both lack are at most the bits that both have set in bitmaps
+    of what they lack, and what had no bit of its own. (Two nodes that lack so little that they
+    reach the limit anyway are both linked to the centre, so they are one component already.)
     rest: key, row, comp, of the buckets that hold more than one component.
     """
     comp = rest.select("row", "comp").distinct()
@@ -160,13 +170,19 @@ def open_pairs(rest: DataFrame, sets: DataFrame, percent: int, rare: int) -> Dat
     placed = left.join(centre, "key").select("c", "row", "comp", "n").distinct()
     shared = token.where(F.col("df") > rare).join(left.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.collect_list("token").alias("common"))
     both = placed.join(shared, "row").join(shared.select(F.col("row").alias("c"), F.col("common").alias("core")), "c")
-    inside = F.size(F.array_intersect("common", "core"))
-    placed = cut(both.select("c", "row", "comp", "n", inside.alias("p"), (F.size("common") - inside).alias("q")), "placed")
-    a = placed.select("c", *[F.col(x).alias(f"{x}u") for x in ("n", "comp", "p", "q")], F.col("row").alias("u"))
-    b = placed.select("c", *[F.col(x).alias(f"{x}v") for x in ("n", "comp", "p", "q")], F.col("row").alias("v"))
+    lacks = both.withColumn("lacks", F.array_except("core", "common"))
+    bits = [bitmap("lacks", k) for k in range(WORDS)]
+    own = F.size("core") - F.size("lacks")
+    placed = lacks.select("c", "row", "comp", "n", F.size("core").alias("core"), F.size("lacks").alias("m"), (F.size("common") - own).alias("q"), *[x.alias(f"b{k}_") for k, x in enumerate(bits)])
+    spare = F.col("m") - sum((F.bit_count(f"b{k}_") for k in range(WORDS)), F.lit(0))
+    placed = cut(placed.withColumn("s", spare), "placed")
+    columns = ("n", "comp", "m", "q", "s", *(f"b{k}_" for k in range(WORDS)))
+    a = placed.select("c", "core", *[F.col(x).alias(f"{x}u") for x in columns], F.col("row").alias("u"))
+    b = placed.select("c", *[F.col(x).alias(f"{x}v") for x in columns], F.col("row").alias("v"))
     sized = F.lit(100) * F.least("nu", "nv") >= F.lit(percent) * F.greatest("nu", "nv")
-    enough = (100 + percent) * (F.least("pu", "pv") + F.least("qu", "qv")) >= percent * (F.col("nu") + F.col("nv"))
-    by_centre = a.join(b, "c").where((F.col("compu") < F.col("compv")) & sized & enough).select("u", "v")
+    lacked = sum((F.bit_count(F.col(f"b{k}_u").bitwiseAND(F.col(f"b{k}_v"))) for k in range(WORDS)), F.least("su", "sv"))
+    share = F.col("core") - F.col("mu") - F.col("mv") + F.least(lacked, "mu", "mv") + F.least("qu", "qv")
+    by_centre = a.join(b, "c").where((F.col("compu") < F.col("compv")) & sized & ((100 + percent) * share >= percent * (F.col("nu") + F.col("nv")))).select("u", "v")
     return cut(by_rare.union(by_centre).distinct(), "pairs")
 
 
