@@ -1,6 +1,7 @@
 """Neighbour search on tables that are larger than a leaf, or whose lengths differ."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from weeklane.llm import nn_descent
@@ -36,6 +37,21 @@ def test_lists_are_joined_until_they_settle_and_the_beam_follows(spark):
     assert recall(spark, x, 50, trees=2, leaf=64, k=12, beam=35, opened=12) >= 0.93
 
 
-def test_a_scan_answers_where_no_beam_does(spark):
-    x = vectors(1000, 8, 0.3)
-    assert recall(spark, x, 50, trees=1, leaf=16, k=2, beam=21, opened=4, most=20) == 1
+def test_lists_grow_where_no_beam_does(spark):
+    x = vectors(500, 8, 0.3)
+    assert recall(spark, x, 50, trees=1, leaf=16, k=2, reverse=2, beam=24, opened=12, most=48, settled=0.2) >= 0.9
+
+
+def test_recall_that_is_not_reached_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "GROWN", 0)
+    with pytest.raises(RuntimeError, match="recall is 0"):
+        recall(spark, vectors(600, 8, 0.3), 50, trees=1, leaf=8, k=1, reverse=1, beam=21, opened=1, most=20)
+
+
+def test_codes_keep_each_vector_at_its_own_scale():
+    x = vectors(50, 9, 0.5)
+    x[3] *= 1e9
+    x[4] = 0
+    for kind, error in ((nn_descent.MIDDLE, 2e-4), (nn_descent.SHORT, 3e-2)):
+        y = nn_descent.decoded(nn_descent.coded(x, kind), 9, kind)
+        assert (np.linalg.norm(x - y, axis=1) <= error * np.linalg.norm(x, axis=1)).all()

@@ -7,12 +7,15 @@ for short vectors and distances between them don't drown beside a long one. The
 rounds of joins: the neighbours and some reverse neighbours of a node meet and are compared with
 one another. The search walks both, as short lists alone lead away from the long vectors. A query starts at its own node and the longest vectors and greedily opens the best nodes
 of its beam, in rounds over all queries, until the best ``beam`` nodes are all opened. Graph and
-search hold single-precision vectors and compare them in double precision; the nodes of the final
-beams are scored on the original ones.
+search compare in double precision.
 
 Rounds of joins go on until few list entries change. Before all queries are searched, a sample of
 bounded size is, and is held against a scan of all nodes: the beam doubles until the sample's recall
-reaches the one asked for. If no beam within bounds does, all queries are answered by that scan.
+reaches the one asked for. If no beam within bounds does, the graph is built with twice the lists and
+trees, a few times; after that the search ends with an error that names the recall.
+
+The joins carry vectors as 16-bit, the search's lists as 8-bit whole numbers of each vector's own
+scale; what the beams hold at the end is scored on the original vectors.
 
 The index holds every row.
 """
@@ -31,7 +34,9 @@ from weeklane.llm.common import cut
 log = logging.getLogger(__name__)
 SALTS = 16
 SAMPLE = 200  # queries that are held against a scan of all nodes
-SCANNED = 2_000  # queries of one scan
+MIDDLE, SHORT = np.int16, np.int8  # components that the joins of the graph, and the search, carry
+SLICE = 500  # lists of vectors that are compared at once
+GROWN = 3  # times that the graph's lists and trees are doubled
 
 
 def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int, salt: str) -> DataFrame:
@@ -66,6 +71,20 @@ def points(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim).astype(np.float64)
 
 
+def coded(x: np.ndarray, kind) -> pa.Array:
+    """Each row as whole numbers of its own scale: four bytes of scale, then the components."""
+    top = np.iinfo(kind).max
+    scale = np.maximum(np.abs(x).max(1), np.finfo(np.float32).tiny) / top
+    whole = np.clip(np.rint(x / scale[:, None]), -top, top).astype(kind)
+    return pa.array([s.tobytes() + w.tobytes() for s, w in zip(scale.astype(np.float32), whole, strict=True)], pa.binary())
+
+
+def decoded(column, dim: int, kind) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 + dim * np.dtype(kind).itemsize)
+    scale = raw[:, :4].copy().view(np.float32).astype(np.float64)
+    return raw[:, 4:].copy().view(kind) * scale
+
+
 def nearness(x: np.ndarray) -> np.ndarray:
     """Minus the squared distances of the rows to one another; a row has none to itself."""
     norm = (x * x).sum(1)
@@ -167,12 +186,12 @@ def refined(graph: DataFrame, nodes: DataFrame, dim: int, k: int, reverse: int,
     """One round: whoever share a neighbour are compared; each node keeps its k best."""
     meet = both_ways(graph, reverse, seed).select(F.col("node").alias("at"), F.col("nbr").alias("node"))
     worst = graph.select("node", F.when(F.size("sims") < k, F.lit(float("-inf")).cast("double")).otherwise(F.array_min("sims")).alias("worst"))
-    seen = meet.join(nodes.select("node", "point").join(worst, "node"), "node")
+    seen = meet.join(nodes.select("node", "middle").join(worst, "node"), "node")
 
     def run(batches):
         for t in groups(batches, "at", 20_000):
             at, node, worst = t["at"].to_numpy(), t["node"].to_numpy(), t["worst"].to_numpy()
-            x = points(t["point"], dim)
+            x = decoded(t["middle"], dim, MIDDLE)
             start = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)]
             us, ws, ss = [], [], []
             for a, b in zip(start[:-1], start[1:], strict=True):
@@ -189,7 +208,7 @@ def refined(graph: DataFrame, nodes: DataFrame, dim: int, k: int, reverse: int,
             if us:
                 yield pa.RecordBatch.from_arrays(list(best_lists(np.concatenate(us), np.concatenate(ws), np.concatenate(ss), k)), ["node", "nbrs", "sims"])
 
-    found = seen.select("at", "node", "point", "worst").repartition("at").sortWithinPartitions("at").mapInArrow(run, LISTS)
+    found = seen.select("at", "node", "middle", "worst").repartition("at").sortWithinPartitions("at").mapInArrow(run, LISTS)
     return merged(graph.union(found), k)
 
 
@@ -198,7 +217,7 @@ ENTRIES = 32  # longest vectors, from which each query starts too
 
 
 def searched(lists: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, beam: int, opened: int) -> DataFrame:
-    """(q, node, sim): each query node's beam, itself at infinity. lists: node, near (nbr, point); queries: q, point.
+    """(q, node, sim): each query node's beam, itself at infinity. lists: node, near (nbr, short); queries: q, point.
 
     A round sends each query to the best unopened nodes of its beam, where their neighbours are
     compared with it, and merges what is better than the beam's last back into the beam.
@@ -221,11 +240,11 @@ def searched(lists: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, b
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.float64()))], ["q", "point", "node", "low"])
 
     def score(batches):
-        for batch in (b.slice(at, 1_000) for b in batches for at in range(0, b.num_rows, 1_000)):
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             near = batch.column("near")
             of = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(near).to_numpy(zero_copy_only=False))
             inner = near.flatten()
-            sim = np.einsum("ij,ij->i", points(batch.column("point"), dim)[of], points(inner.field("point"), dim))
+            sim = np.einsum("ij,ij->i", points(batch.column("point"), dim)[of], decoded(inner.field("short"), dim, SHORT))
             keep = np.flatnonzero(sim > batch.column("low").to_numpy()[of])
             q, other, sim = batch.column("q").to_numpy()[of[keep]], inner.field("nbr").to_numpy()[keep], sim[keep]
             names, found, sims = best_lists(q, other, sim, beam)
@@ -271,33 +290,24 @@ def searched(lists: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, b
         beams = cut(beams.union(new).repartition("q").sortWithinPartitions("q").mapInArrow(merge, BEAM), "beam")
 
 
-def scanned(nodes: DataFrame, queries: DataFrame, dim: int, keep: int) -> DataFrame:
-    """(q, node, sim): each query's keep best other nodes, and itself at infinity, by a scan of all nodes for each block of queries."""
-    blocks = max(1, math.ceil(queries.count() / SCANNED))
-    dealt = cut(queries.select("q", "point", F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block")), "blocks")
-    out = None
-    for block in range(blocks):
-        own = dealt.where(F.col("block") == block).select("q", "point").toArrow()
-        if not own.num_rows:
-            continue
-        ids, of = own["q"].to_numpy(), points(own["point"], dim)
-
-        def scan(batches, ids=ids, of=of):
-            node, sim = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-            for part in (b.slice(at, 2_000) for b in batches for at in range(0, b.num_rows, 2_000)):
-                other = part.column("node").to_numpy()
-                near = of @ points(part.column("point"), dim).T
-                near[ids[:, None] == other] = np.inf
-                node, sim = np.concatenate([node, np.broadcast_to(other, near.shape)], 1), np.concatenate([sim, near], 1)
-                if sim.shape[1] > keep + 1:
-                    best = np.argpartition(-sim, keep, axis=1)[:, : keep + 1]
-                    node, sim = np.take_along_axis(node, best, 1), np.take_along_axis(sim, best, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, node.shape[1])), pa.array(node.ravel()), pa.array(sim.ravel())], ["q", "node", "sim"])
-
-        found = first_rows(nodes.select("node", "point").mapInArrow(scan, "q long, node long, sim double"), ["q"], [F.desc("sim"), F.col("node")], keep + 1, "node")
-        found = cut(found, "scanned")
-        out = found if out is None else out.union(found)
-    return out if out is not None else nodes.select(F.col("node").alias("q"), "node", F.lit(0.0).alias("sim")).limit(0)
+def scanned(nodes: DataFrame, sample: DataFrame, dim: int, keep: int) -> DataFrame:
+    """(q, node, sim): each sampled query's keep best other nodes, and itself at infinity, by a scan of all nodes."""
+    own = sample.select("q", "point").toArrow()  # SAMPLE rows at most
+    ids, of = own["q"].to_numpy(), points(own["point"], dim) if own.num_rows else np.zeros((0, dim))
+
+    def scan(batches):
+        node, sim = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        for part in (b.slice(at, 2_000) for b in batches for at in range(0, b.num_rows, 2_000)):
+            other = part.column("node").to_numpy()
+            near = of @ points(part.column("point"), dim).T
+            near[ids[:, None] == other] = np.inf
+            node, sim = np.concatenate([node, np.broadcast_to(other, near.shape)], 1), np.concatenate([sim, near], 1)
+            if sim.shape[1] > keep + 1:
+                best = np.argpartition(-sim, keep, axis=1)[:, : keep + 1]
+                node, sim = np.take_along_axis(node, best, 1), np.take_along_axis(sim, best, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, node.shape[1])), pa.array(node.ravel()), pa.array(sim.ravel())], ["q", "node", "sim"])
+
+    return first_rows(nodes.select("node", "point").mapInArrow(scan, "q long, node long, sim double"), ["q"], [F.desc("sim"), F.col("node")], keep + 1, "node")
 
 
 def share_found(found: DataFrame, best: DataFrame, top: int) -> float:
@@ -308,20 +318,31 @@ def share_found(found: DataFrame, best: DataFrame, top: int) -> float:
     return least.join(got, "q", "left").agg((F.sum(F.coalesce("got", F.lit(0))) / F.sum("n")).alias("share")).first()["share"] or 0.0
 
 
-def followed(lists: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, beam: int, opened: int, top: int, recall: float, most: int) -> DataFrame:
-    """(q, node, sim) of all queries, with the first beam, of doubled ones, whose recall on a sample of them is as asked for."""
-    sample = cut(queries.orderBy(F.xxhash64("q"), "q").limit(SAMPLE), "sample")
-    best = cut(scanned(nodes, sample, dim, top), "best")
-    if best.where("q <> node").isEmpty():
-        return best
+def followed(lists: DataFrame, nodes: DataFrame, queries: DataFrame, sample: DataFrame, best: DataFrame, dim: int, beam: int, opened: int, top: int, recall: float, most: int) -> tuple[DataFrame | None, float]:
+    """((q, node, sim) of all queries, recall) with the first beam, of doubled ones, whose recall on the sample is as asked for; None if none of up to ``most`` has it."""
+    share = 0.0
     while beam <= most:
         share = share_found(searched(lists, nodes, sample, dim, beam, opened), best, top)
         log.info("beam %d: recall %.4f on a sample", beam, share)
         if share >= recall:
-            return searched(lists, nodes, queries, dim, beam, opened)
+            return searched(lists, nodes, queries, dim, beam, opened), share
         beam, opened = 2 * beam, 2 * opened
-    log.warning("no beam of up to %d nodes has recall %.2f on a sample: all queries are scanned", most, recall)
-    return scanned(nodes, queries, dim, top)
+    return None, share
+
+
+def settled_graph(nodes: DataFrame, dim: int, trees: int, leaf: int, k: int, reverse: int, each: int, settled: float, seed: int) -> DataFrame:
+    """Lists of k neighbours: random-projection leaves, then rounds of joins until few entries change."""
+    graph = cut(forest(nodes, dim, trees, leaf, k, seed), "graph")
+    turn = 0
+    while True:
+        before, graph = graph, cut(refined(graph, nodes, dim, k, reverse, each, seed + turn), "graph")
+        old = before.select("node", F.col("nbrs").alias("old"))
+        new = F.when(F.col("old").isNull(), F.size("nbrs")).otherwise(F.size(F.array_except("nbrs", "old")))
+        changed = graph.join(old, "node", "left").agg((F.sum(new) / F.sum(F.size("nbrs"))).alias("share")).first()["share"] or 0.0
+        log.info("round %d: %.4f of the list entries changed", turn, changed)
+        turn += 1
+        if changed <= settled:
+            return graph
 
 
 def nearest(vectors: DataFrame, queries: Column, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 32, trees: int = 8, leaf: int = 2048, settled: float = 0.02, reverse: int = 24, each: int = 6, beam: int = 140, opened: int = 45, recall: float = 0.95, most: int = 2240, seed: int = 7) -> DataFrame:
@@ -333,7 +354,7 @@ def nearest(vectors: DataFrame, queries: Column, top: int = 20, id_col: str = "v
     Repeated rows are rows of their own; a row is never its own neighbour.
 
     settled: share of list entries below which a round's changes end the joins. recall: the least on
-    the sample; beam: the first one; most: the largest one before all queries are scanned.
+    the sample; beam: the first one; most: the largest one before the graph's lists are doubled.
     """
     v = F.col("v")
     fine = (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -354,26 +375,27 @@ def nearest(vectors: DataFrame, queries: Column, top: int = 20, id_col: str = "v
             full = lifted(np.array(batch.column("v").flatten(), np.float64).reshape(-1, dim - 1), longest, scale)
             plain = full.copy()
             plain[:, -1] = 0
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("v"), batch.column("norm"), pa.array([r.tobytes() for r in full], pa.binary()), pa.array([r.tobytes() for r in plain], pa.binary())], ["node", "v", "norm", "point", "query"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("v"), batch.column("norm"), pa.array([r.tobytes() for r in full], pa.binary()), pa.array([r.tobytes() for r in plain], pa.binary()), coded(full, MIDDLE), coded(full, SHORT)], ["node", "v", "norm", "point", "query", "middle", "short"])
 
     first = rows.join(names.select(F.col("node").alias("row")), "row", "left_semi")
-    nodes = cut(first.select("row", "v", "norm").mapInArrow(lift, "node long, v array<double>, norm double, point binary, query binary"), "nodes")
-    graph = cut(forest(nodes, dim, trees, leaf, k, seed), "graph")
-    turn = 0
-    while True:
-        before, graph = graph, cut(refined(graph, nodes, dim, k, reverse, each, seed + turn), "graph")
-        old = before.select("node", F.col("nbrs").alias("old"))
-        new = F.when(F.col("old").isNull(), F.size("nbrs")).otherwise(F.size(F.array_except("nbrs", "old")))
-        changed = graph.join(old, "node", "left").agg((F.sum(new) / F.sum(F.size("nbrs"))).alias("share")).first()["share"] or 0.0
-        log.info("round %d: %.4f of the list entries changed", turn, changed)
-        turn += 1
-        if changed <= settled:
-            break
+    nodes = cut(first.select("row", "v", "norm").mapInArrow(lift, "node long, v array<double>, norm double, point binary, query binary, middle binary, short binary"), "nodes")
     asking = named.where("asks").select(F.col("node").alias("q")).distinct()
     asked = cut(asking.join(nodes.select(F.col("node").alias("q"), F.col("query").alias("point")), "q"), "queries")
-    flat = both_ways(graph, reverse, seed).join(nodes.select(F.col("node").alias("nbr"), "point"), "nbr")
-    lists = cut(flat.groupBy("node").agg(F.collect_list(F.struct("nbr", "point")).alias("near")), "adjacency")  # k + reverse rows each
-    found = followed(lists, nodes, asked, dim, beam, opened, top, recall, most).select("q", "node")
+    sample = cut(asked.orderBy(F.xxhash64("q"), "q").limit(SAMPLE), "sample")
+    best = cut(scanned(nodes, sample, dim, top), "best")
+    found, share = best, 1.0  # right if no query has another node
+    for grown in range(GROWN + 1) if not best.where("q <> node").isEmpty() else ():
+        k_, reverse_, trees_ = (x << grown for x in (k, reverse, trees))
+        graph = settled_graph(nodes, dim, trees_, leaf, k_, reverse_, each, settled, seed)
+        flat = both_ways(graph, reverse_, seed).join(nodes.select(F.col("node").alias("nbr"), "short"), "nbr")
+        lists = cut(flat.groupBy("node").agg(F.collect_list(F.struct("nbr", "short")).alias("near")), "adjacency")  # k + reverse rows each
+        found, share = followed(lists, nodes, asked, sample, best, dim, beam, opened, top, recall, most)
+        if found is not None:
+            break
+        log.warning("lists of %d and beams of up to %d have recall %.3f on a sample", k_, most, share)
+    if found is None:
+        raise RuntimeError(f"recall is {share:.3f} on a sample of {SAMPLE} queries, {recall} was asked for: give more trees, longer lists or a larger beam")
+    found = found.select("q", "node")
 
     pairs = found.join(nodes.select(F.col("node").alias("q"), F.col("v").alias("x")), "q").join(nodes.select("node", "v"), "node")
     score = F.aggregate(F.zip_with("x", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
