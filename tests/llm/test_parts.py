@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weeklane.llm import bpe_count, lattice_lm, minhash, repeats, secret_scan, toxicity, url_cascade, winnowing
 
@@ -89,7 +90,7 @@ def test_lattice_sums_all_segmentations():
     pieces = [bytes([b]) for b in range(256)] + [b"\0a", b"ab", b"bc", b"abc"]
     logp = np.log(np.random.default_rng(0).dirichlet(np.ones(len(pieces))))
     weight = dict(zip(pieces, np.exp(logp), strict=True))
-    lattice = lattice_lm.Lattice(*lattice_lm.piece_table(pieces), logp)
+    lattice = lattice_lm.Lattice(*lattice_lm.piece_table(pieces), logp, 4)
 
     def total(text):
         return 1.0 if not text else sum(weight[text[:k]] * total(text[k:]) for k in range(1, len(text) + 1) if text[:k] in weight)
@@ -97,17 +98,55 @@ def test_lattice_sums_all_segmentations():
     words = [b"", b"a", b"abc", b"abcabc", b"xabz", b"c" * 9]
     assert np.allclose(np.exp(lattice.scores(words)), [total(b"\0" + w) for w in words])
     # expected uses: derivative of the log total by each piece's log weight
-    uses = lattice.expected(words)
+    times = np.array([1.0, 2, 3, 1, 2, 5])
+    uses = lattice.expected(words, times)
     for k in (pieces.index(b"\0a"), pieces.index(b"abc"), pieces.index(b"c")):
         more = logp.copy()
         more[k] += 1e-6
-        slope = (lattice_lm.Lattice(lattice.hashes, lattice.numbers, more).scores(words) - lattice.scores(words)).sum() / 1e-6
+        slope = (times * (lattice_lm.Lattice(lattice.hashes, lattice.numbers, more, 4).scores(words) - lattice.scores(words))).sum() / 1e-6
         assert abs(slope - uses[k]) < 1e-4
 
 
+def test_a_text_is_the_sum_over_all_its_segmentations(spark, monkeypatch):
+    """The whole operator against a recursion over each document's characters."""
+    pieces = [b"a", b"b", b"ab", b"\0a", b"\0ab", b"\0", b"bab"]
+    first = np.log(np.array([3, 2, 2, 1, 1, 1, 1]) / 11)
+    monkeypatch.setattr(lattice_lm, "read_pieces", lambda path: (pieces, first))
+    texts = ["ab ab bab", "a b", "", None, "AB abab", "bab ba"]
+    held = {1, 4}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.score for r in lattice_lm.lattice_scores(df, F.col("doc_id").isin(*held), "", rounds=2, prior=5.0).collect()}
+    marked = {d: [b"\0" + w for w in (t or "").lower().encode().split()] for d, t in enumerate(texts)}
+
+    def paths(word):
+        return [[]] if not word else [[p, *rest] for p in pieces if word.startswith(p) for rest in paths(word[len(p) :])]
+
+    weight, ends = dict(zip(pieces, np.exp(first), strict=True)), len(texts) - len(held)
+    for _ in range(2):
+        uses = {p: 5.0 * np.exp(f) for p, f in zip(pieces, first, strict=True)}
+        for d in set(marked) - held:
+            for w in marked[d]:
+                chance = [np.prod([weight[p] for p in path]) for path in paths(w)]
+                for path, c in zip(paths(w), chance, strict=True):
+                    for p in path:
+                        uses[p] += c / sum(chance)
+        weight = {p: u / sum(uses.values()) for p, u in uses.items()}
+    whole = sum(uses.values()) + ends
+    for d, words in marked.items():
+        chance = [sum(np.prod([uses[p] / whole for p in path]) for path in paths(w)) for w in words]
+        assert found[d] == pytest.approx(np.log10(ends / whole) + sum(np.log10(c) for c in chance), rel=1e-9)
+
+
+def test_all_pieces_of_the_vocabulary_are_read():
+    import public_tokenizers
+
+    pieces, _ = lattice_lm.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    assert max(map(len, pieces)) > 16 and len(pieces) > 25_000
+
+
 def test_long_words_score_in_bounded_chunks():
     pieces = [bytes([b]) for b in range(256)]
-    lattice = lattice_lm.Lattice(*lattice_lm.piece_table(pieces), np.full(256, -np.log(256)))
+    lattice = lattice_lm.Lattice(*lattice_lm.piece_table(pieces), np.full(256, -np.log(256)), 1)
     assert np.allclose(lattice.scores([b"q" * 5000, b"q"]), [-5001 * np.log(256), -2 * np.log(256)])
 
 

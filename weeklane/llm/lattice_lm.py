@@ -2,12 +2,11 @@
 
 The pieces and first scores come from a public tokenizer's vocabulary. A word's lattice has an edge
 for each piece, and for each single byte, that occurs in it; the word's probability is the sum over
-all paths, found by a forward recursion in log space over all words of a chunk at once. The piece
-probabilities are fitted to the training documents' distinct words by expectation-maximisation
-(the vocabulary stays as it is). A word of the training documents also has one edge over its whole
-length, weighted by its discounted share of all training tokens; the discounted rest weighs the
-paths over pieces. The first piece of a word holds the mark of its start, so that a path stops where
-the next word starts and the words' probabilities sum to one. A text's probability is the product over its tokens, with one end token.
+all paths, found by a forward recursion in log space over all words of a chunk at once. The
+vocabulary stays as it is; the piece probabilities are fitted to the training documents' words, each
+as often as it occurs, by expectation-maximisation. The first piece of a word holds the mark of its start, so that a path stops where
+the next word starts. A text is drawn piece by piece until the end token, which has a share of the
+draws: a text's probability is the product over its words and the end, and all texts' sum to one.
 
 Word counts come from all training documents. A block of documents holds its distinct words once;
 only these go through the shuffles, and each document is scored against its block's words.
@@ -24,7 +23,6 @@ from pyspark.sql import functions as F
 from weeklane.llm.common import cut, text_of
 from weeklane.llm.minhash import MIX
 
-LONGEST = 16  # bytes of a piece
 TOP = 18  # bits by which the pieces are looked up
 CELLS = 400_000  # bytes of the words that are looked at together
 BLOCK_WORDS, BLOCK_TOKENS = 300_000, 4_000_000  # a block of documents is closed beyond either
@@ -40,7 +38,7 @@ def read_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i):
             continue
         piece = model.id_to_piece(i).replace("▁", "\0").encode().lower()
-        if len(piece) <= LONGEST and b"\0" not in piece[1:] and piece != b"\0":
+        if b"\0" not in piece[1:] and piece != b"\0":
             own[piece] = max(own.get(piece, -1e9), model.get_score(i))
     for b in range(256):
         own.setdefault(bytes([b]), min(own.values()) if own else 0.0)
@@ -69,11 +67,12 @@ def piece_table(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lattice:
-    def __init__(self, hashes: np.ndarray, numbers: np.ndarray, logp: np.ndarray):
+    def __init__(self, hashes: np.ndarray, numbers: np.ndarray, logp: np.ndarray, longest: int):
+        self.longest = longest  # bytes of a piece
         self.hashes, self.numbers, self.logp = hashes, numbers, logp
         top = (hashes >> np.uint64(64 - TOP)).astype(np.int64)
         self.first = np.searchsorted(top, np.arange((1 << TOP) + 1))  # where hashes with these top bits start
-        self.power = np.array([pow(int(MIX[0]), k, 1 << 64) for k in range(LONGEST + 1)], np.uint64)
+        self.power = np.array([pow(int(MIX[0]), k, 1 << 64) for k in range(longest + 1)], np.uint64)
 
     def chunks(self, words: list[bytes]):
         """Words of about the same length as a matrix of bytes: (places in words, lengths, cells)."""
@@ -109,7 +108,7 @@ class Lattice:
         alpha = np.full((cells.shape[0], cells.shape[1] + 1), -np.inf)
         alpha[:, 0] = 0
         for end in range(1, cells.shape[1] + 1):
-            for length in range(1, min(end, LONGEST) + 1):
+            for length in range(1, min(end, self.longest) + 1):
                 piece = self.edges(h, end, length)
                 has = np.flatnonzero(piece >= 0)
                 if len(has):
@@ -125,17 +124,17 @@ class Lattice:
             out[of] = alpha[np.arange(len(of)), size]
         return out
 
-    def expected(self, words: list[bytes]) -> np.ndarray:
-        """Expected uses of each piece over all paths of all words."""
+    def expected(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece over all paths of all words, each so many times."""
         out = np.zeros(len(self.logp))
-        for _, size, cells in self.chunks(words):
+        for of, size, cells in self.chunks(words):
             alpha, edges = self.forward(cells)
             beta = np.full(alpha.shape, -np.inf)
             beta[np.arange(len(size)), size] = 0
             total = alpha[np.arange(len(size)), size]
             for end, length, has, piece in reversed(edges):
                 on = self.logp[piece] + beta[has, end]
-                use = np.exp(alpha[has, end - length] + on - total[has])
+                use = times[of[has]] * np.exp(alpha[has, end - length] + on - total[has])
                 out += np.bincount(piece, use, len(out))
                 beta[has, end - length] = np.logaddexp(beta[has, end - length], on)
         return out
@@ -179,28 +178,31 @@ def coded(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"block string, doc {kind}, held boolean, tokens binary, words array<binary>, counts array<long>")
 
 
-def fitted_pieces(vocab: DataFrame, path: str, rounds: int, prior: float):
-    """Piece table and log weights after so many rounds over the training documents' words."""
+def fitted_pieces(vocab: DataFrame, path: str, rounds: int, prior: float, ends: int):
+    """(piece table, log weights, longest piece, log weight of the end) after so many rounds over the training documents' words."""
     pieces, logp = read_pieces(path)
     hashes, numbers = piece_table(pieces)
+    longest = max(map(len, pieces))
     first = np.exp(logp)
+    uses = prior * first
     for _ in range(rounds):
-        shared = vocab.sparkSession.sparkContext.broadcast((hashes, numbers, logp))
+        shared = vocab.sparkSession.sparkContext.broadcast((hashes, numbers, logp, longest))
 
         def run(batches, shared=shared):
             lattice = Lattice(*shared.value)
             total = np.zeros(len(lattice.logp))
             for batch in batches:
-                total += lattice.expected(batch.column("word").to_pylist())
+                total += lattice.expected(batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(np.float64))
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["piece", "uses"])
 
-        got = vocab.where("c > 0").select("word").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()  # at most one row per piece
+        got = vocab.where("c > 0").select("word", "c").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()  # at most one row per piece
         uses = prior * first
         for r in got:
             uses[r["piece"]] += r["uses"]
         logp = np.log(uses / uses.sum())
-    return hashes, numbers, logp
+    whole = uses.sum() + max(ends, 1)
+    return hashes, numbers, np.log(uses / whole), longest, float(np.log(max(ends, 1) / whole))
 
 
 def lattice_scores(docs: DataFrame, held, path: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, prior: float = 1000.0) -> DataFrame:
@@ -209,33 +211,27 @@ def lattice_scores(docs: DataFrame, held, path: str, id_col: str = "doc_id", tex
     held: condition over the id column; null counts as false. path: a sentencepiece model's file,
     read by the driver. Words are runs without the six ASCII blanks, A-Z lower-cased. A null text
     is empty and has its end token only. Repeated rows are documents of their own. Without training
-    documents base_score is 0 for each token, and words have their paths over pieces only.
+    documents base_score is 0 for each token, and pieces keep their first weights.
     """
     own = docs.select(F.col(id_col).alias("doc"), F.coalesce(held, F.lit(False)).alias("held"), text_of(text_col).alias("text"))
     blocks = cut(coded(own), "blocks")
     words = blocks.where("words is not null").select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
     vocab = cut(words.groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
     ends = blocks.where("words is null and not held").count()
-    sums = vocab.where("c > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
+    sums = vocab.where("c > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     n, v = sums["n"] + ends, sums["v"] + (ends > 0)
-    discount = sums["one"] / (sums["one"] + 2 * sums["two"]) if sums["one"] else 0.5
-    seen, rest = ends + sums["n"] - discount * sums["v"], discount * sums["v"]  # the weights of whole words and of paths over pieces
-    rest = rest or 1.0
-    parts = docs.sparkSession.sparkContext.broadcast(fitted_pieces(vocab, path, rounds, prior))
-    whole = seen + rest
+    *model, end_p = fitted_pieces(vocab, path, rounds, prior, ends)
+    parts = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def score(batches):
         lattice = Lattice(*parts.value)
         for batch in batches:
-            c = batch.column("c").to_numpy().astype(np.float64)
-            with np.errstate(divide="ignore"):
-                edge = np.log(np.maximum(c - discount, 0))
-            p = np.logaddexp(edge, np.log(rest) + lattice.scores(batch.column("word").to_pylist())) - np.log(whole)
+            p = lattice.scores(batch.column("word").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(p / np.log(10))], ["word", "c", "p"])
 
     scored = vocab.mapInArrow(score, "word binary, c long, p double")
     in_blocks = words.select("block", "at", "word").join(scored, "word").select(F.col("block").alias("in_block"), "at", "c", "p")
-    end_p = float(np.log10(ends / whole)) if ends else float(np.log10(0.5))
+    end_p /= float(np.log(10))
     end_base = float(np.log10((ends + 1) / (n + v + 1)))
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
