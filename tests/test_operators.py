@@ -10,7 +10,9 @@ from weeklane.config import Stack
 from weeklane.functions.quantiles import grouped_quantiles
 from weeklane.functions import quantiles
 from weeklane.functions.scalars import adjusted_skew
-from weeklane.models import boosting, grouped
+from weeklane.models import grouped
+from weeklane.models.settings import settings
+from weeklane.models.trees import TreeSpec, fit_trees
 from weeklane.operators import boards, design, explore, features, fill, guardrail, hierarchy, metrics, naive, panel, splits, stacking
 from weeklane.sources import artifacts, counts, covariates, sinks
 
@@ -212,14 +214,25 @@ def test_pair_ranks(spark):
 
 
 def test_boosting_loss_falls(spark):
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = spark.range(400).select((F.col("id") % 20).cast("double").alias("x"), F.floor((F.col("id") % 20) / 2).cast("double").alias("y"))
-    ready = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+    rows = spark.range(400).select(F.lit("A").alias("fold_id"), F.lit(1).alias("horizon"), F.lit("g").alias("geo_id"), F.lit("train").alias("role"), (F.col("id") % 20).cast("double").alias("x"), F.floor((F.col("id") % 20) / 2).cast("double").alias("y_true"))
+    known = settings(rows, ["x"])
     for loss in ("squared", "poisson", "tweedie"):
-        m = boosting.boost(ready, "y", loss, 8, 0.3, 2, 5, power=1.3, val=ready)
-        assert all(b < a for a, b in zip(m.losses, m.losses[1:]))
-        assert m.transform(ready).count() == 400
+        m = fit_trees(known, None, TreeSpec(loss, 8, 0.3, 2, 5, power=1.3))
+        own = m.trees[0]
+        losses = []
+        for k in range(1, 9):
+            m.trees[0] = own[:k]
+            losses.append(m.predict("p", known.rows).agg(F.avg(loss_of(loss, F.col("y_true"), F.col("p"), 1.3))).first()[0])
+        assert all(b < a for a, b in zip(losses, losses[1:]))
+        assert m.predict("p", known.rows).count() == 400
+
+
+def loss_of(loss, y, mu, power):
+    if loss == "squared":
+        return (y - mu) * (y - mu)
+    if loss == "poisson":
+        return mu - y * F.log(mu)
+    return F.pow(mu, 2 - power) / (2 - power) - y * F.pow(mu, 1 - power) / (1 - power)
 
 
 def test_grouped_glm_learns_and_falls_back():

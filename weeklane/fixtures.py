@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from weeklane.config import GEO, NAME, VALUE, WEEK, Fold, Hierarchy, Stack
 from weeklane.functions.scalars import monday
-from weeklane.operators import features, metrics, naive, panel, regimes, splits, stacking
+from weeklane.models import runner
+from weeklane.models.fits import TRAINED
+from weeklane.operators import features, guardrail, metrics, naive, panel, regimes, splits, stacking
+from weeklane.sources.sinks import save_bucketed, shared_path, staged
 
 HORIZONS = (1, 2, 3, 4)
 FOLDS = (
@@ -119,3 +122,69 @@ def region_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = counts(spark, sf_dir)
     whole = counts(spark, sf_dir, "r_name").filter(F.col(GEO) == OVERLAP.parent)
     return nations.unionByName(whole)
+
+
+def bucketed_counts(spark: SparkSession, sf_dir: str, buckets: int = 8) -> DataFrame:
+    """The counts as a bucketed table of its own name, in the shared folder."""
+    path = shared_path(spark, "panel")
+    return save_bucketed(counts(spark, sf_dir), "weeklane_" + path.rsplit("-", 1)[1], path, buckets)
+
+
+def wide_count_files(spark: SparkSession, sf_dir: str) -> tuple[list[str], dict[str, tuple[str, str]]]:
+    """(folders of CSV files, node of each header): the counts as a wide table of text, as such files come.
+
+    Every seventh value has a fraction, is negative or unreadable; a folder of its own holds the first
+    line of each year without its last field.
+    """
+    rows = counts(spark, sf_dir)
+    names = [r[0] for r in rows.select(GEO).distinct().orderBy(GEO).collect()]  # columns of the table
+    kind, whole = F.col(VALUE) % 7, F.col(VALUE).cast("string")
+    text = F.when(kind == 1, F.concat(F.lit("-"), whole)).when(kind == 2, "n/a").when(kind == 3, F.concat(whole, F.lit(".9"))).otherwise(whole)
+    wide = rows.select(F.date_format(WEEK, "yyyy-MM-dd").alias("date"), GEO, text.alias("t")).groupBy("date").pivot(GEO, names).agg(F.first("t"))
+    headers = {n: n.lower() for n in names}
+    wide = staged(wide.select("date", *[F.col(n).alias(h) for n, h in headers.items()]), "wide")
+    folders = [shared_path(spark, "counts"), shared_path(spark, "broken")]
+    wide.write.option("header", True).csv(folders[0])
+    first = wide.groupBy(F.substring("date", 1, 4)).agg(F.min("date").alias("date")).select("date")
+    short = wide.join(first, "date").select(F.concat_ws(",", "date", *list(headers.values())[:-1]).alias("value"))
+    heading = spark.createDataFrame([(",".join(["date", *headers.values()]),)], "value string")
+    heading.unionByName(short).coalesce(1).write.text(folders[1])  # a line a year, after the header
+    return folders, {h: (n, n) for n, h in headers.items()}
+
+
+_backtests: dict[tuple[str, str], list[DataFrame]] = {}
+
+
+def backtest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(long predictions, fit notes, models) of all trained models over all folds and horizons, as written tables.
+
+    Reports of one session share the tables, as reports share a backtest's folder; they are made anew
+    where their files are gone.
+    """
+    key = spark.sparkContext.applicationId, sf_dir
+    try:
+        for t in _backtests.get(key, []):
+            t.limit(1).collect()
+    except Exception:  # the folder was cleaned
+        _backtests.pop(key)
+    if key not in _backtests:
+        predictions, notes, models = runner.run_track(supervised(spark, sf_dir), list(TRAINED))
+        _backtests[key] = [staged(predictions, "predictions"), staged(notes, "notes"), staged(models.table(spark), "models")]
+    return tuple(_backtests[key])
+
+
+def every_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long predictions of the naive and the trained models of the track."""
+    return predictions(spark, sf_dir).filter(F.col("model").isin(MODELS[:2])).unionByName(backtest(spark, sf_dir)[0], allowMissingColumns=True)
+
+
+def trained_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stack of persistence and the trained models, behind the low-origin rule."""
+    rows = every_prediction(spark, sf_dir)
+    base = list(Stack().base_models)
+    table = stacking.stack_weights(stacking.lofo_mae(rows, base), Stack()).drop("track")
+    own = supervised(spark, sf_dir)
+    keys = [GEO, WEEK, "horizon", "fold_id"]
+    wide = own.join(stacking.pivot_models(rows.filter(F.col("model").isin(base)), base, keys), keys)
+    out = stacking.conservative_stack(wide, table, base)
+    return guardrail.apply_guardrail(out, guardrail.low_origin_stats(own.filter("role = 'train'")), ["conservative_stack"])

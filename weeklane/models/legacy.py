@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weeklane.config import EXOGENOUS_FRAGMENTS, FAST_FRAGMENTS, GEO, SLOW_FRAGMENTS, TARGET_WEEK, WEEK
-from weeklane.models.design import fill_constant, zscore_apply, zscore_fit
-from weeklane.models.fits import poisson_ridge
+from weeklane.models.design import fill_constant
+from weeklane.models.linear import FLAT, Design, Linear, Scaling, fit_glm
+from weeklane.models.settings import Settings, numbered, settings
 from weeklane.operators.features import drop_exogenous, slow_and_fast
 from weeklane.operators.fill import locf_cap
 from weeklane.operators.hierarchy import bottom_up, residual_node
@@ -19,26 +19,26 @@ from weeklane.operators.splits import asof_ceiling, latest_origin
 MODEL = "glm_poisson_ridge"
 
 
-def _fit_apply(train: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame:
-    """rows with the model's column; scores by the train statistics; the mean where nothing varies."""
-    stats = zscore_fit(train, features)
-    if not stats:
-        mean = train.agg(F.coalesce(F.avg("y_true"), F.lit(0.0)).alias("m")).scalar()
-        return rows.withColumn(MODEL, mean)
-    names = [f"_z_{c}" for c in stats]
-    vec = VectorAssembler(inputCols=names, outputCol="features")
-    known = vec.transform(zscore_apply(train, stats, "_z_")).select("features", "y_true")
-    ready = vec.transform(zscore_apply(rows, stats, "_z_")).drop(*names)
-    return poisson_ridge(known, len(names), MODEL)(ready).drop("features")
+# Sample deviations, missing values at the mean, scores within six.
+SCORES = Scaling(fill="mean", ddof=1, limit=6.0, series=False)
+
+
+def strength(shape: Design, s: int) -> float:
+    """max(0.5, 0.1 a feature that varies), spread over the training rows."""
+    return max(0.5, 0.1 * int((shape.deviations[s] > FLAT).sum())) / max(int(shape.settings.sizes[s]), 1)
+
+
+def fitted(rows: DataFrame, features: list[str], by: tuple[str, ...]) -> tuple[Settings, Linear]:
+    """Poisson ridge of each setting of ``by`` on the rows whose role is train (all, without a role)."""
+    known = settings(rows, features, by)
+    return known, fit_glm(known, 1.0, strength, SCORES)
 
 
 def poisson_live(features_panel: DataFrame, pairs: DataFrame, features: list[str], horizons: tuple[int, ...]) -> DataFrame:
     """Latest origin, one fit per horizon over all pairs (training and validation rows alike)."""
-    latest, out = latest_origin(features_panel, horizons), None
-    for h in horizons:
-        one = _fit_apply(pairs.filter(F.col("horizon") == h), latest.filter(F.col("horizon") == h), features)
-        out = one if out is None else out.unionByName(one)
-    return out.select(GEO, F.col(WEEK).alias("origin_week"), TARGET_WEEK, "horizon", F.col(MODEL).alias("y_pred"), F.lit(MODEL).alias("model"))
+    known, model = fitted(pairs, features, ("horizon",))
+    latest = numbered(latest_origin(features_panel, horizons), features, ("horizon",), known.keys, known.series)
+    return model.predict(MODEL, latest).select(GEO, F.col(WEEK).alias("origin_week"), TARGET_WEEK, "horizon", F.col(MODEL).alias("y_pred"), F.lit(MODEL).alias("model"))
 
 
 def poisson_backtest(supervised: DataFrame, features: list[str], ceiling: dt.date, mode: str = "exolite", max_weeks: int = 8) -> DataFrame:
@@ -55,18 +55,12 @@ def poisson_backtest(supervised: DataFrame, features: list[str], ceiling: dt.dat
     else:
         features = drop_exogenous(features, EXOGENOUS_FRAGMENTS)
     rows = fill_constant(rows, features)
-    out = None
-    for s in rows.select("fold_id", "horizon").distinct().orderBy("fold_id", "horizon").collect():  # folds x horizons
-        own = rows.filter((F.col("fold_id") == s["fold_id"]) & (F.col("horizon") == s["horizon"]))
-        train = asof_ceiling(own.filter(F.col("role") == "train"), ceiling)
-        one = _fit_apply(train, own.filter(F.col("role") == "val"), features)
-        out = one if out is None else out.unionByName(one)
-    return out.select(GEO, WEEK, TARGET_WEEK, "horizon", "fold_id", "role", "y_true", F.col(MODEL).alias("y_pred"))
+    known, model = fitted(asof_ceiling(rows.filter(F.col("role") == "train"), ceiling), features, ("fold_id", "horizon"))
+    held = numbered(rows.filter(F.col("role") == "val"), features, known.by, known.keys, known.series)
+    return model.predict(MODEL, held).select(GEO, WEEK, TARGET_WEEK, "horizon", "fold_id", "role", "y_true", F.col(MODEL).alias("y_pred"))
 
 
 def with_total(forecast: DataFrame, big: str | None = None, sub: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """The forecast with the residual of an overlapping node, if asked, and the country total."""
     nodes = residual_node(forecast, big, sub, by=by) if big and sub else forecast
     return bottom_up(nodes, by=by)
-
-

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weeklane.config import GEO, NAME, TARGET_WEEK, TOTAL_NODE, VALUE, WEEK, FeatureSpec, Stack, Training
-from weeklane.models.design import preprocessor, prepared
-from weeklane.models.fits import TRAINED
+from weeklane.models.fits import Fitted, fit_models
+from weeklane.models.settings import HELPERS, numbered, settings
 from weeklane.operators.features import all_features, feature_columns
 from weeklane.operators.guardrail import apply_guardrail, low_origin_stats
 from weeklane.operators.naive import NAIVE_STATUS, naive_columns
 from weeklane.operators.splits import training_pairs_from_panel
 from weeklane.operators.stacking import conservative_stack, stack_weights
+from weeklane.sources.sinks import staged
 
 # How a live forecast came about.
 STACKED, STACKED_GUARDED = "stack_from_backtest_mae", "stack_from_backtest_mae_low_origin_guardrail"
@@ -28,19 +29,22 @@ def latest_rows(panel: DataFrame, horizons: tuple[int, ...], spec: FeatureSpec =
 
 
 def trained_live(panel: DataFrame, latest: DataFrame, models: list[str], horizons: tuple[int, ...], cfg: Training = Training()) -> DataFrame:
-    """latest with a column per trained model, fitted on all pairs of the panel, one fit per horizon."""
+    """latest with a column per trained model, fitted on all pairs of the panel, all horizons together.
+
+    The models go through their table, so that a later origin can be scored without fitting again:
+    ``scored(Fitted.of(table), latest)``.
+    """
     pairs = training_pairs_from_panel(panel, "operational", horizons)
     features = feature_columns(pairs, False, ("last_year",))
-    out = None
-    for h in horizons:
-        train, rows = pairs.filter(F.col("horizon") == h), latest.filter(F.col("horizon") == h)
-        design = preprocessor(train, features)
-        known, ready = prepared(design, train, features), prepared(design, rows, features)
-        for m in models:
-            ready = TRAINED[m](known, cfg)(ready)
-        ready = ready.drop("features")
-        out = ready if out is None else out.unionByName(ready)
-    return out
+    known = settings(pairs, features, ("horizon",), base=VALUE)
+    table = staged(fit_models(known, models, cfg).table(panel.sparkSession), "models")
+    return scored(Fitted.of(table), latest)
+
+
+def scored(models: Fitted, rows: DataFrame) -> DataFrame:
+    """rows with a column per model; settings that no model knows are left out."""
+    core = models.core
+    return models.applied(numbered(rows, core.features, core.by, core.keys, core.series, VALUE)).drop(*HELPERS)
 
 
 def live_forecast(

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weeklane.config import VALUE, Training
-from weeklane.models.design import preprocessor, prepared
-from weeklane.models.fits import TRAINED
+from weeklane.models.fits import Fitted, fit_models
+from weeklane.models.settings import settings
 from weeklane.operators.features import feature_columns
-from weeklane.operators.guardrail import BY, apply_guardrail, guardrail_notes, instability, low_origin_stats
+from weeklane.operators.guardrail import BY, apply_guardrail, instability, low_origin_stats
 from weeklane.operators.naive import to_long
+from weeklane.operators.regimes import low_origin
 from weeklane.operators.splits import identity_columns
 from weeklane.sources.sinks import staged
 
@@ -19,36 +20,21 @@ MEAN, MEAN_AFTER_ERROR = "fallback_mean", "fallback_mean_after_error"
 PERSISTENCE, PLAIN, GUARDED = "fallback_persistence_after_instability", "trained", "trained_low_origin_guardrail"
 
 
-def fitted(rows: DataFrame, models: list[str], features: list[str], cfg: Training) -> DataFrame:
-    """rows with a column per model and {model}__status: one fit per (fold, horizon) with enough training rows.
+def fitted(rows: DataFrame, models: list[str], features: list[str], cfg: Training, by: tuple[str, ...] = BY) -> tuple[DataFrame, Fitted]:
+    """(rows with a column per model and {model}__status, the models): each model fitted for all settings together.
 
-    A setting with fewer takes its training mean (0 without any), for all settings in one query.
+    A setting with fewer than cfg.min_train_rows training rows, or whose fit fails, takes its training
+    mean (0 without any).
     """
-    train = F.col("role") == "train"
-    sizes = rows.groupBy(*BY).agg(F.count_if(train).alias("n"), F.avg(F.when(train, F.col("y_true"))).alias("m"))
-    settings = sizes.orderBy(*BY).collect()  # folds x horizons
-    few = F.lit(False)
-    parts = []
-    for s in settings:
-        here = (F.col("fold_id") == s["fold_id"]) & (F.col("horizon") == s["horizon"])
-        if s["n"] < cfg.min_train_rows:
-            few = few | here
-            continue
-        own = rows.filter(here)
-        design = preprocessor(own.filter(train), features)
-        ready = prepared(design, own, features)
-        known = staged(ready.filter(train), "train")
-        for m in models:
-            try:
-                ready = TRAINED[m](known, cfg)(ready).withColumn(f"{m}__status", F.lit(PLAIN))
-            except Exception:  # a model that can't be fitted here has the mean, as the status says
-                ready = ready.withColumns({m: F.lit(float(s["m"])), f"{m}__status": F.lit(MEAN_AFTER_ERROR)})
-        parts.append(ready.drop("features"))
-    rest = rows.filter(few).join(sizes.select(*BY, F.coalesce("m", F.lit(0.0)).alias("_m")), list(BY))
-    out = rest.withColumns({k: v for m in models for k, v in ((m, F.col("_m")), (f"{m}__status", F.lit(MEAN)))}).drop("_m")
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    table = settings(rows, features, by, base=VALUE)
+    trained = fit_models(table, models, cfg, cfg.min_train_rows)
+    few = F.col("_s").isin([s for s, n in enumerate(table.sizes) if n < cfg.min_train_rows])
+    means = F.create_map(*[x for s, m in enumerate(table.means) for x in (F.lit(s), F.lit(float(m)))])[F.col("_s")] if len(table.keys) else F.lit(0.0)
+    out = trained.applied(table.rows)
+    for m in models:
+        status = F.when(few, MEAN).when(F.col(m).isNull(), MEAN_AFTER_ERROR).otherwise(PLAIN)
+        out = out.withColumn(f"{m}__status", status).withColumn(m, F.coalesce(m, means))
+    return out.select(*rows.columns, *[c for m in models for c in (m, f"{m}__status")]), trained
 
 
 def safe(wide: DataFrame, models: list[str], cfg: Training) -> DataFrame:
@@ -73,28 +59,30 @@ def safe(wide: DataFrame, models: list[str], cfg: Training) -> DataFrame:
     return done
 
 
-def run_track(supervised: DataFrame, models: list[str], cfg: Training = Training(), with_covariates: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(long predictions, fit notes) of the trained models."""
+def run_track(supervised: DataFrame, models: list[str], cfg: Training = Training(), with_covariates: bool = False) -> tuple[DataFrame, DataFrame, Fitted]:
+    """(long predictions, fit notes, the models) of the trained models."""
     features = feature_columns(supervised, with_covariates, ("last_year",))
-    rows = staged(supervised, "supervised")
-    wide = staged(safe(staged(fitted(rows, models, features, cfg), "fits"), models, cfg), "track")
+    rows, trained = fitted(supervised, models, features, cfg)
+    wide = staged(safe(staged(rows, "fits"), models, cfg), "track")
     entries = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("y_pred"), F.col(f"{m}__status").alias("fit_status")) for m in models])
     predictions = wide.select(*identity_columns(wide), F.inline(entries))
-    return predictions, fit_notes(wide, models, len(features), cfg)
+    return predictions, fit_notes(wide, models, len(features), cfg), trained
 
 
 def fit_notes(wide: DataFrame, models: list[str], n_features: int, cfg: Training = Training()) -> DataFrame:
-    """Per model and setting: training and scored rows, strategy, reason of a fallback, effect of the rule."""
-    out = None
+    """Per model and setting: training and scored rows, strategy, reason of a fallback, effect of the rule. One scan for all models."""
+    low = low_origin(wide.columns, cfg.guardrail)
+    none = F.lit(None)
+    parts = []
     for m in models:
-        reason = F.max(f"{m}__reason") if f"{m}__reason" in wide.columns else F.lit(None).cast("string")
-        own = wide.groupBy(*BY).agg(
-            F.lit(m).alias("model"), F.count_if(F.col("role") == "train").alias("train_rows"), F.count(F.lit(1)).alias("score_rows"),
-            F.lit(n_features).alias("feature_count"), F.min(f"{m}__status").alias("fit_strategy"), reason.alias("instability_reason"),
-        )
-        if f"{m}__guarded" in wide.columns:
-            own = own.join(guardrail_notes(wide, m, cfg.guardrail), list(BY), "left")
-        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
-    return out
-
-
+        ruled = f"{m}__guarded" in wide.columns
+        shrink = F.greatest(F.col(f"{m}__raw") - F.col(m), F.lit(0.0)) if ruled else none
+        parts += [
+            F.struct(
+                F.lit(m).alias("model"), F.count_if(F.col("role") == "train").alias("train_rows"), F.count(F.lit(1)).alias("score_rows"), F.lit(n_features).alias("feature_count"),
+                F.min(f"{m}__status").alias("fit_strategy"), (F.max(f"{m}__reason") if f"{m}__reason" in wide.columns else none.cast("string")).alias("instability_reason"),
+                (F.count_if(F.col(f"{m}__guarded")) if ruled else none.cast("long")).alias("guardrail_rows"), (F.count_if(low) if ruled else none.cast("long")).alias("guardrail_low_origin_rows"),
+                (F.avg(shrink) if ruled else none.cast("double")).alias("guardrail_avg_shrink"),
+            )
+        ]
+    return wide.groupBy(*BY).agg(F.array(*parts).alias("notes")).select(*BY, F.inline("notes"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -217,6 +219,46 @@ def pair_spearman(panel: DataFrame, pairs: DataFrame) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"), safe_corr(F.col("_rx"), F.col("_ry")).alias("spearman"))
 
 
+def partner_candidates(panel: DataFrame, tables: int = 24, near: int = 8, crowd: int = 64, seed: int = 11) -> DataFrame:
+    """Pairs (geo_a < geo_b) of series whose ranks may rise together, or against each other.
+
+    A series' centred ranks are projected on random signs of the weeks. The signs of some projections
+    are a bucket, whose number follows the series so that buckets hold ``crowd`` of them; within a
+    bucket the series stand in the order of one more projection, and each meets its ``near`` followers. A series' mirror image is
+    in the tables too, for negative correlations. So candidates grow with the series, not with
+    their square, however crowded a bucket is.
+    """
+    rows = panel.filter(F.col(VALUE).isNotNull()).select(GEO, WEEK, F.col(VALUE).cast("double").alias("v"))
+    ranked = rows.withColumn("_r", average_rank("v", [GEO]))
+    middle = Window.partitionBy(GEO)
+    unit = ranked.withColumn("_e", F.col("_r") - F.avg("_r").over(middle))
+    series_ = panel.select(GEO).distinct().count()
+    bits = max(0, round(math.log2(max(series_ / crowd, 1))))
+    sign = [F.when(F.xxhash64(WEEK, F.lit(seed * 1000 + k)) % 2 == 0, F.col("_e")).otherwise(-F.col("_e")) for k in range(tables * (bits + 1))]
+    norm = F.sqrt(F.sum(F.col("_e") * F.col("_e")))
+    made = unit.groupBy(GEO).agg(norm.alias("_n"), *[F.sum(x).alias(f"_p{k}") for k, x in enumerate(sign)]).filter(F.col("_n") > 0)
+    both = made.withColumn("_side", F.explode(F.array(F.lit(1.0), F.lit(-1.0))))
+    entries = []
+    for t in range(tables):
+        at = [F.col(f"_p{t * (bits + 1) + k}") * F.col("_side") for k in range(bits + 1)]
+        bucket = F.concat_ws("", *[F.when(x > 0, "1").otherwise("0") for x in at[1:]]) if bits else F.lit("")
+        entries.append(F.struct(F.lit(t).alias("t"), bucket.alias("bucket"), (at[0] / F.col("_n")).alias("place")))
+    placed = both.select(F.col(GEO).alias("geo_a"), F.inline(F.array(*entries)))
+    order = Window.partitionBy("t", "bucket").orderBy("place", "geo_a")
+    met = placed.withColumn("_next", F.array(*[F.lead("geo_a", k).over(order) for k in range(1, near + 1)])).withColumn("geo_b", F.explode("_next"))
+    pairs = met.filter(F.col("geo_b").isNotNull() & (F.col("geo_a") != F.col("geo_b")))
+    return pairs.select(F.least("geo_a", "geo_b").alias("geo_a"), F.greatest("geo_a", "geo_b").alias("geo_b")).distinct()
+
+
+def strongest_partners(panel: DataFrame, top: int = 5, **tables) -> DataFrame:
+    """(geo_id, rank, partner, n_obs, spearman): each series' strongest rank correlations among its candidates, confirmed exactly."""
+    found = pair_spearman(panel, partner_candidates(panel, **tables)).filter(F.col("spearman").isNotNull())
+    one = found.select(F.col("geo_a").alias(GEO), F.col("geo_b").alias("partner"), "n_obs", "spearman")
+    both = one.unionByName(found.select(F.col("geo_b").alias(GEO), F.col("geo_a").alias("partner"), "n_obs", "spearman"))
+    order = Window.partitionBy(GEO).orderBy(F.round(F.abs("spearman"), 9).desc(), "partner")
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(GEO, "rank", "partner", "n_obs", "spearman")
+
+
 def seasonal_diff(dense: DataFrame, season: int = 52) -> DataFrame:
     """The six transforms a stationarity table tests, as columns."""
     w = series()

@@ -20,6 +20,15 @@ def pivot_models(long: DataFrame, models: list[str], ids: list[str], value: str
     return rows.groupBy(*ids).agg(*picks)
 
 
+def model_pair(long: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
+    """Two models' forecasts side by side as y_a and y_b where both exist; one aggregation of the long table."""
+    keys = BLEND_KEYS if keys is None else keys
+    rows = long.filter(F.col("model").isin(a, b)).na.drop("any", subset=keys)
+    picks = [F.max(F.when(F.col("model") == m, F.col("y_pred"))).alias(f"y_{n}") for m, n in ((a, "a"), (b, "b"))]
+    both = rows.groupBy(*keys).agg(F.max("y_true").alias("y_true"), *picks, F.count_distinct("model").alias("_n"))
+    return both.filter("_n = 2").drop("_n")
+
+
 def lofo_mae(long: DataFrame, models: list[str] | None = None) -> DataFrame:
     """Validation MAE per (fold, horizon, model) over the *other* development folds.
 

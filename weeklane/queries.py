@@ -14,10 +14,12 @@ from weeklane import oracle as o
 from weeklane.config import GEO, TARGET_WEEK, VALUE, WEEK, Training
 from weeklane.functions.scalars import monday, monday_by_weekday, normalize_name, number, origin_bucket, round6
 from weeklane.models import grouped, legacy as legacy_models, live, runner
-from weeklane.models.boosting import boost, leaf_limits
-from weeklane.models.design import fill_constant, prepared, preprocessor, zscore_apply, zscore_fit
-from weeklane.models.fits import TRAINED
+from weeklane.models.design import fill_constant, zscore_by
+from weeklane.models.fits import TRAINED, fit_models
+from weeklane.models.settings import settings
+from weeklane.models.trees import TreeSpec, fit_trees
 from weeklane.operators import boards, design, explore, features, fill, guardrail, hierarchy, metrics, naive, panel, regimes, splits, stacking, stationarity
+from weeklane.sources import artifacts, counts as sources, sinks
 from weeklane.oracle import ERR, FULL, MACRO6, METRIC6, r6, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,9 +259,12 @@ def _(spark, d):
     return explore.dataset_overview(fx.counts(spark, d), fx.covariates(spark, d), fx.full_panel(spark, d))
 
 
+BASE_HORIZONS = list(range(1, 13))
+
+
 def baseline_sql() -> str:
     parts = []
-    for h in (1, 4, 8):
+    for h in BASE_HORIZONS:
         for m, p in (("persistence", "a.cases"), ("seasonal_naive", "c.cases")):
             parts.append(f"SELECT a.geo_id, CAST({h} AS BIGINT) AS horizon, '{m}' AS model, b.cases - {p} AS e FROM P a JOIN P b ON a.geo_id = b.geo_id AND b.week_start_date = a.week_start_date + {7 * h} LEFT JOIN P c ON c.geo_id = a.geo_id AND c.week_start_date = a.week_start_date - 364")
     return f"SELECT geo_id, horizon, model, count(*) AS n_obs, avg(abs(e)) AS MAE, sqrt(avg(e * e)) AS RMSE FROM ({' UNION ALL '.join(parts)}) WHERE e IS NOT NULL GROUP BY 1, 2, 3"
@@ -267,28 +272,37 @@ def baseline_sql() -> str:
 
 @query("baseline_forecastability", sql(f"SELECT geo_id, horizon, model, n_obs, {cols(['MAE', 'RMSE'])} FROM ({baseline_sql()})"))
 def _(spark, d):
-    return explore.baseline_forecastability(fx.counts(spark, d), [1, 4, 8])
+    return explore.baseline_forecastability(fx.counts(spark, d), BASE_HORIZONS)
 
 
 @query("forecastability_macro", sql(f"SELECT model, horizon, {r6('avg(MAE)')} AS MAE_macro, {r6('avg(RMSE)')} AS RMSE_macro, count(*) AS n_geos FROM ({baseline_sql()}) GROUP BY 1, 2"))
 def _(spark, d):
-    return explore.forecastability_macro(explore.baseline_forecastability(fx.counts(spark, d), [1, 4, 8]))
+    return explore.forecastability_macro(explore.baseline_forecastability(fx.counts(spark, d), BASE_HORIZONS))
+
+
+@query("best_baseline", sql(f"SELECT horizon, model, MAE_macro, RMSE_macro, n_geos FROM (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY MAE_macro, model) AS k FROM (SELECT model, horizon, {r6('avg(MAE)')} AS MAE_macro, {r6('avg(RMSE)')} AS RMSE_macro, count(*) AS n_geos FROM ({baseline_sql()}) GROUP BY 1, 2)) WHERE k = 1"))
+def _(spark, d):
+    return explore.best_baseline(tidy(explore.forecastability_macro(explore.baseline_forecastability(fx.counts(spark, d), BASE_HORIZONS))))
+
+
+MAX_LAG = 12
 
 
 def lead_lag_sql() -> str:
-    rows = " UNION ALL ".join(f"SELECT geo_id, '{c}' AS covariate, {k} AS lag_weeks, CAST(cases AS DOUBLE) AS y, {o.lag(c, k) if k else c} AS x FROM FULLP" for c in ("rain", "tmean") for k in range(5))
+    lags = ", ".join(f"{{'c': '{c}', 'k': {k}, 'x': {o.lag(c, k) if k else c}}}" for c in fx.COVS for k in range(MAX_LAG + 1))
+    rows = f"SELECT geo_id, s.c AS covariate, s.k AS lag_weeks, y, s.x AS x FROM (SELECT geo_id, CAST(cases AS DOUBLE) AS y, unnest([{lags}]) AS s FROM FULLP)"
     ranked = f"SELECT *, rank() OVER (g ORDER BY x) + (count(*) OVER (PARTITION BY geo_id, covariate, lag_weeks, x) - 1) / 2.0 AS rx, rank() OVER (g ORDER BY y) + (count(*) OVER (PARTITION BY geo_id, covariate, lag_weeks, y) - 1) / 2.0 AS ry FROM ({rows}) WHERE x IS NOT NULL AND y IS NOT NULL WINDOW g AS (PARTITION BY geo_id, covariate, lag_weeks)"
     return f"SELECT geo_id, covariate, CAST(lag_weeks AS BIGINT) AS lag_weeks, count(*) AS n_obs, {safe_corr_sql('x', 'y')} AS pearson_corr, {safe_corr_sql('rx', 'ry')} AS spearman_corr FROM ({ranked}) GROUP BY 1, 2, 3 HAVING count(*) >= 30 AND count(DISTINCT x) >= 3"
 
 
 @query("lead_lag", sql(f"SELECT geo_id, covariate, lag_weeks, n_obs, {cols(['pearson_corr', 'spearman_corr'])} FROM ({lead_lag_sql().replace('(g ORDER BY', '(PARTITION BY geo_id, covariate, lag_weeks ORDER BY').replace(' WINDOW g AS (PARTITION BY geo_id, covariate, lag_weeks)', '')})"))
 def _(spark, d):
-    return explore.lead_lag(fx.full_panel(spark, d), ["rain", "tmean"], 4)
+    return explore.lead_lag(fx.full_panel(spark, d), fx.COVS, MAX_LAG)
 
 
 @query("lead_lag_best", sql(f"SELECT geo_id, covariate, lag_weeks, n_obs, {cols(['pearson_corr', 'spearman_corr'])} FROM (SELECT *, row_number() OVER (PARTITION BY geo_id, covariate ORDER BY round(abs(spearman_corr), 12) DESC NULLS LAST, lag_weeks) AS k FROM ({lead_lag_sql().replace('(g ORDER BY', '(PARTITION BY geo_id, covariate, lag_weeks ORDER BY').replace(' WINDOW g AS (PARTITION BY geo_id, covariate, lag_weeks)', '')})) WHERE k = 1"))
 def _(spark, d):
-    return explore.lead_lag_best(explore.lead_lag(fx.full_panel(spark, d), ["rain", "tmean"], 4))
+    return explore.lead_lag_best(explore.lead_lag(fx.full_panel(spark, d), fx.COVS, MAX_LAG))
 
 
 PAIRS = [("NATION_12", "NATION_17"), ("NATION_12", "NATION_2"), ("NATION_0", "NATION_10")]
@@ -300,33 +314,60 @@ def _(spark, d):
     return explore.pair_spearman(fx.counts(spark, d), spark.sql(f"SELECT * FROM VALUES {values} AS v(geo_a, geo_b)"))
 
 
+ALL_PAIRS = f"SELECT geo_a, geo_b, count(*) AS n_obs, {safe_corr_sql('rx', 'ry')} AS spearman FROM (SELECT geo_a, geo_b, rank() OVER (PARTITION BY geo_a, geo_b ORDER BY x) + (count(*) OVER (PARTITION BY geo_a, geo_b, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY geo_a, geo_b ORDER BY y) + (count(*) OVER (PARTITION BY geo_a, geo_b, y) - 1) / 2.0 AS ry FROM (SELECT a.geo_id AS geo_a, b.geo_id AS geo_b, a.cases AS x, b.cases AS y FROM P a JOIN P b ON b.week_start_date = a.week_start_date AND a.geo_id <> b.geo_id)) GROUP BY 1, 2"
+
+
+@query("strongest_partners", sql(f"SELECT geo_id, rank, partner, n_obs, {r6('spearman')} AS spearman FROM (SELECT geo_a AS geo_id, geo_b AS partner, n_obs, spearman, row_number() OVER (PARTITION BY geo_a ORDER BY round(abs(spearman), 9) DESC, geo_b) AS rank FROM ({ALL_PAIRS}) WHERE spearman IS NOT NULL) WHERE rank <= 5"))
+def _(spark, d):
+    return explore.strongest_partners(fx.counts(spark, d))
+
+
 @query("top_lead_lags", sql(f"SELECT geo_id, covariate, lag_weeks, n_obs, {cols(['pearson_corr', 'spearman_corr'])} FROM (SELECT *, row_number() OVER (PARTITION BY geo_id, covariate ORDER BY round(abs(spearman_corr), 12) DESC NULLS LAST, lag_weeks) AS k FROM ({lead_lag_sql().replace('(g ORDER BY', '(PARTITION BY geo_id, covariate, lag_weeks ORDER BY').replace(' WINDOW g AS (PARTITION BY geo_id, covariate, lag_weeks)', '')})) WHERE k = 1 AND spearman_corr IS NOT NULL ORDER BY round(abs(spearman_corr), 12) DESC, geo_id, covariate LIMIT 5"))
 def _(spark, d):
-    return explore.top_lead_lags(explore.lead_lag_best(explore.lead_lag(fx.full_panel(spark, d), ["rain", "tmean"], 4)))
+    return explore.top_lead_lags(explore.lead_lag_best(explore.lead_lag(fx.full_panel(spark, d), fx.COVS, MAX_LAG)))
+
+
+STRENGTH = """SELECT geo_id, CASE WHEN s > 0 THEN greatest(0.0, 1 - r / s) END AS seasonal_strength, CASE WHEN t > 0 THEN greatest(0.0, 1 - r / t) END AS trend_strength FROM (SELECT geo_id, var_samp(d - season) AS r, var_samp(d) AS s, var_samp(d - season + trend) AS t
+FROM (SELECT *, s - avg(CASE WHEN k = 1 THEN s END) OVER (PARTITION BY geo_id) AS season FROM (SELECT *, avg(d) OVER (PARTITION BY geo_id, pos) AS s, row_number() OVER (PARTITION BY geo_id, pos ORDER BY week_start_date) AS k FROM (SELECT *, y - trend AS d FROM (SELECT geo_id, week_start_date,
+CAST(cases AS DOUBLE) AS y, (row_number() OVER g - 1) % 52 AS pos, CASE WHEN count(cases) OVER (g ROWS BETWEEN 26 PRECEDING AND 26 FOLLOWING) = 53 THEN (sum(cases) OVER (g ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) + (lag(cases, 26) OVER g + lead(cases, 26) OVER g) / 2.0) / 52.0 END AS trend
+FROM P WINDOW g AS (PARTITION BY geo_id ORDER BY week_start_date))))) GROUP BY geo_id)"""
 
 
-@query("seasonal_strength")
+@query("seasonal_strength", sql(f"SELECT geo_id, {cols(['seasonal_strength', 'trend_strength'])} FROM ({STRENGTH})"))
 def _(spark, d):
     return explore.seasonal_strength(fx.counts(spark, d))
 
 
-@query("dataset_summary", sql(f"SELECT s.geo_id, weeks, zero_pct, mean_cases, variance_to_mean, peak_week_of_year, gap_weeks FROM ({SUMMARY}) s LEFT JOIN ({SEASON}) n ON n.geo_id = s.geo_id LEFT JOIN ({GAPS}) g ON g.geo_id = s.geo_id"))
+ACF = "SELECT geo_id, " + ", ".join(f"{r6(safe_corr_sql('cases', f'l{k}'))} AS acf_lag_{k}" for k in (1, 52)) + " FROM (SELECT geo_id, cases, " + ", ".join(f"{o.lag('cases', k)} AS l{k}" for k in (1, 52)) + " FROM P) GROUP BY geo_id"
+
+
+@query("dataset_summary", sql(f"SELECT s.geo_id, weeks, zero_pct, mean_cases, variance_to_mean, peak_week_of_year, {r6('seasonal_strength')} AS seasonal_strength, acf_lag_1, acf_lag_52, gap_weeks FROM ({SUMMARY}) s LEFT JOIN ({SEASON}) n ON n.geo_id = s.geo_id LEFT JOIN ({GAPS}) g ON g.geo_id = s.geo_id LEFT JOIN ({STRENGTH}) t ON t.geo_id = s.geo_id LEFT JOIN ({ACF}) a ON a.geo_id = s.geo_id"))
 def _(spark, d):
     counts = fx.counts(spark, d)
-    return explore.dataset_summary(explore.series_summary(counts), explore.seasonality_index(counts), explore.coverage_gap(fx.gap_panel(spark, d)))
+    summary = explore.series_summary(counts).join(explore.seasonal_strength(counts), GEO, "left").join(explore.autocorr(counts, (1, 52)), GEO, "left")
+    return explore.dataset_summary(summary, explore.seasonality_index(counts), explore.coverage_gap(fx.gap_panel(spark, d)))
 
 
-@query("eda_top_lists", sql(f"(SELECT 'burstiest' AS list, geo_id AS item, variance_to_mean AS value FROM ({SUMMARY}) WHERE variance_to_mean IS NOT NULL ORDER BY round(variance_to_mean, 6) DESC, geo_id LIMIT 3) UNION ALL (SELECT 'seasonal', geo_id, seasonality_index FROM ({SEASON}) WHERE seasonality_index IS NOT NULL ORDER BY round(seasonality_index, 6) DESC, geo_id LIMIT 3)"))
+@query("eda_top_lists", sql(f"(SELECT 'burstiest' AS list, geo_id AS item, variance_to_mean AS value FROM ({SUMMARY}) WHERE variance_to_mean IS NOT NULL ORDER BY round(variance_to_mean, 6) DESC, geo_id LIMIT 3) UNION ALL (SELECT 'seasonal', geo_id, seasonality_index FROM ({SEASON}) WHERE seasonality_index IS NOT NULL ORDER BY round(seasonality_index, 6) DESC, geo_id LIMIT 3) UNION ALL (SELECT 'zero_heavy', geo_id, zero_pct FROM ({SUMMARY}) WHERE zero_pct IS NOT NULL ORDER BY round(zero_pct, 6) DESC, geo_id LIMIT 3)"))
 def _(spark, d):
     counts = fx.counts(spark, d)
-    a = explore.top_list(tidy(explore.series_summary(counts)), "burstiest", "variance_to_mean")
+    summary = tidy(explore.series_summary(counts))
+    a = explore.top_list(summary, "burstiest", "variance_to_mean").unionByName(explore.top_list(summary, "zero_heavy", "zero_pct"))
     return a.unionByName(explore.top_list(tidy(explore.seasonality_index(counts)), "seasonal", "seasonality_index"))
 
 
-@query("kpss_stat", sql(f"SELECT geo_id, transform, n_obs, CASE WHEN n_obs >= 20 AND levels >= 3 THEN {r6('eta / n_obs / nullif(spread, 0)')} END AS kpss_stat FROM (SELECT geo_id, transform, count(*) AS n_obs, count(DISTINCT x) AS levels, sum(run * run) AS eta, sum(e * e) + 2 * sum(0.8 * coalesce(e * l1, 0) + 0.6 * coalesce(e * l2, 0) + 0.4 * coalesce(e * l3, 0) + 0.2 * coalesce(e * l4, 0)) AS spread FROM (SELECT *, sum(e) OVER (PARTITION BY geo_id, transform ORDER BY week_start_date ROWS UNBOUNDED PRECEDING) AS run, " + ", ".join(f"lag(e, {k}) OVER (PARTITION BY geo_id, transform ORDER BY week_start_date) AS l{k}" for k in range(1, 5)) + " FROM (SELECT *, x - avg(x) OVER (PARTITION BY geo_id, transform) AS e FROM (SELECT geo_id, week_start_date, 'raw' AS transform, raw AS x FROM TX UNION ALL SELECT geo_id, week_start_date, 'diff_1', diff_1 FROM TX) WHERE x IS NOT NULL)) GROUP BY 1, 2)"))
+TRANSFORMS = ["raw", "log1p", "diff_1", "diff_52", "log1p_diff_1", "log1p_diff_52"]
+KPSS_P = "CASE WHEN stat <= 0.347 THEN 0.1 WHEN stat <= 0.463 THEN 0.1 - (stat - 0.347) * 0.05 / 0.116 WHEN stat <= 0.574 THEN 0.05 - (stat - 0.463) * 0.025 / 0.111 WHEN stat <= 0.739 THEN 0.025 - (stat - 0.574) * 0.015 / 0.165 WHEN stat > 0.739 THEN 0.01 END"
+
+
+@query("kpss_stat", sql(f"SELECT geo_id, transform, n_obs, {r6('stat')} AS kpss_stat, {r6(KPSS_P)} AS kpss_pvalue FROM (SELECT *, CASE WHEN n_obs >= 20 AND levels >= 3 THEN eta / n_obs / nullif(spread, 0) END AS stat FROM (SELECT geo_id, transform, count(*) AS n_obs, count(DISTINCT x) AS levels, sum(run * run) AS eta, sum(e * e) + 2 * sum(0.8 * coalesce(e * l1, 0) + 0.6 * coalesce(e * l2, 0) + 0.4 * coalesce(e * l3, 0) + 0.2 * coalesce(e * l4, 0)) AS spread FROM (SELECT *, sum(e) OVER (PARTITION BY geo_id, transform ORDER BY week_start_date ROWS UNBOUNDED PRECEDING) AS run, " + ", ".join(f"lag(e, {k}) OVER (PARTITION BY geo_id, transform ORDER BY week_start_date) AS l{k}" for k in range(1, 5)) + " FROM (SELECT *, x - avg(x) OVER (PARTITION BY geo_id, transform) AS e FROM (" + " UNION ALL ".join(f"SELECT geo_id, week_start_date, '{t}' AS transform, {t} AS x FROM TX" for t in TRANSFORMS) + ") WHERE x IS NOT NULL)) GROUP BY 1, 2))"))
+def _(spark, d):
+    return stationarity.kpss(explore.transforms_long(fx.counts(spark, d)), 4)
+
+
+@query("stationary_count")
 def _(spark, d):
-    long = explore.transforms_long(fx.counts(spark, d)).filter(F.col("transform").isin("raw", "diff_1"))
-    return stationarity.kpss(long, 4).drop("kpss_pvalue")
+    return explore.stationary_count(stationarity.stationarity(fx.counts(spark, d)))
 
 
 @query("adf_stat")
@@ -339,6 +380,52 @@ def _(spark, d):
     return stationarity.stationarity(fx.counts(spark, d))
 
 
+# ---- files: written from the tables, and read back -------------------------------------------------
+
+READ = "SELECT *, cases % 7 AS k FROM P"
+
+
+@query("unpivot_counts", sql(f"SELECT geo_id, geo_id AS geo_name, week_start_date, CAST(CASE WHEN k = 1 THEN 0 ELSE cases END AS BIGINT) AS cases FROM ({READ}) WHERE k <> 2"))
+def _(spark, d):
+    folders, nodes = fx.wide_count_files(spark, d)
+    return sources.load_counts(spark, folders[0], nodes=nodes, keep=None)
+
+
+@query("malformed_lines", sql("SELECT count(DISTINCT week_start_date) + count(DISTINCT year(week_start_date)) AS n_lines, count(DISTINCT year(week_start_date)) AS n_malformed FROM P"))
+def _(spark, d):
+    return sources.line_counts(sources.read_checked_csv(spark, fx.wide_count_files(spark, d)[0]))
+
+
+@query("truth_melt", sql(f"SELECT geo_id, week_start_date AS target_week, CASE k WHEN 1 THEN -CAST(cases AS DOUBLE) WHEN 3 THEN cases + 0.9 WHEN 2 THEN NULL ELSE cases END AS y_true FROM ({READ})"))
+def _(spark, d):
+    folders, nodes = fx.wide_count_files(spark, d)
+    return sources.melt_truth(sources.read_text_csv(spark, folders[0]), {h: n for h, (n, _) in nodes.items()})
+
+
+@query("metric_union", sql(f"SELECT model, fold_id AS fold, role, CAST(horizon AS BIGINT) AS horizon, {r6('MAE_macro')} AS MAE, {r6('RMSE_macro')} AS RMSE FROM MACRO WHERE level = 'by_fold_horizon' AND model IN ('persistence', 'tail_mean_4')"))
+def _(spark, d):
+    folder = sinks.shared_path(spark, "metrics")
+    rows = fx.macro_level(spark, d, "by_fold_horizon")
+    sinks.save_metric_files(rows.select("model", F.col("fold_id").alias("fold"), "role", "horizon", F.col("MAE_macro").alias("MAE"), F.col("RMSE_macro").alias("RMSE")), folder)
+    return artifacts.metric_union(spark, folder, ["persistence", "tail_mean_4"])
+
+
+@query("stored_panel", sql("SELECT geo_id, geo_name, week_start_date, CAST(cases AS BIGINT) AS cases FROM P"))
+def _(spark, d):
+    return fx.bucketed_counts(spark, d).select(GEO, "geo_name", WEEK, VALUE)
+
+
+@query("stored_features", sql(f"SELECT geo_id, week_start_date, {cols(CASE)} FROM FE"))
+def _(spark, d):
+    return features.case_features(fx.bucketed_counts(spark, d)).select(*KEY, *CASE)
+
+
+@query("supervised_join", sql(f"SELECT geo_id, week_start_date, target_week, CAST(horizon AS BIGINT) AS horizon, fold_id, role, split_group, {cols(['y_true', 'cases_lag_1', 'cases_rollmean_4', 'woy_sin'])} FROM SU"))
+def _(spark, d):
+    out = splits.supervised_frame(fx.feature_panel(spark, d), fx.fold_splits(spark, d), fx.counts(spark, d))
+    return out.select(*KEY, TARGET_WEEK, "horizon", "fold_id", "role", "split_group", "y_true", "cases_lag_1", "cases_rollmean_4", "woy_sin")
+
+
 # ---- folds and supervised frames --------------------------------------------------------------
 
 
@@ -491,10 +578,10 @@ WINDOW_VALUES = ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, (a, b) in WI
 WINDOW_SQL = f"SELECT w, model, horizon, avg(abs({ERR})) AS MAE, sqrt(avg({ERR} * {ERR})) AS RMSE FROM PRED JOIN (VALUES {WINDOW_VALUES}) v(w, a, b) ON target_week BETWEEN a AND b WHERE fold_id = 'X1' AND role = 'val' GROUP BY 1, 2, 3"
 
 
-def windowed(spark, d):
+def windowed(spark, d, keys=("model", "horizon")):
     pred = fx.predictions(spark, d).filter("fold_id = 'X1' AND role = 'val'")
     truth = fx.counts(spark, d).select(GEO, F.col(WEEK).alias(TARGET_WEEK), F.col(VALUE).cast("double").alias("y_true"))
-    return metrics.window_metrics(pred, truth, WINDOWS, ["model", "horizon"])
+    return metrics.window_metrics(pred, truth, WINDOWS, list(keys))
 
 
 @query("window_metrics", sql(f'SELECT w AS "window", model, CAST(horizon AS BIGINT) AS horizon, {cols(["MAE", "RMSE"])} FROM ({WINDOW_SQL})'))
@@ -507,6 +594,15 @@ def _(spark, d):
     return metrics.gap_impact(windowed(spark, d), list(WINDOWS), ["model", "horizon"])
 
 
+GEO_WINDOW_SQL = WINDOW_SQL.replace("SELECT w, model, horizon,", "SELECT w, model, geo_id, horizon,").replace("GROUP BY 1, 2, 3", "GROUP BY 1, 2, 3, horizon")
+
+
+@query("gap_impact_by_geo", sql("SELECT model, geo_id, CAST(horizon AS BIGINT) AS horizon, " + ", ".join(f"{r6(f'max({m}) FILTER (w = {n!r})')} AS {n}_{m}" for n in WINDOWS for m in ("MAE", "RMSE")) + f" FROM ({GEO_WINDOW_SQL}) GROUP BY 1, 2, horizon"))
+def _(spark, d):
+    keys = ["model", GEO, "horizon"]
+    return metrics.gap_impact(windowed(spark, d, keys), list(WINDOWS), keys)
+
+
 # ---- boards and regimes -----------------------------------------------------------------------
 
 OVERALL = "SELECT * FROM MACRO WHERE level = 'overall' AND role = 'val'"
@@ -707,11 +803,11 @@ def _(spark, d):
 
 
 def merged(spark, d):
-    rows = fx.predictions(spark, d).drop("track")
-    return stacking.level0_merge(rows.filter("model = 'persistence'"), rows.filter("model = 'tail_mean_4'"), "a", "b")
+    return stacking.model_pair(fx.predictions(spark, d), "persistence", "tail_mean_4")
 
 
-MERGED = "SELECT a.geo_id, a.week_start_date, a.target_week, a.horizon, a.role, a.fold_id, a.y_true, a.y_pred AS y_a, b.y_pred AS y_b FROM PRED a JOIN PRED b ON a.geo_id = b.geo_id AND a.week_start_date = b.week_start_date AND a.horizon = b.horizon AND a.fold_id = b.fold_id AND a.model = 'persistence' AND b.model = 'tail_mean_4'"
+PAIR = ", ".join(f"max(y_pred) FILTER (model = '{m}') AS y_{n}" for m, n in (("persistence", "a"), ("tail_mean_4", "b")))
+MERGED = f"SELECT * FROM (SELECT geo_id, week_start_date, target_week, horizon, role, fold_id, max(y_true) AS y_true, {PAIR} FROM PRED GROUP BY 1, 2, 3, horizon, role, fold_id) WHERE y_a IS NOT NULL AND y_b IS NOT NULL"
 
 
 @query("level0_merge", sql(f"SELECT geo_id, week_start_date, target_week, CAST(horizon AS BIGINT) AS horizon, role, fold_id, {cols(['y_true', 'y_a', 'y_b'])} FROM ({MERGED})"))
@@ -719,6 +815,11 @@ def _(spark, d):
     return merged(spark, d)
 
 
+@query("pivot_models", sql(f"SELECT geo_id, week_start_date, CAST(horizon AS BIGINT) AS horizon, fold_id, " + ", ".join(f"{r6(f'max(y_pred) FILTER (model = $${m}$$)')} AS {m}" for m in fx.MODELS) + " FROM PRED GROUP BY 1, 2, horizon, fold_id"))
+def _(spark, d):
+    return stacking.pivot_models(fx.predictions(spark, d), fx.MODELS, [*KEY, "horizon", "fold_id"])
+
+
 @query("blend_weight", sql(f"SELECT fold_id, CAST(horizon AS BIGINT) AS horizon, n_learn, CASE WHEN n_learn = 0 THEN 0.5 WHEN dd > 0 THEN {r6('greatest(0, least(1, dr / dd))')} ELSE 0.0 END AS weight FROM (SELECT fold_id, horizon, count(*) FILTER (role = 'val') AS n_learn, sum((y_a - y_b) * (y_a - y_b)) FILTER (role = 'val') AS dd, sum((y_a - y_b) * (y_true - y_b)) FILTER (role = 'val') AS dr FROM ({MERGED}) GROUP BY 1, 2)"))
 def _(spark, d):
     return stacking.blend_weight(merged(spark, d), "a", "b")
@@ -767,15 +868,31 @@ def _(spark, d):
     return guarded(spark, d).select(*KEY, "horizon", "fold_id", F.col("previous_mean_4__guarded").alias("guarded"), "previous_mean_4")
 
 
-@query("guardrail_notes")
+NOTES = GUARD.rsplit("SELECT geo_id, week_start_date", 1)[0] + f"SELECT fold_id, CAST(horizon AS BIGINT) AS horizon, count(*) FILTER (low AND trained AND m > cases) AS guardrail_rows, count(*) FILTER (low) AS guardrail_low_origin_rows, {r6('avg(greatest(m - CASE WHEN low AND trained AND m > cases THEN least(greatest(cases + greatest(0, least(1, pp)) * (m - cases), 0), greatest(cases, least(yc, cases + greatest(dc, 0)))) ELSE m END, 0))')} AS guardrail_avg_shrink FROM X GROUP BY 1, 2"
+
+
+@query("guardrail_notes", sql("SELECT 1 FROM SU").rsplit(" SELECT 1 FROM ", 1)[0] + NOTES.replace("WITH_STEPS", ""))
 def _(spark, d):
     return guardrail.guardrail_notes(guarded(spark, d), "previous_mean_4")
 
 
-@query("fit_notes", sql("SELECT fold_id, CAST(horizon AS BIGINT) AS horizon, 'ar_tweedie_global' AS model, count(*) FILTER (role = 'train') AS train_rows, count(*) AS score_rows, CAST(0 AS BIGINT) AS feature_count, 'fallback_mean' AS fit_strategy, CAST(NULL AS VARCHAR) AS instability_reason FROM SU GROUP BY 1, 2"))
+NOTHING_FITS = Training(min_train_rows=10**9)  # no setting has so many rows
+
+
+@query("fallback_notes", sql("SELECT fold_id, CAST(horizon AS BIGINT) AS horizon, 'ar_tweedie_global' AS model, count(*) FILTER (role = 'train') AS train_rows, count(*) AS score_rows, CAST(0 AS BIGINT) AS feature_count, 'fallback_mean' AS fit_strategy, CAST(NULL AS VARCHAR) AS instability_reason FROM SU GROUP BY 1, 2"))
+def _(spark, d):
+    rows = runner.fitted(fx.supervised(spark, d), ["ar_tweedie_global"], [], NOTHING_FITS)[0]
+    return runner.fit_notes(rows, ["ar_tweedie_global"], 0).select("fold_id", "horizon", "model", "train_rows", "score_rows", "feature_count", "fit_strategy", "instability_reason")
+
+
+@query("fit_notes")
+def _(spark, d):
+    return fx.backtest(spark, d)[1]
+
+
+@query("fit_note_counts", sql("SELECT fold_id, CAST(horizon AS BIGINT) AS horizon, model, count(*) FILTER (role = 'train') AS train_rows, count(*) AS score_rows FROM SU, (SELECT unnest(['" + "', '".join(TRAINED) + "']) AS model) GROUP BY 1, 2, 3"))
 def _(spark, d):
-    every = Training(min_train_rows=10**9)  # no setting has so many rows
-    return runner.fit_notes(runner.fitted(fx.supervised(spark, d), ["ar_tweedie_global"], [], every), ["ar_tweedie_global"], 0)
+    return fx.backtest(spark, d)[1].select("fold_id", "horizon", "model", "train_rows", "score_rows")
 
 
 @query("instability_check", sql(f"SELECT model, fold_id, CAST(horizon AS BIGINT) AS horizon, false AS non_finite, {r6('max(y_pred)')} AS pred_max, {r6('greatest(max(y_true) FILTER (role = $$train$$), 1)')} AS train_max, {r6('quantile_cont(y_pred, 0.99)')} AS pred_p99, CASE WHEN max(y_pred) > greatest(max(y_true) FILTER (role = $$train$$), 1) * 25 OR quantile_cont(y_pred, 0.99) > greatest(max(y_true) FILTER (role = $$train$$), 1) * 10 THEN 'prediction_explosion' END AS reason FROM PRED GROUP BY 1, 2, 3"))
@@ -788,69 +905,90 @@ def _(spark, d):
     return fill.locf_cap(fx.gap_panel(spark, d), ["tmean", "humidity"], fx.GAP_FROM, 4).select(*KEY, "tmean", "humidity")
 
 
-CONST = ["cases_lag_1", "cases_zero_run_length", "one"]
+FEATS = sorted([*CASE, VALUE, "cases_outbreak_index_4_8", "cases_outbreak_flag_4_8", *o.CALENDAR])
+SETTING = ("fold_id", "horizon")
+BY_SETTING = "fold_id, CAST(horizon AS BIGINT) AS horizon"
+TRAIN_SQL = "SELECT *, 1.0 AS one, CAST(y_true > 0 AS DOUBLE) AS risen FROM SU WHERE role = 'train'"
 
 
 def design_rows(spark, d):
-    return fx.supervised(spark, d).filter("role = 'train' AND fold_id = 'D4'").withColumn("one", F.lit(1.0))
+    """Training rows of all settings, with a constant feature and one that tells positive targets."""
+    rows = fx.supervised(spark, d).filter("role = 'train'")
+    return rows.withColumns({"one": F.lit(1.0), "risen": (F.col("y_true") > 0).cast("double")})
+
+
+def structs(items) -> str:
+    return "unnest([" + ", ".join("{" + ", ".join(f"'{k}': {v}" for k, v in item.items()) + "}" for item in items) + "])"
 
 
-@query("design_constant_cols", "SELECT 'one' AS feature, 0.0 AS std")
+SPREAD = f"SELECT fold_id, horizon, {structs({'feature': repr(f), 'std': f'stddev_pop(CAST({f} AS DOUBLE))'} for f in [*FEATS, 'one'])} AS s FROM ({TRAIN_SQL}) GROUP BY 1, 2"
+
+
+@query("design_constant_cols", sql(f"SELECT {BY_SETTING}, s.feature AS feature, {r6('s.std')} AS std FROM ({SPREAD}) WHERE s.std <= 1e-12"))
 def _(spark, d):
-    return design.constant_columns(design_rows(spark, d), CONST)
+    return design.constant_columns(design_rows(spark, d), [*FEATS, "one"], by=SETTING)
 
 
-@query("design_moments", sql(f"SELECT count(*) AS n_rows, {r6('avg(y_true)')} AS y_mean, {r6('var_pop(y_true)')} AS y_var, {r6('min(y_true)')} AS y_min, {r6('max(y_true)')} AS y_max, {r6('avg(CASE WHEN y_true = 0 THEN 1.0 ELSE 0.0 END)')} AS prop_y_zero FROM SU WHERE role = 'train' AND fold_id = 'D4'"))
+@query("design_moments", sql(f"SELECT {BY_SETTING}, count(*) AS n_rows, {r6('avg(y_true)')} AS y_mean, {r6('var_pop(y_true)')} AS y_var, {r6('min(y_true)')} AS y_min, {r6('max(y_true)')} AS y_max, {r6('avg(CASE WHEN y_true = 0 THEN 1.0 ELSE 0.0 END)')} AS prop_y_zero FROM SU WHERE role = 'train' GROUP BY 1, horizon"))
 def _(spark, d):
-    return design.design_moments(design_rows(spark, d))
+    return design.design_moments(design_rows(spark, d), by=SETTING)
+
 
+LEVELS = f"SELECT fold_id, horizon, s.feature AS feature, s.x AS x, sum(pos) AS pos FROM (SELECT fold_id, horizon, CAST(y_true > 0 AS BIGINT) AS pos, {structs({'feature': repr(f), 'x': f'CAST({f} AS DOUBLE)'} for f in [*FEATS, 'one', 'risen'])} AS s FROM ({TRAIN_SQL})) WHERE s.x IS NOT NULL GROUP BY 1, 2, 3, 4"
 
-@query("quasi_separation")
+
+@query("quasi_separation", sql(f"SELECT {BY_SETTING}, feature, CAST(levels AS BIGINT) AS levels, CAST(a AS BIGINT) AS pos_at_zero, CAST(b AS BIGINT) AS pos_elsewhere FROM (SELECT fold_id, horizon, feature, count(*) AS levels, coalesce(sum(pos) FILTER (x = 0), 0) AS a, coalesce(sum(pos) FILTER (x <> 0), 0) AS b FROM ({LEVELS}) GROUP BY 1, 2, 3) WHERE levels BETWEEN 2 AND 5 AND ((a = 0 AND b > 0) OR (b = 0 AND a > 0))"))
 def _(spark, d):
-    return design.quasi_separation(design_rows(spark, d), ["cases_outbreak_flag_4_8", "monsoon_flag", "cases_nonzero_recent_4"])
+    return design.quasi_separation(design_rows(spark, d), [*FEATS, "one", "risen"], by=SETTING)
+
+
+def corr_sql(features: list[str]) -> str:
+    def r(a: str, b: str) -> str:
+        return f"CASE WHEN stddev_pop(CAST({a} AS DOUBLE)) > 1e-9 AND stddev_pop(CAST({b} AS DOUBLE)) > 1e-9 THEN corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) END"
+
+    pairs = [{"a": repr(a), "b": repr(b), "n": "count(*)", "r": r(a, b)} for i, a in enumerate(features) for b in features[i:]]
+    return f"SELECT fold_id, horizon, {structs(pairs)} AS s FROM ({TRAIN_SQL}) GROUP BY 1, 2"
 
 
-@query("high_corr_pairs", sql(f"SELECT feature_a, feature_b, {r6('r')} AS r FROM (SELECT 'cases_log1p' AS feature_a, 'cases_recent_sum_2' AS feature_b, corr(cases_log1p, cases_recent_sum_2) AS r FROM SU WHERE role = 'train' AND fold_id = 'D4' UNION ALL SELECT 'cases_log1p', 'cases_recent_sum_4', corr(cases_log1p, cases_recent_sum_4) FROM SU WHERE role = 'train' AND fold_id = 'D4' UNION ALL SELECT 'cases_recent_sum_2', 'cases_recent_sum_4', corr(cases_recent_sum_2, cases_recent_sum_4) FROM SU WHERE role = 'train' AND fold_id = 'D4') WHERE abs(r) > 0.5"))
+@query("corr_matrix", sql(f"SELECT {BY_SETTING}, s.a AS feature_a, s.b AS feature_b, s.n AS n, {r6('s.r')} AS r FROM ({corr_sql(FEATS)})"))
 def _(spark, d):
-    return design.high_corr_pairs(design_rows(spark, d), ["cases_log1p", "cases_recent_sum_2", "cases_recent_sum_4"], 0.5)
+    return design.correlations(design_rows(spark, d), FEATS, list(SETTING))
 
 
-@query("corr_condition")
+@query("high_corr_pairs", sql(f"SELECT {BY_SETTING}, s.a AS feature_a, s.b AS feature_b, {r6('s.r')} AS r FROM ({corr_sql(FEATS)}) WHERE s.a <> s.b AND abs(s.r) > 0.995"))
 def _(spark, d):
-    return design.corr_condition(design_rows(spark, d), ["cases_log1p", "cases_recent_sum_2", "cases_recent_sum_4", "one"])
+    return design.high_corr_pairs(design_rows(spark, d), FEATS, by=SETTING)
 
 
-# ---- fitted models ----------------------------------------------------------------------------
-# Rounds, trees and folds are parameters; these queries take fewer than the defaults.
+@query("corr_condition")
+def _(spark, d):
+    return design.corr_condition(design_rows(spark, d), [*FEATS, "one"], by=SETTING)
 
-SHORT = Training(gbm_rounds=10, residual_gbm_rounds=10, forest_trees=20)
-TRAIN = "role = 'train'"
 
+# ---- fitted models: all folds and horizons, with the default settings -----------------------------
 
-def one_setting(spark, d):
-    return fx.supervised(spark, d).filter("fold_id = 'D4' AND horizon = 1")
+def fit_settings(spark, d):
+    rows = fx.supervised(spark, d)
+    return settings(rows, features.feature_columns(rows, False, ("last_year",)), base=VALUE)
 
 
 def trained_query(name: str, model: str) -> None:
     @query(name)
     def _(spark, d):
-        rows = one_setting(spark, d)
-        columns = features.feature_columns(rows, False, ("last_year",))
-        design_ = preprocessor(rows.filter(TRAIN), columns)
-        known, ready = prepared(design_, rows.filter(TRAIN), columns), prepared(design_, rows.filter("role = 'val'"), columns)
-        return TRAINED[model](known, SHORT)(ready).select(*KEY, "horizon", "fold_id", "y_true", F.col(model).alias("y_pred"))
+        known = fit_settings(spark, d)
+        out = fit_models(known, [model]).applied(known.rows.filter("role = 'val'"))
+        return out.select(*KEY, "horizon", "fold_id", "y_true", F.col(model).alias("y_pred"))
 
 
-for _name, _model in {"tweedie_glm": "ar_tweedie_global", "residual_elastic_net": "residual_elastic_net_global", "poisson_boosting": "panel_hist_gbm", "residual_boosting": "residual_hist_gbm", "residual_forest": "residual_random_forest"}.items():
+for _name, _model in zip(("tweedie_glm", "residual_elastic_net", "poisson_boosting", "residual_boosting", "residual_forest"), TRAINED, strict=True):
     trained_query(_name, _model)
 
 Z = ["cases_lag_1", "cases_rollmean_4", "cases_recent_std_4"]
 
 
-@query("zscore_apply", sql("SELECT s.geo_id, s.week_start_date, " + ", ".join(f"{r6(f'coalesce(greatest(-6, least(6, (s.{c} - t.m_{c}) / t.s_{c})), 0)')} AS z_{c}" for c in Z) + " FROM SU s, (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in Z) + " FROM SU WHERE fold_id = 'D4' AND horizon = 1 AND role = 'train') t WHERE fold_id = 'D4' AND horizon = 1 AND role = 'val'"))
+@query("zscore_apply", sql("SELECT s.geo_id, s.week_start_date, CAST(s.horizon AS BIGINT) AS horizon, s.fold_id, " + ", ".join(f"{r6(f'CASE WHEN t.s_{c} > 0 THEN coalesce(greatest(-6, least(6, (s.{c} - t.m_{c}) / t.s_{c})), 0) ELSE 0.0 END')} AS z_{c}" for c in Z) + " FROM SU s LEFT JOIN (SELECT fold_id, horizon, " + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in Z) + " FROM SU WHERE role = 'train' GROUP BY 1, 2) t ON t.fold_id = s.fold_id AND t.horizon = s.horizon WHERE role = 'val'"))
 def _(spark, d):
-    rows = one_setting(spark, d)
-    return zscore_apply(rows.filter("role = 'val'"), zscore_fit(rows.filter(TRAIN), Z), "z_").select(*KEY, *[f"z_{c}" for c in Z])
+    return zscore_by(fx.supervised(spark, d), Z, ("fold_id", "horizon"), "z_").filter("role = 'val'").select(*KEY, "horizon", "fold_id", *[f"z_{c}" for c in Z])
 
 
 @query("fill_constant", sql("SELECT geo_id, week_start_date, " + ", ".join(f"{r6(f'coalesce({c}, 0)')} AS {c}" for c in fx.COVS) + " FROM GAP"))
@@ -860,14 +998,32 @@ def _(spark, d):
 
 @query("fallback_mean", sql(f"SELECT geo_id, week_start_date, CAST(horizon AS BIGINT) AS horizon, fold_id, {r6('coalesce(avg(CASE WHEN role = $$train$$ THEN y_true END) OVER (PARTITION BY fold_id, horizon), 0)')} AS y_pred, 'fallback_mean' AS fit_status FROM SU"))
 def _(spark, d):
-    every = Training(min_train_rows=10**9)  # no setting has so many rows
-    out = runner.fitted(fx.supervised(spark, d), ["ar_tweedie_global"], [], every)
+    out = runner.fitted(fx.supervised(spark, d), ["ar_tweedie_global"], [], NOTHING_FITS)[0]
     return out.select(*KEY, "horizon", "fold_id", F.col("ar_tweedie_global").alias("y_pred"), F.col("ar_tweedie_global__status").alias("fit_status"))
 
 
 @query("track_run")
 def _(spark, d):
-    return runner.run_track(fx.supervised(spark, d).filter("horizon = 1"), ["ar_tweedie_global", "residual_elastic_net_global"], SHORT)[0]
+    return fx.backtest(spark, d)[0]
+
+
+@query("trained_models")
+def _(spark, d):
+    return fx.backtest(spark, d)[2].filter("_s >= 0 AND model <> ''").groupBy("model", F.col("_s").alias("setting")).agg(F.count("*").alias("parts"), F.sum(F.size("value")).cast("long").alias("numbers"))
+
+
+@query("trained_stack")
+def _(spark, d):
+    return fx.trained_stack(spark, d).filter("role = 'val'").select(*KEY, "horizon", "fold_id", "y_true", "conservative_stack", "conservative_stack__guarded")
+
+
+@query("trained_leaderboard")
+def _(spark, d):
+    return boards.leaderboard(trained_macro(spark, d, "overall").drop("level", "fold_id", GEO, "horizon"), "development")
+
+
+def trained_macro(spark, d, level: str):
+    return metrics.macro_tables(fx.every_prediction(spark, d)).filter(F.col("level") == level)
 
 
 LIVE_MAE = f"SELECT horizon, model, avg(MAE_macro) AS mae FROM ({BY_HORIZON}) GROUP BY 1, 2"
@@ -879,9 +1035,15 @@ SELECT geo_id, week_start_date AS origin_week, target_week, CAST(horizon AS BIGI
 UNION ALL SELECT 'COUNTRY_TOTAL', week_start_date, target_week, CAST(horizon AS BIGINT), B.model, {r6('sum(y_pred)')}, any_value(fit_status), any_value(rank), CAST(any_value(rank) = 1 AS BIGINT) FROM B JOIN R USING (model) GROUP BY 2, 3, horizon, 5"""
 
 
+def ranked(macro):
+    """(ranking, errors by horizon) of a macro table, which is written once for both."""
+    macro = sinks.staged(macro, "macro")
+    whole = macro.filter("level = 'overall'").drop("level", "fold_id", GEO, "horizon")
+    return boards.evidence_fallback(rounded(whole), "operational"), boards.horizon_mae(macro.filter("level = 'by_fold_horizon'"), "operational")
+
+
 def live_rows(spark, d):
-    ranking = boards.evidence_fallback(rounded(overall(spark, d)), "operational")
-    mae = boards.horizon_mae(fx.macro_level(spark, d, "by_fold_horizon"), "operational")
+    ranking, mae = ranked(fx.macro(spark, d))
     return live.live_forecast(fx.counts(spark, d), fx.HORIZONS, mae, ranking, boards.promotion_policy(ranking), fx.MODELS, stack=fx.STACK)
 
 
@@ -900,6 +1062,13 @@ def _(spark, d):
     return boards.forecast_slices(live_rows(spark, d))
 
 
+@query("live_bundle")
+def _(spark, d):
+    """Naive and trained models from the latest origin, with the default stack, ranked by the backtest of all of them."""
+    ranking, mae = ranked(metrics.macro_tables(fx.every_prediction(spark, d)))
+    return live.live_forecast(fx.counts(spark, d), fx.HORIZONS, mae, ranking, boards.promotion_policy(ranking), fx.MODELS[:2], list(TRAINED))
+
+
 REDUCED = ["cases_lag_1", "cases_lag_2", "cases_rollmean_4", "cases_log1p", "woy_sin", "woy_cos"]
 
 
@@ -910,9 +1079,18 @@ def _(spark, d):
     return legacy_models.with_total(legacy_models.poisson_live(fx.feature_panel(spark, d), pairs, REDUCED, fx.HORIZONS), by=("model", "origin_week"))
 
 
+CEILING = dt.date(2000, 1, 3)
+
+
 @query("poisson_backtest")
 def _(spark, d):
-    return legacy_models.poisson_backtest(one_setting(spark, d), REDUCED, dt.date(2000, 1, 3))
+    return legacy_models.poisson_backtest(fx.supervised(spark, d), REDUCED, CEILING)
+
+
+@query("poisson_backtest_locf")
+def _(spark, d):
+    rows = splits.supervised_from_panel(fx.full_panel(spark, d), "operational", fx.HORIZONS, fx.FOLDS)
+    return legacy_models.poisson_backtest(rows, [*REDUCED, *fx.COVS], CEILING, "locf")
 
 
 @query("grouped_nb_glm")
@@ -920,19 +1098,33 @@ def _(spark, d):
     return grouped.grouped_glm(fx.supervised(spark, d), REDUCED)
 
 
+ALPHAS = [0.001, 0.005, 0.008, 0.01, 0.05]
+
+
+def swept(spark, d):
+    return grouped.alpha_sweep(fx.supervised(spark, d), REDUCED, ALPHAS)
+
+
 @query("alpha_sweep")
 def _(spark, d):
-    return grouped.alpha_sweep(one_setting(spark, d), REDUCED, [0.005, 0.05])
+    return swept(spark, d)
+
+
+@query("sweep_best")
+def _(spark, d):
+    return boards.sweep_best(swept(spark, d))
+
+
+TWEEDIE_TREES = TreeSpec("tweedie", 400, 0.05, 3, leaves=15, power=1.3, row_share=0.8, feature_share=0.8, patience=50, shrink=True)
 
 
 @query("tweedie_boosting")
 def _(spark, d):
-    rows = one_setting(spark, d)
-    design_ = preprocessor(rows.filter(TRAIN), REDUCED)
-    known, held = prepared(design_, rows.filter(TRAIN), REDUCED), prepared(design_, rows.filter("role = 'val'"), REDUCED)
-    depth, leaf = leaf_limits(known.count())
-    model = boost(known, "y_true", "tweedie", 10, 0.1, depth, leaf, power=1.3, val=held)
-    return model.transform(held).select(*KEY, "horizon", "y_true", F.col("_raw").alias("y_pred"))
+    rows = fx.supervised(spark, d)
+    columns = features.feature_columns(rows, False, ("last_year",))
+    known = settings(rows, columns)
+    out = fit_trees(known, None, TWEEDIE_TREES, least=20).predict("y_pred", known.rows)
+    return out.select(*KEY, TARGET_WEEK, "horizon", "fold_id", "role", "y_true", "y_pred")
 
 
 assert set(SQL) <= set(QUERIES) and FULL and MACRO6

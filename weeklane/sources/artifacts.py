@@ -27,13 +27,13 @@ def fold_union(spark: SparkSession, folder: str, model: str) -> DataFrame:
 
 
 def metric_union(spark: SparkSession, folder: str, models: list[str]) -> DataFrame:
-    """``metrics_{model}_*.csv`` of a folder as (model, fold, role, horizon, MAE, RMSE)."""
-    wanted = "metrics_{" + ",".join(models) + "}_*.csv"
+    """``metrics_{model}_*.csv`` of a folder, files or directories of parts, as (model, fold, role, horizon, MAE, RMSE)."""
+    wanted = "*metrics_{" + ",".join(models) + "}_*.csv"
     rows = read_text_csv(spark, f"{folder.rstrip('/')}/{wanted}")
-    name = F.col("_metadata.file_name")
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"metrics_([^/]+)\.csv", 1)
     return rows.select(
-        F.regexp_extract(name, r"^metrics_(.+)_[^_]+\.csv$", 1).alias("model"),
-        F.regexp_extract(name, r"_([^_]+)\.csv$", 1).alias("fold"),
+        F.regexp_extract(name, r"^(.+)_[^_]+$", 1).alias("model"),
+        F.regexp_extract(name, r"_([^_]+)$", 1).alias("fold"),
         "role",
         number("horizon").cast("int").alias("horizon"),
         number("MAE").alias("MAE"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weeklane.config import COUNT_NODES, GEO, KEPT_NODES, NAME, TARGET_WEEK, TRUTH_NODES, VALUE, WEEK
 from weeklane.functions.scalars import clip, monday, monday_by_weekday, normalize_text, number, parse_day
+from weeklane.sources.sinks import staged
 
 
 def read_text_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -16,6 +17,24 @@ def read_text_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
+MALFORMED = "_malformed"
+
+
+def read_checked_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """As ``read_text_csv``, with the whole line in ``_malformed`` where it has more or fewer fields than the header.
+
+    Such lines stay in the result, as far as they can be read, so that they can be counted and mended.
+    """
+    names = read_text_csv(spark, path).columns
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, MALFORMED])
+    return spark.read.option("header", True).option("columnNameOfCorruptRecord", MALFORMED).schema(schema).csv(path)
+
+
+def line_counts(checked: DataFrame) -> DataFrame:
+    """(n_lines, n_malformed) of ``read_checked_csv``. The parsed lines are written first: a line is only known to be malformed once all of it is parsed."""
+    return staged(checked, "lines").agg(F.count(F.lit(1)).alias("n_lines"), F.count(MALFORMED).alias("n_malformed"))
+
+
 def _known(df: DataFrame, nodes: Mapping[str, object]) -> dict[str, str]:
     """Source column -> normalised name, for the columns the mapping knows."""
     return {c: n for c in df.columns if (n := normalize_text(c)) in nodes}
