@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -160,6 +161,28 @@ def test_learning_finds_the_words_that_matter():
     assert min(scores[1::2]) > max(scores[::2]) and len(at) < 100
 
 
+def test_learning_as_by_one_coordinate_at_a_time():
+    r = random.Random(5)
+    rows = [(np.unique([0, *(r.randint(1, 30) for _ in range(6))]), r.randint(0, 1)) for _ in range(80)]
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.4, 0.1
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if i and abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1) * (i > 0)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for at, label in rows:
+            w = {i: weight(i) for i in at.tolist()}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for i in w:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    at, w = toxicity.learn(rows, alpha, beta, l1, l2, 3)
+    assert dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx({i: weight(i) for i in sorted(z) if weight(i) or not i}, rel=1e-9)
+
+
 def test_sets_of_shingles():
     assert len(minhash.shingle_set(b"", 2)) == 0 and len(minhash.shingle_set(b"A", 2)) == 1
     assert (minhash.shingle_set(b"A b c", 2) == minhash.shingle_set(b" a\nB  c ", 2)).all()
