@@ -9,6 +9,7 @@ one another. The search walks both, as short lists alone lead away from the long
 of its beam, in rounds over all queries, until the best ``beam`` nodes are all opened. Graph and
 search compare in double precision.
 
+In a round a drawn part of each neighbourhood meets, and pairs that a list holds already are left out.
 Rounds of joins go on until few list entries change. Before all queries are searched, a sample of
 bounded size is, and is held against a scan of all nodes: the beam doubles until the sample's recall
 reaches the one asked for. If no beam within bounds does, the graph is built with twice the lists and
@@ -36,6 +37,7 @@ SALTS = 16
 SAMPLE = 200  # queries that are held against a scan of all nodes
 MIDDLE, SHORT = np.int16, np.int8  # components that the joins of the graph, and the search, carry
 SLICE = 500  # lists of vectors that are compared at once
+KNOWN = 512  # bits of a list's bitmap
 GROWN = 3  # times that the graph's lists and trees are doubled
 
 
@@ -182,16 +184,41 @@ def both_ways(graph: DataFrame, reverse: int, seed: int) -> DataFrame:
     return edges.union(back.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct()
 
 
-def refined(graph: DataFrame, nodes: DataFrame, dim: int, k: int, reverse: int, each: int, seed: int) -> DataFrame:
-    """One round: whoever share a neighbour are compared; each node keeps its k best."""
-    meet = both_ways(graph, reverse, seed).select(F.col("node").alias("at"), F.col("nbr").alias("node"))
-    worst = graph.select("node", F.when(F.size("sims") < k, F.lit(float("-inf")).cast("double")).otherwise(F.array_min("sims")).alias("worst"))
-    seen = meet.join(nodes.select("node", "middle").join(worst, "node"), "node")
+def bit(ids: np.ndarray, seed: int) -> np.ndarray:
+    """Each id's place in a bitmap of KNOWN bits."""
+    with np.errstate(over="ignore"):
+        return ((ids.astype(np.uint64) + np.uint64(seed + 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(KNOWN)
+
+
+def refined(graph: DataFrame, nodes: DataFrame, dim: int, k: int, reverse: int, each: int, share: float, seed: int) -> DataFrame:
+    """One round: whoever share a neighbour are compared; each node keeps its k best.
+
+    Of each neighbourhood a share meets, drawn anew each round. A node carries a bitmap of its list, so
+    that what it holds is not found again; where a bit hides another node, the next round's bitmap doesn't.
+    """
+    drawn = F.pmod(F.xxhash64("node", "nbr", F.lit(seed)), F.lit(1000)) < int(1000 * share)
+    meet = both_ways(graph, reverse, seed).where(drawn).select(F.col("node").alias("at"), F.col("nbr").alias("node"))
+
+    def carried(batches):
+        for batch in batches:
+            size = pa.compute.list_value_length(batch.column("nbrs")).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            held = np.zeros((batch.num_rows, KNOWN), bool)
+            held[row, bit(batch.column("nbrs").flatten().to_numpy(), seed)] = True
+            worst = np.full(batch.num_rows, np.inf)
+            np.minimum.at(worst, row, batch.column("sims").flatten().to_numpy())
+            worst[size < k] = -np.inf
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(worst), pa.array([r.tobytes() for r in np.packbits(held, axis=1)], pa.binary())], ["node", "worst", "known"])
+
+    lists = graph.mapInArrow(carried, "node long, worst double, known binary")
+    seen = meet.join(nodes.select("node", "middle").join(lists, "node", "left"), "node")
 
     def run(batches):
         for t in groups(batches, "at", 20_000):
-            at, node, worst = t["at"].to_numpy(), t["node"].to_numpy(), t["worst"].to_numpy()
-            x = decoded(t["middle"], dim, MIDDLE)
+            at, node = t["at"].to_numpy(), t["node"].to_numpy()
+            worst = t["worst"].fill_null(float("-inf")).to_numpy()
+            x, place = decoded(t["middle"], dim, MIDDLE), bit(node, seed)
+            held = np.frombuffer(b"".join(b or bytes(KNOWN // 8) for b in t["known"].to_pylist()), np.uint8).reshape(-1, KNOWN // 8)
             start = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)]
             us, ws, ss = [], [], []
             for a, b in zip(start[:-1], start[1:], strict=True):
@@ -199,6 +226,7 @@ def refined(graph: DataFrame, nodes: DataFrame, dim: int, k: int, reverse: int,
                 if m < 1:
                     continue
                 sim = nearness(x[a:b])
+                sim[np.unpackbits(held[a:b], axis=1)[:, place[a:b]] > 0] = -np.inf
                 best = np.argpartition(-sim, m - 1, axis=1)[:, :m]
                 sim = np.take_along_axis(sim, best, 1)
                 row, col = np.nonzero(sim > worst[a:b, None])
@@ -208,7 +236,7 @@ def refined(graph: DataFrame, nodes: DataFrame, dim: int, k: int, reverse: int,
             if us:
                 yield pa.RecordBatch.from_arrays(list(best_lists(np.concatenate(us), np.concatenate(ws), np.concatenate(ss), k)), ["node", "nbrs", "sims"])
 
-    found = seen.select("at", "node", "middle", "worst").repartition("at").sortWithinPartitions("at").mapInArrow(run, LISTS)
+    found = seen.select("at", "node", "middle", "worst", "known").repartition("at").sortWithinPartitions("at").mapInArrow(run, LISTS)
     return merged(graph.union(found), k)
 
 
@@ -310,10 +338,19 @@ def scanned(nodes: DataFrame, sample: DataFrame, dim: int, keep: int) -> DataFra
     return first_rows(nodes.select("node", "point").mapInArrow(scan, "q long, node long, sim double"), ["q"], [F.desc("sim"), F.col("node")], keep + 1, "node")
 
 
-def share_found(found: DataFrame, best: DataFrame, top: int) -> float:
-    """Share of the queries' best nodes that found holds; nodes that tie with the last count alike."""
+def share_found(found: DataFrame, nodes: DataFrame, sample: DataFrame, best: DataFrame, dim: int, top: int) -> float:
+    """Share of the sampled queries' best nodes that found holds, by their products without codes; nodes that tie with the last count alike."""
+
+    def product(batches):
+        for batch in batches:
+            sim = np.einsum("ij,ij->i", points(batch.column("own"), dim), points(batch.column("point"), dim))
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("node"), pa.array(sim)], ["q", "node", "sim"])
+
+    own = F.broadcast(sample.select("q", F.col("point").alias("own")))  # SAMPLE rows at most
+    pairs = found.where("q <> node").select("q", "node").join(nodes.select("node", "point"), "node").join(own, "q")
+    exact = pairs.select("q", "node", "own", "point").mapInArrow(product, "q long, node long, sim double")
     least = best.where("q <> node").groupBy("q").agg(F.min("sim").alias("least"), F.max(F.abs("sim")).alias("most"), F.count("*").alias("n"))
-    near = found.where("q <> node").join(least, "q").where(F.col("sim") >= F.col("least") - 1e-9 * F.col("most"))
+    near = exact.join(least, "q").where(F.col("sim") >= F.col("least") - 1e-9 * F.col("most"))
     got = near.groupBy("q").agg(F.least(F.count("*"), F.lit(top)).alias("got"))
     return least.join(got, "q", "left").agg((F.sum(F.coalesce("got", F.lit(0))) / F.sum("n")).alias("share")).first()["share"] or 0.0
 
@@ -322,7 +359,7 @@ def followed(lists: DataFrame, nodes: DataFrame, queries: DataFrame, sample: Dat
     """((q, node, sim) of all queries, recall) with the first beam, of doubled ones, whose recall on the sample is as asked for; None if none of up to ``most`` has it."""
     share = 0.0
     while beam <= most:
-        share = share_found(searched(lists, nodes, sample, dim, beam, opened), best, top)
+        share = share_found(searched(lists, nodes, sample, dim, beam, opened), nodes, sample, best, dim, top)
         log.info("beam %d: recall %.4f on a sample", beam, share)
         if share >= recall:
             return searched(lists, nodes, queries, dim, beam, opened), share
@@ -330,12 +367,12 @@ def followed(lists: DataFrame, nodes: DataFrame, queries: DataFrame, sample: Dat
     return None, share
 
 
-def settled_graph(nodes: DataFrame, dim: int, trees: int, leaf: int, k: int, reverse: int, each: int, settled: float, seed: int) -> DataFrame:
+def settled_graph(nodes: DataFrame, dim: int, trees: int, leaf: int, k: int, reverse: int, each: int, share: float, settled: float, seed: int) -> DataFrame:
     """Lists of k neighbours: random-projection leaves, then rounds of joins until few entries change."""
     graph = cut(forest(nodes, dim, trees, leaf, k, seed), "graph")
     turn = 0
     while True:
-        before, graph = graph, cut(refined(graph, nodes, dim, k, reverse, each, seed + turn), "graph")
+        before, graph = graph, cut(refined(graph, nodes, dim, k, reverse, each, share, seed + turn), "graph")
         old = before.select("node", F.col("nbrs").alias("old"))
         new = F.when(F.col("old").isNull(), F.size("nbrs")).otherwise(F.size(F.array_except("nbrs", "old")))
         changed = graph.join(old, "node", "left").agg((F.sum(new) / F.sum(F.size("nbrs"))).alias("share")).first()["share"] or 0.0
@@ -345,7 +382,7 @@ def settled_graph(nodes: DataFrame, dim: int, trees: int, leaf: int, k: int, rev
             return graph
 
 
-def nearest(vectors: DataFrame, queries: Column, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 32, trees: int = 8, leaf: int = 2048, settled: float = 0.02, reverse: int = 24, each: int = 6, beam: int = 140, opened: int = 45, recall: float = 0.95, most: int = 2240, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 32, trees: int = 8, leaf: int = 2048, settled: float = 0.01, drawn: float = 0.6, reverse: int = 24, each: int = 6, beam: int = 140, opened: int = 45, recall: float = 0.95, most: int = 2240, seed: int = 7) -> DataFrame:
     """(query_id, rank, id, score): each query row's nearest other rows, largest inner product first,
     ties to the smaller id.
 
@@ -353,7 +390,8 @@ def nearest(vectors: DataFrame, queries: Column, top: int = 20, id_col: str = "v
     non-finite component, or another length than most vectors (ties: the longer) take no part.
     Repeated rows are rows of their own; a row is never its own neighbour.
 
-    settled: share of list entries below which a round's changes end the joins. recall: the least on
+    settled: share of list entries below which a round's changes end the joins; drawn: share of a
+    neighbourhood that meets in a round. recall: the least on
     the sample; beam: the first one; most: the largest one before the graph's lists are doubled.
     """
     v = F.col("v")
@@ -386,7 +424,7 @@ def nearest(vectors: DataFrame, queries: Column, top: int = 20, id_col: str = "v
     found, share = best, 1.0  # right if no query has another node
     for grown in range(GROWN + 1) if not best.where("q <> node").isEmpty() else ():
         k_, reverse_, trees_ = (x << grown for x in (k, reverse, trees))
-        graph = settled_graph(nodes, dim, trees_, leaf, k_, reverse_, each, settled, seed)
+        graph = settled_graph(nodes, dim, trees_, leaf, k_, reverse_, each, drawn, settled, seed)
         flat = both_ways(graph, reverse_, seed).join(nodes.select(F.col("node").alias("nbr"), "short"), "nbr")
         lists = cut(flat.groupBy("node").agg(F.collect_list(F.struct("nbr", "short")).alias("near")), "adjacency")  # k + reverse rows each
         found, share = followed(lists, nodes, asked, sample, best, dim, beam, opened, top, recall, most)
