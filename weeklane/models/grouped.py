@@ -72,6 +72,7 @@ def grouped_glm(supervised: DataFrame, features: list[str], alpha: float | Colum
     keep = [*by, WEEK, "target_week", "role", "y_true"]
     keep = list(dict.fromkeys(c for c in keep if c in supervised.columns))
     grid = isinstance(alpha, Column)
+    one = None if grid else float(alpha)
     rows = supervised.select(*keep, *[F.col(f).cast("double").alias(f"x_{f}") for f in features], *([alpha.alias("alpha")] if grid else []))
     if grid:
         keep, by = [*keep, "alpha"], (*by, "alpha")
@@ -80,7 +81,7 @@ def grouped_glm(supervised: DataFrame, features: list[str], alpha: float | Colum
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         train = (pdf["role"] == "train").to_numpy()
         x, y = pdf[xs].to_numpy(float), pdf["y_true"].to_numpy(float)
-        pred, how = predict_group(x[train], y[train], x, float(pdf["alpha"].iloc[0]) if grid else alpha)
+        pred, how = predict_group(x[train], y[train], x, float(pdf["alpha"].iloc[0]) if grid else one)
         return pdf[keep].assign(y_pred=pred, fit_status=how)
 
     schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField("y_pred", T.DoubleType()), T.StructField("fit_status", T.StringType())])

@@ -226,7 +226,8 @@ def grow(codes: np.ndarray, cells: np.ndarray, g: np.ndarray, h: np.ndarray, wei
     tree, node = Tree.of(spec.depth), np.zeros(len(codes), np.int64)
     live = weight > 0
     g, h, count = g * weight, h * weight, live.astype(np.float64)
-    hist, nodes = histogram(cells[live], node[live], g[live], h[live], count[live], 1, layout.size), [0]
+    first = (cells, node, g, h, count) if live.all() else (cells[live], node[live], g[live], h[live], count[live])
+    hist, nodes = histogram(*first, 1, layout.size), [0]
     for level in range(spec.depth):
         found = cuts(hist, layout, limits[0], allowed)
         parents = tree.cut(found, nodes, layout, limits[1], scale)
