@@ -1,5 +1,7 @@
 """Histogram trees: one task against the whole cluster, and both against a plain recursion."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +115,17 @@ def test_rows_are_drawn_alike_everywhere():
     assert abs(times.mean() - 1) < 0.03 and abs((times == 0).mean() - np.exp(-1)) < 0.02
     assert (tr.drawn(SPECS["forest"], rows[::-1], 3)[::-1] == times).all()
     assert abs(tr.drawn(SPECS["tweedie"], rows, 3).mean() - 0.8) < 0.02
+
+
+def test_trees_are_grown_once(spark, frame, monkeypatch, tmp_path):
+    """One call a setting and specification: nothing between the fits and the driver runs them again."""
+    plain = tr.fit_alone
+
+    def counted(*args):
+        (tmp_path / uuid.uuid4().hex).touch()
+        return plain(*args)
+
+    monkeypatch.setattr(tr, "fit_alone", counted)
+    models = tr.fit_several(frame, [(None, SPECS["poisson"]), (None, SPECS["forest"])])
+    assert [len(t) for t in models[0].trees] == [12, 12, 0] and [len(t) for t in models[1].trees] == [11, 11, 0]
+    assert len(list(tmp_path.iterdir())) == 4

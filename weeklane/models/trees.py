@@ -129,19 +129,24 @@ class Layout:
 def cuts(hist: np.ndarray, layout: Layout, min_leaf: int, allowed: np.ndarray) -> list[tuple]:
     """Per node of hist (3 x nodes x bins: gradient, curvature, rows): (gain, bin or -1, sums, sums on its left)."""
     sums = hist[:, :, layout.first[0] : layout.first[1] if len(layout.first) > 1 else layout.size].sum(2)
-    run = np.cumsum(hist, axis=2)
-    before = np.concatenate([np.zeros((*run.shape[:2], 1)), run[:, :, layout.first[1:] - 1]], axis=2)[:, :, layout.feature]
-    left = np.where(layout.single, hist, run - before)
-    right = sums[:, :, None] - left
-    fit = (left[2] >= min_leaf) & (right[2] >= min_leaf) & (left[1] >= LEAST_CURVATURE) & (right[1] >= LEAST_CURVATURE) & allowed[layout.feature]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = left[0] ** 2 / left[1] + right[0] ** 2 / right[1] - (sums[0] ** 2 / np.maximum(sums[1], 1e-12))[:, None]
-    gain = np.where(fit, gain, -np.inf)
-    at = gain.argmax(1)
+    fine = allowed[layout.feature]
+    single = slice(int(layout.first[-1]), layout.size)
     out = []
-    for k, b in enumerate(at):
-        good = gain[k, b] > 1e-9
-        out.append((float(gain[k, b]) if good else 0.0, int(b) if good else -1, sums[:, k], left[:, k, b]))
+    for k in range(hist.shape[1]):  # a node's bins stay in the processor's cache
+        own, total = hist[:, k], sums[:, k]
+        run = np.cumsum(own, axis=1)
+        left = run - np.concatenate([np.zeros((3, 1)), run[:, layout.first[1:] - 1]], axis=1)[:, layout.feature]
+        left[:, single] = own[:, single]
+        right = total[:, None] - left
+        fit = (left[2] >= min_leaf) & (right[2] >= min_leaf) & (left[1] >= LEAST_CURVATURE) & (right[1] >= LEAST_CURVATURE) & fine
+        at = np.flatnonzero(fit)
+        if not len(at):
+            out.append((0.0, -1, total, left[:, 0]))
+            continue
+        gain = left[0, at] ** 2 / left[1, at] + right[0, at] ** 2 / right[1, at] - total[0] ** 2 / np.maximum(total[1], 1e-12)
+        best = int(gain.argmax())
+        good = gain[best] > 1e-9
+        out.append((float(gain[best]) if good else 0.0, int(at[best]) if good else -1, total, left[:, at[best]]))
     return out
 
 
@@ -359,7 +364,8 @@ def fit_several(settings: Settings, wanted: list[tuple[Column | None, TreeSpec]]
     alone = [s for s in range(len(settings.keys)) if settings.sizes[s] >= least and amount[s] <= limit]
     spread = [s for s in range(len(settings.keys)) if settings.sizes[s] >= least and amount[s] > limit]
     if alone:
-        for r in fitted_alone(rows.filter(F.col("_s").isin(alone)), core, goals, [spec for _, spec in wanted], len(alone)).orderBy("k", "_s", "tree").collect():
+        grown = fitted_alone(rows.filter(F.col("_s").isin(alone)), core, goals, [spec for _, spec in wanted], len(alone)).collect()
+        for r in sorted(grown, key=lambda r: (r["k"], r["_s"], r["tree"])):  # a sort on the cluster would grow all trees again for its bounds
             models[r["k"]].trees[r["_s"]].append(Tree(np.array(r["feature"], np.int32), np.array(r["at"], np.int32), np.array(r["value"])))
     for k, (_, spec) in enumerate(wanted):
         if spread:
