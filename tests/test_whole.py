@@ -46,3 +46,8 @@ def test_candidates_of_partners_follow_the_series(spark):
     best = explore.strongest_partners(panel, top=1, tables=12, near=4).collect()
     waves = [r for r in best if int(r.geo_id[1:]) % 3 < 2]
     assert len(waves) == 200 and all(abs(r.spearman) > 0.9 for r in waves)
+
+
+def test_the_backtest_reads_the_orders_once(spark):
+    """What the models are fitted and scored from is a written panel, not the order tables."""
+    assert all("orders" not in f for f in fx.supervised(spark, SF).inputFiles())

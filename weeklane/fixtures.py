@@ -49,7 +49,11 @@ def orders_by_nation(spark: SparkSession, sf_dir: str, by: str = "n_name") -> Da
 
 def counts(spark: SparkSession, sf_dir: str, by: str = "n_name") -> DataFrame:
     """Every series in every week of the table, 0 where there are no orders."""
-    return panel.densify(orders_by_nation(spark, sf_dir, by), span="table", fill={VALUE: 0})
+    return densified(orders_by_nation(spark, sf_dir, by))
+
+
+def densified(weeks: DataFrame) -> DataFrame:
+    return panel.densify(weeks, span="table", fill={VALUE: 0})
 
 
 def covariates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +88,13 @@ def fold_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.rolling_origin_splits(feature_panel(spark, sf_dir), HORIZONS, FOLDS, unique=True)
 
 
+def stored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts as a written table, a row per series and week: the orders are read once, however often it is used."""
+    return staged(densified(staged(orders_by_nation(spark, sf_dir), "orders")), "counts")
+
+
 def supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.supervised_from_panel(counts(spark, sf_dir), "operational", HORIZONS, FOLDS)
+    return splits.supervised_from_panel(stored_counts(spark, sf_dir), "operational", HORIZONS, FOLDS)
 
 
 def wide_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

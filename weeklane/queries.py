@@ -1066,7 +1066,7 @@ def _(spark, d):
 def _(spark, d):
     """Naive and trained models from the latest origin, with the default stack, ranked by the backtest of all of them."""
     ranking, mae = ranked(metrics.macro_tables(fx.every_prediction(spark, d)))
-    return live.live_forecast(fx.counts(spark, d), fx.HORIZONS, mae, ranking, boards.promotion_policy(ranking), fx.MODELS[:2], list(TRAINED))
+    return live.live_forecast(fx.stored_counts(spark, d), fx.HORIZONS, mae, ranking, boards.promotion_policy(ranking), fx.MODELS[:2], list(TRAINED))
 
 
 REDUCED = ["cases_lag_1", "cases_lag_2", "cases_rollmean_4", "cases_log1p", "woy_sin", "woy_cos"]
