@@ -55,3 +55,19 @@ def test_codes_keep_each_vector_at_its_own_scale():
     for kind, error in ((nn_descent.MIDDLE, 2e-4), (nn_descent.SHORT, 3e-2)):
         y = nn_descent.decoded(nn_descent.coded(x, kind), 9, kind)
         assert (np.linalg.norm(x - y, axis=1) <= error * np.linalg.norm(x, axis=1)).all()
+
+
+def test_near_copies_are_told_apart(spark):
+    """A group of near copies beyond the beam, too few queries of it for the sample's recall to show."""
+    r = np.random.default_rng(3)
+    x = r.standard_normal((4000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:160] = x[0] + 1e-4 * r.standard_normal((160, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    asks = F.col("vec_id") % 4 == 0
+    found = nn_descent.nearest(df, asks, leaf=256, k=16, beam=40, opened=15, recall=0.9).where("query_id < 160").toPandas()
+    sims = x[:160] @ x.T
+    sims[np.arange(160), np.arange(160)] = -np.inf
+    least = np.sort(sims, axis=1)[:, -20]
+    assert (found["score"].to_numpy() >= least[found["query_id"]] - 1e-12).sum() >= 0.9 * 40 * 20

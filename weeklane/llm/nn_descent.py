@@ -10,19 +10,21 @@ of its beam, in rounds over all queries, until the best ``beam`` nodes are all o
 search compare in double precision.
 
 In a round a drawn part of each neighbourhood meets, and pairs that a list holds already are left out.
-Rounds of joins go on until few list entries change. Before all queries are searched, a sample of
-bounded size is, and is held against a scan of all nodes: the beam doubles until the sample's recall
-reaches the one asked for. If no beam within bounds does, the graph is built with twice the lists and
-trees, a few times; after that the search ends with an error that names the recall.
+After ROUNDS rounds of joins all queries are searched, and a sample of bounded size is held against a
+scan of all nodes. Until the sample's recall reaches the one asked for, rounds go on; once few list
+entries change in one, the beam doubles instead. If no beam within bounds does, the graph is built with
+twice the lists and trees, a few times; after that the search ends with an error that names the recall.
 
-The joins carry vectors as 16-bit, the search's lists as 8-bit whole numbers of each vector's own
-scale; what the beams hold at the end is scored on the original vectors.
+The joins and the search's lists carry vectors as 16-bit whole numbers of each vector's own scale; what
+the beams hold at the end is scored on the original vectors.
 
 The index holds every row.
 """
 
+import itertools
 import logging
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,11 @@ from weeklane.llm.common import cut
 log = logging.getLogger(__name__)
 SALTS = 16
 SAMPLE = 200  # queries that are held against a scan of all nodes
-MIDDLE, SHORT = np.int16, np.int8  # components that the joins of the graph, and the search, carry
+MIDDLE = SHORT = np.int16  # components that the joins of the graph, and the search, carry; 8 bits don't tell near copies apart
 SLICE = 500  # lists of vectors that are compared at once
 KNOWN = 512  # bits of a list's bitmap
 GROWN = 3  # times that the graph's lists and trees are doubled
+ROUNDS = 2  # joins before the first search
 
 
 def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int, salt: str) -> DataFrame:
@@ -211,13 +214,13 @@ def refined(graph: DataFrame, nodes: DataFrame, dim: int, k: int, reverse: int,
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(worst), pa.array([r.tobytes() for r in np.packbits(held, axis=1)], pa.binary())], ["node", "worst", "known"])
 
     lists = graph.mapInArrow(carried, "node long, worst double, known binary")
-    seen = meet.join(nodes.select("node", "middle").join(lists, "node", "left"), "node")
+    seen = meet.join(nodes.select("node", "code").join(lists, "node", "left"), "node")
 
     def run(batches):
         for t in groups(batches, "at", 20_000):
             at, node = t["at"].to_numpy(), t["node"].to_numpy()
             worst = t["worst"].fill_null(float("-inf")).to_numpy()
-            x, place = decoded(t["middle"], dim, MIDDLE), bit(node, seed)
+            x, place = decoded(t["code"], dim, MIDDLE), bit(node, seed)
             held = np.frombuffer(b"".join(b or bytes(KNOWN // 8) for b in t["known"].to_pylist()), np.uint8).reshape(-1, KNOWN // 8)
             start = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)]
             us, ws, ss = [], [], []
@@ -236,7 +239,7 @@ def refined(graph: DataFrame, nodes: DataFrame, dim: int, k: int, reverse: int,
             if us:
                 yield pa.RecordBatch.from_arrays(list(best_lists(np.concatenate(us), np.concatenate(ws), np.concatenate(ss), k)), ["node", "nbrs", "sims"])
 
-    found = seen.select("at", "node", "middle", "worst", "known").repartition("at").sortWithinPartitions("at").mapInArrow(run, LISTS)
+    found = seen.select("at", "node", "code", "worst", "known").repartition("at").sortWithinPartitions("at").mapInArrow(run, LISTS)
     return merged(graph.union(found), k)
 
 
@@ -245,7 +248,7 @@ ENTRIES = 32  # longest vectors, from which each query starts too
 
 
 def searched(lists: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, beam: int, opened: int) -> DataFrame:
-    """(q, node, sim): each query node's beam, itself at infinity. lists: node, near (nbr, short); queries: q, point.
+    """(q, node, sim): each query node's beam, itself at infinity. lists: node, near (nbr, code); queries: q, point.
 
     A round sends each query to the best unopened nodes of its beam, where their neighbours are
     compared with it, and merges what is better than the beam's last back into the beam.
@@ -272,7 +275,7 @@ def searched(lists: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, b
             near = batch.column("near")
             of = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(near).to_numpy(zero_copy_only=False))
             inner = near.flatten()
-            sim = np.einsum("ij,ij->i", points(batch.column("point"), dim)[of], decoded(inner.field("short"), dim, SHORT))
+            sim = np.einsum("ij,ij->i", points(batch.column("point"), dim)[of], decoded(inner.field("code"), dim, SHORT))
             keep = np.flatnonzero(sim > batch.column("low").to_numpy()[of])
             q, other, sim = batch.column("q").to_numpy()[of[keep]], inner.field("nbr").to_numpy()[keep], sim[keep]
             names, found, sims = best_lists(q, other, sim, beam)
@@ -355,34 +358,38 @@ def share_found(found: DataFrame, nodes: DataFrame, sample: DataFrame, best: Dat
     return least.join(got, "q", "left").agg((F.sum(F.coalesce("got", F.lit(0))) / F.sum("n")).alias("share")).first()["share"] or 0.0
 
 
-def followed(lists: DataFrame, nodes: DataFrame, queries: DataFrame, sample: DataFrame, best: DataFrame, dim: int, beam: int, opened: int, top: int, recall: float, most: int) -> tuple[DataFrame | None, float]:
-    """((q, node, sim) of all queries, recall) with the first beam, of doubled ones, whose recall on the sample is as asked for; None if none of up to ``most`` has it."""
-    share = 0.0
+def followed(lists: DataFrame, nodes: DataFrame, queries: DataFrame, sample: DataFrame, best: DataFrame, dim: int, beam: int, opened: int, top: int, recall: float, most: int, whole: bool) -> tuple[DataFrame | None, float]:
+    """((q, node, sim) of all queries, recall) with the first beam, of doubled ones, whose recall on the sample is as asked for; None if none of up to ``most`` has it.
+
+    whole: the first beam is tried on all queries, as it mostly does; others on the sample first.
+    """
+    share, mine = 0.0, F.broadcast(sample.select("q"))  # SAMPLE rows at most
     while beam <= most:
-        share = share_found(searched(lists, nodes, sample, dim, beam, opened), nodes, sample, best, dim, top)
+        found = searched(lists, nodes, queries if whole else sample, dim, beam, opened)
+        share = share_found(found.join(mine, "q", "left_semi"), nodes, sample, best, dim, top)
         log.info("beam %d: recall %.4f on a sample", beam, share)
         if share >= recall:
-            return searched(lists, nodes, queries, dim, beam, opened), share
-        beam, opened = 2 * beam, 2 * opened
+            return found if whole else searched(lists, nodes, queries, dim, beam, opened), share
+        beam, opened, whole = 2 * beam, 2 * opened, False
     return None, share
 
 
-def settled_graph(nodes: DataFrame, dim: int, trees: int, leaf: int, k: int, reverse: int, each: int, share: float, settled: float, seed: int) -> DataFrame:
-    """Lists of k neighbours: random-projection leaves, then rounds of joins until few entries change."""
+def graphs(nodes: DataFrame, dim: int, trees: int, leaf: int, k: int, reverse: int, each: int, share: float, settled: float, seed: int) -> Iterator[tuple[DataFrame, bool]]:
+    """Lists of k neighbours after each round from ROUNDS on, and whether they are settled; those are the last."""
     graph = cut(forest(nodes, dim, trees, leaf, k, seed), "graph")
-    turn = 0
-    while True:
+    for turn in itertools.count():
         before, graph = graph, cut(refined(graph, nodes, dim, k, reverse, each, share, seed + turn), "graph")
         old = before.select("node", F.col("nbrs").alias("old"))
         new = F.when(F.col("old").isNull(), F.size("nbrs")).otherwise(F.size(F.array_except("nbrs", "old")))
         changed = graph.join(old, "node", "left").agg((F.sum(new) / F.sum(F.size("nbrs"))).alias("share")).first()["share"] or 0.0
         log.info("round %d: %.4f of the list entries changed", turn, changed)
-        turn += 1
+        if turn + 1 >= ROUNDS or changed <= settled:
+            yield graph, changed <= settled
         if changed <= settled:
-            return graph
+            return
 
 
-def nearest(vectors: DataFrame, queries: Column, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 32, trees: int = 8, leaf: int = 2048, settled: float = 0.01, drawn: float = 0.6, reverse: int = 24, each: int = 6, beam: int = 140, opened: int = 45, recall: float = 0.95, most: int = 2240, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 32, trees: int = 8, leaf: int = 2048, settled: float = 0.01, drawn: float = 0.6, reverse: int = 24, each: int = 6, beam: int = 260, opened: int = 90, recall: float = 0.96, most: int = 4160, seed: int = 7) -> DataFrame:
     """(query_id, rank, id, score): each query row's nearest other rows, largest inner product first,
     ties to the smaller id.
 
@@ -413,10 +420,10 @@ def nearest(vectors: DataFrame, queries: Column, top: int = 20, id_col: str = "v
             full = lifted(np.array(batch.column("v").flatten(), np.float64).reshape(-1, dim - 1), longest, scale)
             plain = full.copy()
             plain[:, -1] = 0
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("v"), batch.column("norm"), pa.array([r.tobytes() for r in full], pa.binary()), pa.array([r.tobytes() for r in plain], pa.binary()), coded(full, MIDDLE), coded(full, SHORT)], ["node", "v", "norm", "point", "query", "middle", "short"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("v"), batch.column("norm"), pa.array([r.tobytes() for r in full], pa.binary()), pa.array([r.tobytes() for r in plain], pa.binary()), coded(full, MIDDLE)], ["node", "v", "norm", "point", "query", "code"])
 
     first = rows.join(names.select(F.col("node").alias("row")), "row", "left_semi")
-    nodes = cut(first.select("row", "v", "norm").mapInArrow(lift, "node long, v array<double>, norm double, point binary, query binary, middle binary, short binary"), "nodes")
+    nodes = cut(first.select("row", "v", "norm").mapInArrow(lift, "node long, v array<double>, norm double, point binary, query binary, code binary"), "nodes")
     asking = named.where("asks").select(F.col("node").alias("q")).distinct()
     asked = cut(asking.join(nodes.select(F.col("node").alias("q"), F.col("query").alias("point")), "q"), "queries")
     sample = cut(asked.orderBy(F.xxhash64("q"), "q").limit(SAMPLE), "sample")
@@ -424,10 +431,12 @@ def nearest(vectors: DataFrame, queries: Column, top: int = 20, id_col: str = "v
     found, share = best, 1.0  # right if no query has another node
     for grown in range(GROWN + 1) if not best.where("q <> node").isEmpty() else ():
         k_, reverse_, trees_ = (x << grown for x in (k, reverse, trees))
-        graph = settled_graph(nodes, dim, trees_, leaf, k_, reverse_, each, drawn, settled, seed)
-        flat = both_ways(graph, reverse_, seed).join(nodes.select(F.col("node").alias("nbr"), "short"), "nbr")
-        lists = cut(flat.groupBy("node").agg(F.collect_list(F.struct("nbr", "short")).alias("near")), "adjacency")  # k + reverse rows each
-        found, share = followed(lists, nodes, asked, sample, best, dim, beam, opened, top, recall, most)
+        for turn, (graph, end) in enumerate(graphs(nodes, dim, trees_, leaf, k_, reverse_, each, drawn, settled, seed)):
+            flat = both_ways(graph, reverse_, seed).join(nodes.select(F.col("node").alias("nbr"), "code"), "nbr")
+            lists = cut(flat.groupBy("node").agg(F.collect_list(F.struct("nbr", "code")).alias("near")), "adjacency")  # k + reverse rows each
+            found, share = followed(lists, nodes, asked, sample, best, dim, beam, opened, top, recall, most if end else min(most, beam), turn == 0)
+            if found is not None:
+                break
         if found is not None:
             break
         log.warning("lists of %d and beams of up to %d have recall %.3f on a sample", k_, most, share)
