@@ -11,8 +11,8 @@ search compare in double precision.
 
 In a round a drawn part of each neighbourhood meets, and pairs that a list holds already are left out.
 After ROUNDS rounds of joins all queries are searched, and a sample of bounded size is held against a
-scan of all nodes. Until the sample's recall reaches the one asked for, rounds go on; once few list
-entries change in one, the beam doubles instead. If no beam within bounds does, the graph is built with
+scan of all nodes. If the sample's recall is not the one asked for, rounds go on until few list
+entries change, then the beam doubles. If no beam within bounds does, the graph is built with
 twice the lists and trees, a few times; after that the search ends with an error that names the recall.
 
 The joins and the search's lists carry vectors as 16-bit whole numbers of each vector's own scale; what
@@ -375,7 +375,7 @@ def followed(lists: DataFrame, nodes: DataFrame, queries: DataFrame, sample: Dat
 
 
 def graphs(nodes: DataFrame, dim: int, trees: int, leaf: int, k: int, reverse: int, each: int, share: float, settled: float, seed: int) -> Iterator[tuple[DataFrame, bool]]:
-    """Lists of k neighbours after each round from ROUNDS on, and whether they are settled; those are the last."""
+    """Lists of k neighbours after ROUNDS rounds and once they are settled, and whether they are."""
     graph = cut(forest(nodes, dim, trees, leaf, k, seed), "graph")
     for turn in itertools.count():
         before, graph = graph, cut(refined(graph, nodes, dim, k, reverse, each, share, seed + turn), "graph")
@@ -383,7 +383,7 @@ def graphs(nodes: DataFrame, dim: int, trees: int, leaf: int, k: int, reverse: i
         new = F.when(F.col("old").isNull(), F.size("nbrs")).otherwise(F.size(F.array_except("nbrs", "old")))
         changed = graph.join(old, "node", "left").agg((F.sum(new) / F.sum(F.size("nbrs"))).alias("share")).first()["share"] or 0.0
         log.info("round %d: %.4f of the list entries changed", turn, changed)
-        if turn + 1 >= ROUNDS or changed <= settled:
+        if turn + 1 == ROUNDS or changed <= settled:
             yield graph, changed <= settled
         if changed <= settled:
             return
