@@ -10,9 +10,10 @@ of its beam, in rounds over all queries, until the best ``beam`` nodes are all o
 search compare in double precision.
 
 In a round a drawn part of each neighbourhood meets, and pairs that a list holds already are left out.
-After ROUNDS rounds of joins all queries are searched, and a sample of bounded size is held against a
-scan of all nodes. If the sample's recall is not the one asked for, rounds go on until few list
-entries change, then the beam doubles. If no beam within bounds does, the graph is built with
+After ROUNDS rounds of joins the queries are searched, and a sample of bounded size is held against a
+scan of all nodes. If the sample's recall is not the one asked for, the beam doubles a few times, then rounds
+go on, with such a search after twice as many each time, until few list entries change; then the beam doubles
+further. If no beam within bounds does, the graph is built with
 twice the lists and trees, a few times; after that the search ends with an error that names the recall.
 
 The joins and the search's lists carry vectors as 16-bit whole numbers of each vector's own scale; what
@@ -24,6 +25,7 @@ The index holds every row.
 import itertools
 import logging
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +34,19 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weeklane.llm.common import cut
+from weeklane.llm.common import cut, shared_dir
 
 log = logging.getLogger(__name__)
 SALTS = 16
 SAMPLE = 200  # queries that are held against a scan of all nodes
 MIDDLE = SHORT = np.int16  # components that the joins of the graph, and the search, carry; 8 bits don't tell near copies apart
-SLICE = 500  # lists of vectors that are compared at once
+BLOCK = 4096  # nodes whose lists lie together
+ASKED = 512  # queries whose beams lie together
 KNOWN = 512  # bits of a list's bitmap
 GROWN = 3  # times that the graph's lists and trees are doubled
 ROUNDS = 2  # joins before the first search
+SOONER = 4  # times the first beam that is tried before the lists are settled: a sample's search costs less than a round
+FEW = 4000  # queries that are searched at once, without the sample's first
 
 
 def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int, salt: str) -> DataFrame:
@@ -243,82 +248,192 @@ def refined(graph: DataFrame, nodes: DataFrame, dim: int, k: int, reverse: int,
     return merged(graph.union(found), k)
 
 
-BEAM = "q long, point binary, nodes array<long>, sims array<double>, open array<boolean>"
 ENTRIES = 32  # longest vectors, from which each query starts too
+BEAMS = "part int, size int, open_ int, qs binary, points binary, nodes binary, sims binary, open binary"
+ASKS = "block int, part int, at binary, points binary, low binary, node binary"
+FOUND = "part int, at binary, nodes binary, sims binary"
 
 
-def searched(lists: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, beam: int, opened: int) -> DataFrame:
-    """(q, node, sim): each query node's beam, itself at infinity. lists: node, near (nbr, code); queries: q, point.
+def place(ids, n: int):
+    """Which of n blocks an id lies in; ids are a column or an array."""
+    if isinstance(ids, Column):
+        return F.pmod(ids.bitwiseXOR(F.shiftright(ids, 5)).bitwiseXOR(F.shiftright(ids, 33)), F.lit(n)).cast("int")
+    return ((ids ^ (ids >> 5) ^ (ids >> 33)) % n).astype(np.int32)
+
+
+def blocks_of(nodes: DataFrame, count: int) -> int:
+    """Blocks of nodes, no fewer than Spark's partitions, so that a bucket each is never dealt anew."""
+    return max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(count / BLOCK))
+
+
+def raw(column) -> np.ndarray:
+    """The bytes of a binary column, one value after the other."""
+    if isinstance(column, pa.ChunkedArray):
+        return np.concatenate([np.zeros(0, np.uint8), *map(raw, column.chunks)])
+    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(column) and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+
+
+def sliced(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie one after the other in an array, from each of the ends to the next."""
+    data = np.ascontiguousarray(data)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+
+def adjacency(graph: DataFrame, nodes: DataFrame, dim: int, reverse: int, blocks: int, seed: int) -> str:
+    """Name of a table (block, node, nbrs, codes) in buckets by block: whom a node's list holds, some whose lists hold it, and their vectors."""
+    flat = both_ways(graph, reverse, seed).join(nodes.select(F.col("node").alias("nbr"), "code"), "nbr")
+    width = 4 + dim * np.dtype(SHORT).itemsize
+
+    def pack(batches):
+        for t in groups(batches, "node", 20_000):
+            node = t["node"].to_numpy()
+            names, start = np.unique(node, return_index=True)
+            ends = np.r_[start, len(node)]
+            yield pa.RecordBatch.from_arrays([pa.array(place(names, blocks)), pa.array(names), sliced(t["nbr"].to_numpy(), ends), sliced(raw(t["code"]), ends * width)], ["block", "node", "nbrs", "codes"])
+
+    packed = flat.withColumn("block", place(F.col("node"), blocks)).repartition(blocks, "block").sortWithinPartitions("node").mapInArrow(pack, "block int, node long, nbrs binary, codes binary")
+    name = f"adjacency_{uuid.uuid4().hex}"
+    packed.write.bucketBy(blocks, "block").option("path", f"{shared_dir(nodes.sparkSession).rstrip('/')}/{name}").saveAsTable(name)
+    return name
+
+
+def searched(lists: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, beam: int, opened: int, blocks: int, longest: float, top: int) -> DataFrame:
+    """(q, node): each query node's beam as far as rounding lets it hold one of the top, and itself. lists: adjacency(); queries: q, point.
 
     A round sends each query to the best unopened nodes of its beam, where their neighbours are
-    compared with it, and merges what is better than the beam's last back into the beam.
+    compared with it, and merges what is better than the beam's last back into the beam. Queries
+    and nodes travel and are compared by blocks; the lists, in buckets, stay where they are.
     """
-    def best(ids, sims, is_open):
-        """Each node once (opened if any says so), nearest first, the beam's size at most."""
-        order = np.lexsort((is_open, ids))
-        ids, sims, is_open = ids[order], sims[order], is_open[order]
-        new = np.r_[True, ids[1:] != ids[:-1]]
-        ids, sims, is_open = ids[new], sims[new], is_open[new]
-        order = np.lexsort((ids, -sims))[:beam]
-        return ids[order], sims[order], is_open[order]
+    parts = max(1, math.ceil(queries.count() / ASKED))
+
+    def best(q, ids, sims, is_open, n):
+        """n beams as matrices: each node once (opened if any says so), nearest first."""
+        order = np.lexsort((is_open, ids, q))
+        q, ids, sims, is_open = q[order], ids[order], sims[order], is_open[order]
+        new = np.r_[True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])]
+        q, ids, sims, is_open = q[new], ids[new], sims[new], is_open[new]
+        order = np.lexsort((-sims, q))  # of equal ones, the smaller id stays first
+        q, ids, sims, is_open = q[order], ids[order], sims[order], is_open[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = rank < beam
+        at = (q[keep], rank[keep])
+        out = np.full((n, beam), -1, np.int64), np.full((n, beam), -np.inf), np.zeros((n, beam), bool)
+        for x, y in zip(out, (ids, sims, is_open), strict=True):
+            x[at] = y[keep]
+        return out
+
+    def row(part, qs, points, ids, sims, is_open):
+        return pa.Table.from_pydict({"part": pa.array([part], pa.int32()), "size": pa.array([len(qs)], pa.int32()), "open_": pa.array([int(is_open.sum())], pa.int32())} | {k: pa.array([x.tobytes()], pa.binary()) for k, x in (("qs", qs), ("points", points), ("nodes", ids), ("sims", sims), ("open", is_open))})
+
+    def matrices(t, i):
+        n = t["size"][i].as_py()
+        read = lambda c, kind: np.frombuffer(t[c][i].as_buffer(), kind)
+        return read("qs", np.int64), read("points", np.float32).reshape(n, dim), read("nodes", np.int64).reshape(n, beam), read("sims", np.float64).reshape(n, beam), read("open", bool).reshape(n, beam)
+
+    def chosen(is_open):
+        """The best unopened entries of each beam."""
+        return is_open & (np.cumsum(is_open, 1) <= opened)
 
     def pick(batches):
         for batch in batches:
-            rows = []
-            for q, point, ids, sims, is_open in zip(*(batch.column(c).to_pylist() for c in ("q", "point", "nodes", "sims", "open")), strict=True):
-                low = sims[-1] if len(sims) >= beam else float("-inf")
-                rows += [(q, point, ids[i], low) for i in np.flatnonzero(is_open)[:opened].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.float64()))], ["q", "point", "node", "low"])
-
-    def score(batches):
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            near = batch.column("near")
-            of = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(near).to_numpy(zero_copy_only=False))
-            inner = near.flatten()
-            sim = np.einsum("ij,ij->i", points(batch.column("point"), dim)[of], decoded(inner.field("code"), dim, SHORT))
-            keep = np.flatnonzero(sim > batch.column("low").to_numpy()[of])
-            q, other, sim = batch.column("q").to_numpy()[of[keep]], inner.field("nbr").to_numpy()[keep], sim[keep]
-            names, found, sims = best_lists(q, other, sim, beam)
-            none = pa.nulls(len(names), pa.binary())
-            yield pa.RecordBatch.from_arrays([names, none, found, sims, pa.nulls(len(names), pa.list_(pa.bool_()))], ["q", "point", "nodes", "sims", "open"])
-
-    def merge(batches):
-        for t in groups(batches, "q", 2_000):
-            rows: dict[int, list] = {}
-            for q, point, ids, sims, is_open in zip(*(t[c].to_pylist() for c in ("q", "point", "nodes", "sims", "open")), strict=True):
-                own = rows.setdefault(q, [None, [], [], []])
-                flags = np.ones(len(ids), bool)
-                if point is not None:  # the beam itself; what was picked from it is open no more
-                    own[0], flags = point, np.array(is_open, bool)
-                    flags[np.flatnonzero(flags)[:opened]] = False
-                for k, x in ((1, np.array(ids, np.int64)), (2, np.array(sims, np.float64)), (3, flags)):
-                    own[k].append(x)
-            done = {q: (r[0], *best(*map(np.concatenate, r[1:]))) for q, r in rows.items()}
-            kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int64())] + [pa.array([r[k] for r in done.values()], kind) for k, kind in enumerate(kinds)], ["q", "point", "nodes", "sims", "open"])
+            for i in range(batch.num_rows):
+                _, points, ids, sims, is_open = matrices(batch, i)
+                q, col = np.nonzero(chosen(is_open))
+                node = ids[q, col]
+                block = place(node, blocks)
+                order = np.argsort(block, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else ():
+                    at, of = np.unique(q[own], return_inverse=True)
+                    columns = at.astype(np.int32), points[at], sims[at, -1], np.stack([of, node[own]])
+                    yield pa.RecordBatch.from_arrays([pa.array([block[own[0]]], pa.int32()), batch["part"][i : i + 1], *(pa.array([x.tobytes()], pa.binary()) for x in columns)], ["block", "part", "at", "points", "low", "node"])
+
+    def named(batches):
+        for batch in batches:
+            for node in batch["node"]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(node.as_buffer(), np.int64).reshape(2, -1)[1])], ["node"])
+
+    def score(near, asks):
+        if not near.num_rows or not asks.num_rows:
+            return pa.Table.from_pylist([], pa.schema([("part", pa.int32()), ("at", pa.binary()), ("nodes", pa.binary()), ("sims", pa.binary())]))
+        order = np.argsort(near["node"].to_numpy())
+        near = near.take(pa.array(order)) if (order[1:] < order[:-1]).any() else near
+        names, sizes = near["node"].to_numpy(), pa.compute.binary_length(near["nbrs"]).to_numpy() // 8
+        start = np.r_[0, np.cumsum(sizes)]
+        nbrs, codes = raw(near["nbrs"]).view(np.int64), raw(near["codes"]).reshape(-1, 4 + dim * np.dtype(SHORT).itemsize)
+        scale, whole = codes[:, :4].copy().view(np.float32)[:, 0], codes[:, 4:].copy().view(SHORT)
+        points, low = raw(asks["points"]).view(np.float32).reshape(-1, dim), raw(asks["low"]).view(np.float64)
+        first = np.r_[0, np.cumsum(pa.compute.binary_length(asks["low"]).to_numpy() // 8)]
+        pairs = [np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1) + [[a], [0]] for x, a in zip(asks["node"], first[:-1].tolist(), strict=True)]
+        of, node = np.concatenate(pairs, 1)
+        at = np.searchsorted(names, node)
+        known = np.flatnonzero((at < len(names)) & (names[np.minimum(at, len(names) - 1)] == node))  # the others are in no list
+        known = known[np.argsort(at[known], kind="stable")]
+        at, of = at[known], of[known]
+        edge = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)] if len(at) else np.zeros(1, int)
+        who, other, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for a, b in itertools.pairwise(edge.tolist()):
+            own, (s, e) = of[a:b], start[at[a] : at[a] + 2]
+            sim = (whole[s:e].astype(np.float32) @ points[own].T) * scale[s:e, None]
+            r, c = np.nonzero(sim > low[own])
+            who.append(own[c])
+            other.append(nbrs[s + r])
+            sims.append(sim[r, c].astype(np.float64))
+        who, other, sims = map(np.concatenate, (who, other, sims))
+        order = np.lexsort((other, who))
+        order = order[np.r_[True, (who[order][1:] != who[order][:-1]) | (other[order][1:] != other[order][:-1])]] if len(order) else order
+        who, other, sims = who[order], other[order], sims[order]
+        ends = np.searchsorted(who, first)
+        where = raw(asks["at"]).view(np.int32)[who]
+        return pa.Table.from_arrays([asks["part"].combine_chunks(), sliced(where, ends), sliced(other, ends), sliced(sims, ends)], ["part", "at", "nodes", "sims"])
+
+    def merge(beams, found):
+        qs, points, ids, sims, is_open = matrices(beams, 0)
+        q, col = np.nonzero(ids >= 0)
+        left = is_open & ~chosen(is_open)
+        new = raw(found["at"]).view(np.int32), raw(found["nodes"]).view(np.int64), raw(found["sims"]).view(np.float64)
+        whole = best(np.r_[q, new[0]], np.r_[ids[q, col], new[1]], np.r_[sims[q, col], new[2]], np.r_[left[q, col], np.ones(len(new[0]), bool)], len(qs))
+        return row(beams["part"][0].as_py(), qs, points, *whole)
 
     long = nodes.orderBy(F.desc("norm"), "node").limit(ENTRIES).select("node", "point").toArrow()
     entries = (long["node"].to_numpy(), points(long["point"], dim))
 
     def begin(batches):
-        for batch in batches:
-            rows = []
-            sims = points(batch.column("point"), dim) @ entries[1].T if batch.num_rows else []
-            for q, sim in zip(batch.column("q").to_pylist(), sims, strict=True):
-                other = entries[0] != q
-                rows.append(best(np.r_[q, entries[0][other]], np.r_[np.inf, sim[other]], np.ones(1 + other.sum(), bool)))
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("point")] + [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["q", "point", "nodes", "sims", "open"])
-
-    beams = cut(queries.select("q", "point").mapInArrow(begin, BEAM), "beam")
+        for t in groups(batches, "part", 4 * ASKED):
+            part = t["part"].to_numpy()
+            for own in np.unique(part):
+                some = t.filter(pa.array(part == own))
+                qs, x = some["q"].to_numpy(), points(some["point"], dim)
+                n = len(qs)
+                sims, other = x @ entries[1].T, entries[0] != qs[:, None]
+                q, e = np.nonzero(other)
+                whole = best(np.r_[np.arange(n), q], np.r_[qs, entries[0][e]], np.r_[np.full(n, np.inf), sims[q, e]], np.ones(n + len(q), bool), n)
+                yield from row(own, qs, x.astype(np.float32), *whole).to_batches()
+
+    spread = queries.select("q", "point", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int").alias("part")).repartition("part").sortWithinPartitions("part")
+    beams = cut(spread.mapInArrow(begin, BEAMS), "beam")
     while True:
-        picked = cut(beams.mapInArrow(pick, "q long, point binary, node long, low double"), "opened")
-        count = picked.count()
+        count = beams.agg(F.sum(F.least(F.col("open_"), F.col("size") * opened))).first()[0]
         if not count:
-            pairs = beams.select("q", F.explode(F.arrays_zip("nodes", "sims")).alias("p"))
-            return pairs.select("q", F.col("p.nodes").alias("node"), F.col("p.sims").alias("sim"))
-        new = lists.join(F.broadcast(picked) if count <= 200_000 else picked, "node").select("q", "point", "low", "near").mapInArrow(score, BEAM)
-        beams = cut(beams.union(new).repartition("q").sortWithinPartitions("q").mapInArrow(merge, BEAM), "beam")
+            break
+        asks, near = beams.mapInArrow(pick, ASKS), lists
+        if count <= 50_000:  # then few of the lists are asked for
+            asks = cut(asks, "opened")
+            near = lists.join(F.broadcast(asks.mapInArrow(named, "node long").distinct()), "node", "left_semi").select("block", "node", "nbrs", "codes")
+        found = near.groupBy("block").cogroup(asks.groupBy("block")).applyInArrow(score, FOUND)
+        beams = cut(beams.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(merge, BEAMS), "beam")
+
+    def unpack(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qs, points, ids, sims, _ = matrices(batch, i)
+                # what the codes and single precision may be off, twice, by the longest vector's length
+                off = 2 * (math.sqrt(dim) / 2 / np.iinfo(SHORT).max + (dim + 8) * 2.0**-23) * longest * np.linalg.norm(points, axis=1)
+                q, col = np.nonzero((ids >= 0) & (sims >= (sims[:, min(top + 1, beam - 1)] - off)[:, None]))
+                yield pa.RecordBatch.from_arrays([pa.array(qs[q]), pa.array(ids[q, col])], ["q", "node"])
+
+    return beams.mapInArrow(unpack, "q long, node long")
 
 
 def scanned(nodes: DataFrame, sample: DataFrame, dim: int, keep: int) -> DataFrame:
@@ -358,24 +473,24 @@ def share_found(found: DataFrame, nodes: DataFrame, sample: DataFrame, best: Dat
     return least.join(got, "q", "left").agg((F.sum(F.coalesce("got", F.lit(0))) / F.sum("n")).alias("share")).first()["share"] or 0.0
 
 
-def followed(lists: DataFrame, nodes: DataFrame, queries: DataFrame, sample: DataFrame, best: DataFrame, dim: int, beam: int, opened: int, top: int, recall: float, most: int, whole: bool) -> tuple[DataFrame | None, float]:
-    """((q, node, sim) of all queries, recall) with the first beam, of doubled ones, whose recall on the sample is as asked for; None if none of up to ``most`` has it.
+def followed(lists: DataFrame, nodes: DataFrame, queries: DataFrame, sample: DataFrame, best: DataFrame, dim: int, beam: int, opened: int, top: int, recall: float, most: int, blocks: int, longest: float) -> tuple[DataFrame | None, float]:
+    """((q, node) of all queries, recall) with the first beam, of doubled ones, whose recall on the sample is as asked for; None if none of up to ``most`` has it.
 
-    whole: the first beam is tried on all queries, as it mostly does; others on the sample first.
+    The first beam is tried on all queries where they are few, as it mostly does; else, and for others, on the sample first.
     """
-    share, mine = 0.0, F.broadcast(sample.select("q"))  # SAMPLE rows at most
+    share, mine, whole = 0.0, F.broadcast(sample.select("q")), queries.count() <= FEW  # SAMPLE rows at most
     while beam <= most:
-        found = searched(lists, nodes, queries if whole else sample, dim, beam, opened)
+        found = searched(lists, nodes, queries if whole else sample, dim, beam, opened, blocks, longest, top)
         share = share_found(found.join(mine, "q", "left_semi"), nodes, sample, best, dim, top)
         log.info("beam %d: recall %.4f on a sample", beam, share)
         if share >= recall:
-            return found if whole else searched(lists, nodes, queries, dim, beam, opened), share
+            return found if whole else searched(lists, nodes, queries, dim, beam, opened, blocks, longest, top), share
         beam, opened, whole = 2 * beam, 2 * opened, False
     return None, share
 
 
 def graphs(nodes: DataFrame, dim: int, trees: int, leaf: int, k: int, reverse: int, each: int, share: float, settled: float, seed: int) -> Iterator[tuple[DataFrame, bool]]:
-    """Lists of k neighbours after ROUNDS rounds and once they are settled, and whether they are."""
+    """Lists of k neighbours after ROUNDS rounds, after twice as many each time, and once they are settled, and whether they are."""
     graph = cut(forest(nodes, dim, trees, leaf, k, seed), "graph")
     for turn in itertools.count():
         before, graph = graph, cut(refined(graph, nodes, dim, k, reverse, each, share, seed + turn), "graph")
@@ -383,7 +498,7 @@ def graphs(nodes: DataFrame, dim: int, trees: int, leaf: int, k: int, reverse: i
         new = F.when(F.col("old").isNull(), F.size("nbrs")).otherwise(F.size(F.array_except("nbrs", "old")))
         changed = graph.join(old, "node", "left").agg((F.sum(new) / F.sum(F.size("nbrs"))).alias("share")).first()["share"] or 0.0
         log.info("round %d: %.4f of the list entries changed", turn, changed)
-        if turn + 1 == ROUNDS or changed <= settled:
+        if changed <= settled or turn + 1 in (ROUNDS << i for i in range(turn + 1)):
             yield graph, changed <= settled
         if changed <= settled:
             return
@@ -428,13 +543,13 @@ def nearest(vectors: DataFrame, queries: Column, top: int = 20, id_col: str = "v
     asked = cut(asking.join(nodes.select(F.col("node").alias("q"), F.col("query").alias("point")), "q"), "queries")
     sample = cut(asked.orderBy(F.xxhash64("q"), "q").limit(SAMPLE), "sample")
     best = cut(scanned(nodes, sample, dim, top), "best")
-    found, share = best, 1.0  # right if no query has another node
+    found, share, blocks = best, 1.0, blocks_of(nodes, nodes.count())  # right if no query has another node
     for grown in range(GROWN + 1) if not best.where("q <> node").isEmpty() else ():
         k_, reverse_, trees_ = (x << grown for x in (k, reverse, trees))
-        for turn, (graph, end) in enumerate(graphs(nodes, dim, trees_, leaf, k_, reverse_, each, drawn, settled, seed)):
-            flat = both_ways(graph, reverse_, seed).join(nodes.select(F.col("node").alias("nbr"), "code"), "nbr")
-            lists = cut(flat.groupBy("node").agg(F.collect_list(F.struct("nbr", "code")).alias("near")), "adjacency")  # k + reverse rows each
-            found, share = followed(lists, nodes, asked, sample, best, dim, beam, opened, top, recall, most if end else min(most, beam), turn == 0)
+        for graph, end in graphs(nodes, dim, trees_, leaf, k_, reverse_, each, drawn, settled, seed):
+            name = adjacency(graph, nodes, dim, reverse_, blocks, seed)
+            found, share = followed(vectors.sparkSession.table(name), nodes, asked, sample, best, dim, beam, opened, top, recall, most if end else min(most, SOONER * beam), blocks, longest / scale)
+            vectors.sparkSession.sql(f"DROP TABLE {name}")  # its files stay, like those of the other tables
             if found is not None:
                 break
         if found is not None:
